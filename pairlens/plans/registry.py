@@ -1,6 +1,6 @@
 """Import every query module so that the catalog is complete."""
 
-from . import panel_queries  # noqa: F401
+from . import pair_queries, panel_queries, scaling_queries  # noqa: F401
 from .catalog import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
