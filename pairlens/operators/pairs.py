@@ -149,6 +149,35 @@ def ongoing_flag(
     return _flag_join(pairs, marks, [*PAIR, period], {name: "__hit"})
 
 
+def event_flags(
+    pairs: DataFrame, events: DataFrame, period: str, horizons: Mapping[str, int], clamp: tuple | None = None
+) -> DataFrame:
+    """Onset flags of both sides and one running flag per horizon, in a single join.
+
+    Same results as :func:`onset_flags` and :func:`ongoing_flag` one after the other.  Each
+    event is expanded once, to its longest horizon; every flag is a condition on the
+    distance to its start and end, and all are combined per pair and period before the
+    shuffle.
+    """
+    furthest = max(horizons.values())
+    spells = events.select(
+        F.least("attacker", "target").alias("a_unit"),
+        F.greatest("attacker", "target").alias("b_unit"),
+        (F.col("attacker") < F.col("target")).cast("int").alias("by_a"),
+        F.col("start").alias("__from"),
+        F.col("end").alias("__to"),
+        "start",
+        (F.col("end") + F.lit(furthest)).alias("end"),
+    )
+    begins = (F.col(period) == F.col("__from")).cast("int")
+    aggs = [F.max(begins * F.col("by_a")).alias("A_attacked"), F.max(begins * (1 - F.col("by_a"))).alias("B_attacked")]
+    aggs += [F.max((F.col(period) <= F.col("__to") + F.lit(h)).cast("int")).alias(n) for n, h in horizons.items()]
+    marks = expand_spells(spells, "start", "end", period, clamp).groupBy(*PAIR, period).agg(*aggs)
+    names = ["A_attacked", "B_attacked", *horizons]
+    out = pairs.join(marks, [*PAIR, period], "left")
+    return out.withColumns({n: F.coalesce(F.col(n), F.lit(0)) for n in names})
+
+
 def canonical_pairs(
     table: DataFrame, a: str, b: str, sided: Mapping[str, tuple[str, str]] | None = None, order: str = "numeric"
 ) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions import mask_draw
 from ..operators.codes import group_filter
 from ..operators.pairs import event_pairs, make_pairs
+from ..session import materialize
 
 YEARS = (1995, 2001)
 TYPES = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
@@ -94,6 +95,11 @@ def market_years(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def stored_market_years(spark: SparkSession, sf: str) -> DataFrame:
+    """The market panel written once, for plans that read it several times."""
+    return materialize(market_years(spark, sf), "market-years")
+
+
 MARKET_LINES_SQL = f"""
   SELECT s_nationkey * 10 + {TYPE_CODE_SQL} AS unit, CAST(year(o_orderdate) AS INTEGER) AS year, lineitem.*, orders.*
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey

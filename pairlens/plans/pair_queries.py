@@ -35,7 +35,7 @@ def y1_make_pairs_text(spark: SparkSession, sf: str) -> DataFrame:
           JOIN market_years b ON b.unit = b_unit AND b.year = p.year""",
 )
 def y2_attach_sides(spark: SparkSession, sf: str) -> DataFrame:
-    panel = I.market_years(spark, sf)
+    panel = I.stored_market_years(spark, sf)
     return P.attach_sides(P.make_pairs(panel, "unit", "year"), panel, ["total", "quantity"], "unit", "year")
 
 
@@ -202,7 +202,7 @@ def y9_pair_static_lookup(spark: SparkSession, sf: str) -> DataFrame:
         SELECT b_unit, a_unit, year, B_attacked, A_attacked, B_total, A_total, ud_group FROM w""",
 )
 def y10_mirror_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    panel = I.market_years(spark, sf)
+    panel = I.stored_market_years(spark, sf)
     flags = P.onset_flags(P.make_pairs(panel, "unit", "year"), I.events(spark, sf), "year")
     wide = P.attach_sides(flags, panel, ["total"], "unit", "year")
     return P.mirror_pairs(wide.withColumn("ud_group", (F.col("a_unit") + F.col("b_unit")) % 7))
@@ -210,11 +210,9 @@ def y10_mirror_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 def pair_frame(spark: SparkSession, sf: str) -> DataFrame:
     """Undirected pair-years with sides, event flags and time since the last event."""
-    panel, happened = I.market_years(spark, sf), I.events(spark, sf)
+    panel = I.stored_market_years(spark, sf)
     frame = P.make_pairs(panel, "unit", "year")
-    frame = P.onset_flags(frame, happened, "year")
-    frame = P.ongoing_flag(frame, happened, "year")
-    frame = P.ongoing_flag(frame, happened, "year", "ud_recent", horizon=10, clamp=I.YEARS)
+    frame = P.event_flags(frame, I.events(spark, sf), "year", {"ud_ongoing": 0, "ud_recent": 10}, clamp=I.YEARS)
     frame = time_since(frame, list(P.PAIR), "year", "ud_ongoing", "ud_quiet")
     return P.attach_sides(frame, panel, ["total", "quantity"], "unit", "year")
 
