@@ -14,6 +14,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import hash_rank, seeded_draw
+from ..session import materialize
 from .models import FAMILIES, Family, Scorer
 from .sampling import class_sizes
 from .scoring import auc, log_loss, log_loss_term
@@ -42,7 +43,7 @@ def cross_validate(
 ) -> CrossValidation:
     """Out-of-fold probabilities for the best setting, and the log-loss of every setting.
 
-    ``df`` carries a fold id.  Fits run a few at a time from a small thread pool; each
+    ``df`` carries a fold id and should be a stored table.  Fits run a few at a time from a small thread pool; each
     one is itself a distributed job.  Only one number per fit reaches the driver.
     """
     fam = _family(family)
@@ -62,6 +63,7 @@ def cross_validate(
     tasks = [(i, k) for i in range(len(settings)) for k in folds]
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
         done = list(pool.map(one, tasks))
+    data.unpersist()
     rows = []
     for i, params in enumerate(settings):
         mine = [d for d in done if d[0] == i]
@@ -71,7 +73,7 @@ def cross_validate(
     predictions = None
     for i, k, scorer, *_ in done:
         if i == best:
-            part = scorer(data.where(F.col(fold) == k)).select("row_id", "label", fold, F.lit(fam.name).alias("model"), "p")
+            part = scorer(df.where(F.col(fold) == k)).select("row_id", "label", fold, F.lit(fam.name).alias("model"), "p")
             predictions = part if predictions is None else predictions.unionByName(part)
     results = df.sparkSession.createDataFrame(
         rows, "model string, setting string, log_loss double, n_fits int, seconds double"
@@ -147,9 +149,8 @@ def downsample_curve(
     if not n1 or not n0:
         raise ValueError("both classes are needed")
     wanted = [float(r) for r in ratios] + ([n0 / n1] if natural else [])
-    ranked = hash_rank(train.select("row_id", "label", "features"), "row_id", ["label"], seed, "__rank").persist(
-        StorageLevel.MEMORY_AND_DISK
-    )
+    ranked = hash_rank(train.select("row_id", "label", "features"), "row_id", ["label"], seed, "__rank")
+    ranked = materialize(ranked, "ranked-rows", rebalance=True).persist(StorageLevel.MEMORY_AND_DISK)
 
     def fit(task: tuple[float, int]) -> tuple:
         ratio, rep = task

@@ -52,7 +52,7 @@ def frame(spark: SparkSession, sf: str, folds: int = 0) -> DataFrame:
     rows = X.model_frame(document_features(spark, sf), "doc_id", F.col("toxic"), FEATURES)
     if folds:
         rows = G.assign_folds(rows, folds, 90210, "label", "row_id")
-    return materialize(rows, "model-frame")
+    return materialize(rows, "model-frame", rebalance=True)
 
 
 # --- features and sampling -------------------------------------------------------------------
@@ -150,7 +150,7 @@ def _inside(col: str, low: float = 0.0, high: float = 1.0) -> Column:
                FROM (SELECT toxic, ceil(0.6::DOUBLE * count(*)) AS k FROM labels GROUP BY toxic))))""",
 )
 def m5_downsample_curve(spark: SparkSession, sf: str) -> DataFrame:
-    split = materialize(G.train_eval_test(frame(spark, sf), "label", "row_id"), "split")
+    split = materialize(G.train_eval_test(frame(spark, sf), "label", "row_id"), "split", rebalance=True)
     curve = V.downsample_curve(
         split.where("part = 'train'"), split.where("part = 'eval'"), reps=2, parallelism=8
     )
@@ -297,7 +297,7 @@ def k6_hinge_features(spark: SparkSession, sf: str) -> DataFrame:
        FROM (SELECT vec_id, CAST(x AS DOUBLE) AS x, j FROM e) JOIN m USING (j) GROUP BY 1""",
 )
 def k13_scale(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _vectors(spark, sf)
+    rows = materialize(_vectors(spark, sf), "vectors", rebalance=True)
     scaled = M.preprocess(rows, pca_variance=None)(rows)
     x = M.vector_to_array("features")
     total = F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
@@ -318,7 +318,7 @@ def _vectors(spark: SparkSession, sf: str) -> DataFrame:
 )
 def k13_pca(spark: SparkSession, sf: str) -> DataFrame:
     """Every row keeps the same number of components, fewer than before, each centred at zero."""
-    rows = materialize(_vectors(spark, sf), "vectors")
+    rows = materialize(_vectors(spark, sf), "vectors", rebalance=True)
     rotated = M.preprocess(rows)(rows)
     x = M.vector_to_array("features")
     width = rotated.agg(
@@ -371,7 +371,7 @@ def k16_tuning_stability(spark: SparkSession, sf: str) -> DataFrame:
         one = X.model_frame(done.where(F.col("imp") == i), "row_id", label, ["total", "lines", "year"])
         one = G.assign_folds(one, 2, 555, "label", "row_id").withColumn("imp", F.lit(i))
         parts = one if parts is None else parts.unionByName(one)
-    stable = V.tuning_stability(materialize(parts, "replicates"), ["imp"], ["tree", "logit"], {"tree": [{"depth": d} for d in (1, 3)]}, parallelism=8)
+    stable = V.tuning_stability(materialize(parts, "replicates", rebalance=True), ["imp"], ["tree", "logit"], {"tree": [{"depth": d} for d in (1, 3)]}, parallelism=8)
     return stable.groupBy("imp", "model").agg(F.count(F.lit(1)).alias("n"), _inside("log_loss", 0.0, 40.0).alias("bad_loss"))
 
 
@@ -387,7 +387,7 @@ def out_of_fold(spark: SparkSession, sf: str, families: tuple[str, ...] = PATH_M
     for f in families:
         preds = V.cross_validate(rows, f, [M.FAMILIES[f].grid[0]], parallelism=4).predictions
         out = preds if out is None else out.unionByName(preds)
-    return materialize(out, "out-of-fold")
+    return materialize(out, "out-of-fold", rebalance=True)
 
 
 @query("r6_ensemble_weights", "SELECT 4::BIGINT AS n, 1 AS sums_to_one, 0::BIGINT AS negative, 1 AS no_worse_than_best")

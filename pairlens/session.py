@@ -43,13 +43,14 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
+def materialize(df: DataFrame, label: str = "stage", rebalance: bool = False) -> DataFrame:
     """Write ``df`` once to the shared folder and continue from the written table.
 
     Used before work that reads the same result many times (iterative fits).
     The table outlives lost executors, and stays columnar, so later reads still
-    prune columns and push filters down.
+    prune columns and push filters down.  ``rebalance`` evens out the file sizes
+    first, which pays off when every pass starts one task per file.
     """
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    (df.hint("rebalance") if rebalance else df).write.parquet(path)
     return df.sparkSession.read.parquet(path)
