@@ -11,14 +11,16 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from .bounded import bounded
 from .expressions import md5_key
 
 # Distinct values one sorted group may hold before its range is cut into buckets.
 BUCKET_VALUES = 1_000_000
 MAX_BUCKETS = 4096
+MAX_SPLITS = 2_000_000
 
 
-def _range_splits(df: DataFrame, value: str, by: Sequence[str], bucket_values: int) -> tuple[list, int]:
+def _range_splits(df: DataFrame, value: str, by: Sequence[str], bucket_values: int) -> list:
     """Split points of every group that is too large for one sorted group.
 
     One scan with partial aggregation.  The collected rows are bounded: a group
@@ -28,16 +30,17 @@ def _range_splits(df: DataFrame, value: str, by: Sequence[str], bucket_values: i
     """
     sizes = df.groupBy(*by).agg(F.approx_count_distinct(value).alias("n"))
     large = sizes.where(F.col("n") > bucket_values)
-    top = large.agg(F.max("n")).first()[0]
+    top, groups = large.agg(F.max("n"), F.count(F.lit(1))).first()
     if top is None:
-        return [], 0
-    buckets = min(MAX_BUCKETS, int(top // bucket_values) + 1)
+        return []
+    # The split table stays below MAX_SPLITS numbers whatever the number of large groups.
+    buckets = max(2, min(MAX_BUCKETS, int(top // bucket_values) + 1, MAX_SPLITS // groups))
     probs = [i / buckets for i in range(1, buckets)]
     keyed = df.join(large.select(*by), list(by), "left_semi") if by else df
     splits = keyed.groupBy(*by).agg(
         F.percentile_approx(F.col(value).cast("double"), probs, 10 * buckets).alias("splits")
     )
-    return splits.collect(), buckets
+    return splits.collect()
 
 
 def ranked_counts(
@@ -55,7 +58,7 @@ def ranked_counts(
     """
     by = list(by)
     data = df.where(F.col(value).isNotNull())
-    splits, buckets = _range_splits(data, value, by, bucket_values)
+    splits = _range_splits(data, value, by, bucket_values)
     sums = [F.sum(c).alias(n) for n, c in (extra or {}).items()]
     counts = data.groupBy(*by, value).agg(F.count(F.lit(1)).alias("cnt"), *sums)
     if not splits:
@@ -66,7 +69,7 @@ def ranked_counts(
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["splits array<double>"])
     table = df.sparkSession.createDataFrame([tuple(r) for r in splits], schema)
     if by:
-        # At most one row per oversized group: bounded by rows / bucket_values.
+        # Built from collected rows, at most MAX_SPLITS numbers.
         placed = counts.join(F.broadcast(table), by, "left")
     else:
         placed = counts.withColumn("splits", F.array(*[F.lit(float(s)) for s in splits[0]["splits"]]))
@@ -95,9 +98,8 @@ def exact_quantiles(
     """
     by = list(by)
     counts = ranked_counts(df, value, by, bucket_values=bucket_values)
-    # The group size is one row per label, so it is safe to hand to every task.
     sizes = df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    sized = counts.join(F.broadcast(sizes), by) if by else counts.withColumn("n", sizes.scalar())
+    sized = counts.join(bounded(sizes), by) if by else counts.withColumn("n", sizes.scalar())
     x, start, end = F.col(value).cast("double"), F.col("cum") - F.col("cnt"), F.col("cum")
     picks = []
     for name, q in probs.items():
@@ -165,9 +167,9 @@ def hash_cutoff(
     )
     boundary = boundary.select(*by, "bucket", (F.col("wanted") - F.col("offset")).alias("nth"))
     inside = W.partitionBy(*by, "bucket").orderBy("hash", row_id)
-    # One boundary bucket per class: safe to broadcast, and the rows stay where they are.
+    # One boundary bucket per class; with few classes the rows stay where they are.
     return (
-        hashed.join(F.broadcast(boundary), [*by, "bucket"])
+        hashed.join(bounded(boundary), [*by, "bucket"])
         .withColumn("pos", F.row_number().over(inside))
         .where(F.col("pos") == F.col("nth"))
         .select(*by, F.col("hash").alias("cut_hash"), F.col(row_id).alias("cut_id"))

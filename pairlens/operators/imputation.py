@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..session import materialize
 
 DRIVER_CELLS = 20_000_000  # doubles of pattern summaries that may be held on the driver
+REDRAWS = 20  # redraws of an out-of-bounds row that are made together
 FLUSH_CELLS = 4_000_000  # doubles a task may hold before it emits partial sums
 
 
@@ -103,22 +104,30 @@ def _bootstrap_weights(h: np.ndarray, rep: int) -> np.ndarray:
 # --- pattern algebra ----------------------------------------------------------------------
 
 
-def _patterns(x: np.ndarray, prior: np.ndarray | None) -> Iterator[tuple[tuple, np.ndarray]]:
-    """Row groups with the same missing cells and the same priors on them."""
-    gap = np.isnan(x)
-    code = gap.astype(float)
-    if prior is not None:
-        code = np.hstack([code, np.where(np.isnan(prior), 0.0, prior)])
-    groups, where = np.unique(code, axis=0, return_inverse=True)
-    for g in range(len(groups)):
-        yield tuple(groups[g].tolist()), np.nonzero(where.ravel() == g)[0]
+Pattern = tuple[bytes, bytes]  # packed missing flags; (position, centre, precision) of the priors
 
 
-def _conditional(pattern: tuple, theta: tuple[np.ndarray, np.ndarray]):
+def _patterns(x: np.ndarray, prior: np.ndarray | None) -> Iterator[tuple[Pattern, np.ndarray]]:
+    """Row groups with the same missing cells and the same priors on them."""
+    flags = np.packbits(np.isnan(x), axis=1)
+    code = flags if prior is None else np.hstack([flags, prior.view(np.uint8).reshape(len(x), -1)])
+    code = np.ascontiguousarray(code)
+    _, where = np.unique(code.view(f"V{code.shape[1]}").ravel(), return_inverse=True)
+    order = np.argsort(where, kind="stable")
+    for rows in np.split(order, np.cumsum(np.bincount(where))[:-1]):
+        row, told = rows[0], b""
+        if prior is not None:
+            p = x.shape[1]
+            at = np.nonzero(prior[row, p:])[0]
+            told = np.column_stack([at, prior[row, at], prior[row, p + at]]).tobytes()
+        yield (flags[row].tobytes(), told), rows
+
+
+def _conditional(pattern: Pattern, theta: tuple[np.ndarray, np.ndarray]):
     """Missing and observed positions, intercept, slopes and covariance of missing given observed."""
     mu, sigma = theta
     p = len(mu)
-    gap = np.array(pattern[:p], dtype=bool)
+    gap = np.unpackbits(np.frombuffer(pattern[0], dtype=np.uint8), count=p).astype(bool)
     m, o = np.nonzero(gap)[0], np.nonzero(~gap)[0]
     if not len(m):
         return m, o, None, None, None
@@ -126,18 +135,20 @@ def _conditional(pattern: tuple, theta: tuple[np.ndarray, np.ndarray]):
     cov = sigma[np.ix_(m, m)] - beta @ sigma[np.ix_(o, m)]
     cov = (cov + cov.T) / 2 + 1e-10 * np.eye(len(m))
     intercept = mu[m] - beta @ mu[o]
-    if len(pattern) > p:
-        centre, precision = np.array(pattern[p : 2 * p])[m], np.array(pattern[2 * p :])[m]
-        if precision.any():
-            inverse = np.linalg.inv(cov)
-            cov_new = np.linalg.inv(inverse + np.diag(precision))
-            intercept = cov_new @ (inverse @ intercept + precision * centre)
-            beta = cov_new @ inverse @ beta
-            cov = (cov_new + cov_new.T) / 2
+    told = np.frombuffer(pattern[1]).reshape(-1, 3)
+    if len(told):
+        centre, precision = np.zeros(p), np.zeros(p)
+        at = told[:, 0].astype(int)
+        centre[at], precision[at] = told[:, 1], told[:, 2]
+        inverse = np.linalg.inv(cov)
+        cov_new = np.linalg.inv(inverse + np.diag(precision[m]))
+        intercept = cov_new @ (inverse @ intercept + precision[m] * centre[m])
+        beta = cov_new @ inverse @ beta
+        cov = (cov_new + cov_new.T) / 2
     return m, o, intercept, beta, cov
 
 
-def _expected(pattern: tuple, raw: np.ndarray, theta) -> np.ndarray:
+def _expected(pattern: Pattern, raw: np.ndarray, theta) -> np.ndarray:
     """Expected cross-products of (1, x) for the rows of one pattern."""
     m, o, intercept, beta, cov = _conditional(pattern, theta)
     if not len(m):
@@ -217,7 +228,7 @@ def _prior_matrix(pdf: pd.DataFrame, lay: Layout, prior_cols: Sequence[str]) ->
 
 
 def _pattern_sums(data: DataFrame, lay: Layout, m: int, prior_cols: Sequence[str]) -> DataFrame:
-    """``rep, pattern, raw``: weighted cross-products of (1, x) per bootstrap and pattern."""
+    """``rep, gaps, priors, raw``: weighted cross-products of (1, x) per bootstrap and pattern."""
     q = lay.width + 1
     upper = np.triu_indices(q)
 
@@ -225,7 +236,7 @@ def _pattern_sums(data: DataFrame, lay: Layout, m: int, prior_cols: Sequence[str
         parts = []
         for pattern, sums in held.items():
             for rep in range(m):
-                parts.append(pd.DataFrame({"rep": rep + 1, "pattern": [list(pattern)] * len(upper[0]),
+                parts.append(pd.DataFrame({"rep": rep + 1, "gaps": [pattern[0]] * len(upper[0]), "priors": [pattern[1]] * len(upper[0]),
                                            "pos": np.arange(len(upper[0])), "v": sums[rep][upper]}))
         return pd.concat(parts)
 
@@ -246,10 +257,11 @@ def _pattern_sums(data: DataFrame, lay: Layout, m: int, prior_cols: Sequence[str
         if held:
             yield emit(held)
 
-    long = data.mapInPandas(partial, "rep int, pattern array<double>, pos int, v double")
-    summed = long.groupBy("rep", "pattern", "pos").agg(F.sum("v").alias("v"))
+    long = data.mapInPandas(partial, "rep int, gaps binary, priors binary, pos int, v double")
+    summed = long.groupBy("rep", "gaps", "priors", "pos").agg(F.sum("v").alias("v"))
+    # One matrix per bootstrap and pattern.
     cells = F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda s: s["v"])
-    return summed.groupBy("rep", "pattern").agg(cells.alias("raw"))
+    return summed.groupBy("rep", "gaps", "priors").agg(cells.alias("raw"))
 
 
 def _square(upper: Sequence[float], q: int) -> np.ndarray:
@@ -264,7 +276,7 @@ def _em(sums: DataFrame, q: int, m: int, ridge: float, tol: float, max_iter: int
     if local:
         held: list[list] = [[] for _ in range(m)]
         for r in sums.collect():
-            held[r["rep"] - 1].append((tuple(r["pattern"]), _square(r["raw"], q)))
+            held[r["rep"] - 1].append(((bytes(r["gaps"]), bytes(r["priors"])), _square(r["raw"], q)))
     open_ = set(range(m))
     for _ in range(max_iter):
         if local:
@@ -289,8 +301,8 @@ def _expected_job(sums: DataFrame, theta: list, q: int, open_: set[int]) -> dict
     def expect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         totals: dict = {}
         for pdf in batches:
-            for rep, pattern, raw in zip(pdf["rep"], pdf["pattern"], pdf["raw"]):
-                part = _expected(tuple(pattern), _square(raw, q), theta[rep - 1])
+            for rep, gaps, priors, raw in zip(pdf["rep"], pdf["gaps"], pdf["priors"], pdf["raw"]):
+                part = _expected((gaps, priors), _square(raw, q), theta[rep - 1])
                 totals[rep] = totals.get(rep, 0) + part
         for rep, total in totals.items():
             yield pd.DataFrame({"rep": rep, "pos": np.arange(len(upper[0])), "v": total[upper]})
@@ -316,11 +328,17 @@ def _draw(x, h, rep, prior, theta, lower, upper, max_resample):
         value = mean + _normal(h[rows], len(m), 11, rep, 0) @ root.T
         lo, hi = lower[m], upper[m]
         if np.isfinite(lo).any() or np.isfinite(hi).any():
-            for attempt in range(1, max_resample + 1):
-                bad = np.nonzero(((value < lo) | (value > hi)).any(axis=1))[0]
-                if not len(bad):
-                    break
-                value[bad] = mean[bad] + _normal(h[rows[bad]], len(m), 11, rep, attempt) @ root.T
+            bad = np.nonzero(((value < lo) | (value > hi)).any(axis=1))[0]
+            tried = 0
+            while len(bad) and tried < max_resample:
+                # Several redraws at a time; the first one inside the bounds counts.
+                block = min(REDRAWS, max_resample - tried)
+                z = _normal(h[rows[bad]], len(m) * block, 11, rep, tried + 1).reshape(len(bad), block, len(m))
+                again = mean[bad, None, :] + z @ root.T
+                inside = ((again >= lo) & (again <= hi)).all(axis=2)
+                hit = inside.any(axis=1)
+                value[bad[hit]] = again[hit, inside[hit].argmax(axis=1)]
+                bad, tried = bad[~hit], tried + block
             value = np.clip(value, lo, hi)
         x[np.ix_(rows, m)] = value
     return x
@@ -388,7 +406,7 @@ def em_impute(
         known: list[dict] = [{} for _ in range(m)]
 
         def conditional(rep: int):
-            def get(pattern: tuple):
+            def get(pattern: Pattern):
                 if pattern not in known[rep]:
                     known[rep][pattern] = _conditional(pattern, theta[rep])
                 return known[rep][pattern]

@@ -11,6 +11,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import materialize
 from .spells import expand_spells
 
 PAIR = ("a_unit", "b_unit")
@@ -74,12 +75,14 @@ def event_pairs(
     Columns ``event, attacker, target, start, end``; start is the earliest and end the
     latest of the event.  An event without one of the sides yields nothing, a unit on
     both sides is not paired with itself.  Participants are reduced to distinct units
-    first; an event with more than ``side_rows`` units on side A is split into that
-    many more salted parts, and all other events have a single part.
+    and stored first, since each side and the span of the event read them; an event with
+    more than ``side_rows`` units on side A is split into that many more salted parts, and
+    all other events have a single part.
     """
     p = participants.groupBy(
         F.col(event).alias("event"), F.col(side).alias("side"), F.col(unit).alias("unit")
     ).agg(F.min(start).alias("start"), F.max(end).alias("end"))
+    p = materialize(p, "participants")
     span = p.groupBy("event").agg(
         F.min("start").alias("start"),
         F.max("end").alias("end"),

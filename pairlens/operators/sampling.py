@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions import exact_quantiles, hash_cutoff, hash_rank, md5_key, seeded_draw
+from ..functions import bounded, exact_quantiles, hash_cutoff, hash_rank, md5_key, seeded_draw
 
 
 def stratified_split(
@@ -18,10 +18,9 @@ def stratified_split(
     The rows are never ranked: the class's cutoff digest is found first, and each
     row is compared with it where it stands.
     """
-    cut = hash_cutoff(df, row_id, [target], seed, share)
+    cut = bounded(hash_cutoff(df, row_id, [target], seed, share))
     digest = md5_key(seed, F.col(row_id))
-    # One row per class.
-    marked = df.withColumn("__h", digest).join(F.broadcast(cut), target)
+    marked = df.withColumn("__h", digest).join(cut, target)
     inside = (F.col("__h") < F.col("cut_hash")) | (
         (F.col("__h") == F.col("cut_hash")) & (F.col(row_id) <= F.col("cut_id"))
     )
@@ -40,9 +39,9 @@ def train_eval_test(
     """Three disjoint parts: ``train`` of all rows, then ``evaluation`` of the rest, then the vault."""
     first = stratified_split(df, target, train, seeds[0], row_id, "__train")
     rest = first.where(~F.col("__train"))
-    cut = hash_cutoff(rest, row_id, [target], seeds[1], evaluation)
+    cut = bounded(hash_cutoff(rest, row_id, [target], seeds[1], evaluation))
     digest = md5_key(seeds[1], F.col(row_id))
-    marked = first.withColumn("__h", digest).join(F.broadcast(cut), target, "left")
+    marked = first.withColumn("__h", digest).join(cut, target, "left")
     in_eval = (F.col("__h") < F.col("cut_hash")) | (
         (F.col("__h") == F.col("cut_hash")) & (F.col(row_id) <= F.col("cut_id"))
     )
@@ -56,8 +55,11 @@ def assign_folds(df: DataFrame, k: int, seed: int | str, target: str, row_id: st
     return ranked.withColumn(name, F.pmod(F.col("__rank"), F.lit(k)).cast("int")).select(*df.columns, name)
 
 
-def class_sizes(df: DataFrame, target: str) -> dict:
-    return {r[0]: r[1] for r in df.groupBy(target).count().collect()}
+def class_sizes(df: DataFrame, target: str, max_classes: int = 10_000) -> dict:
+    rows = df.groupBy(target).count().limit(max_classes + 1).collect()
+    if len(rows) > max_classes:
+        raise ValueError(f"{target} has more than {max_classes} classes")
+    return {r[0]: r[1] for r in rows}
 
 
 def draw_counts(

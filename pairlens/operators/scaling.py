@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from ..functions import asinh_odd, normal_cdf, ranked_counts
+from ..functions import asinh_odd, bounded, normal_cdf, ranked_counts
 
 DEFAULT_EXPONENTS = range(-25, 26)
 
@@ -23,12 +23,11 @@ def normal_distance(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """
     cells = _long(df, cols)
     counts = ranked_counts(cells, "value", ["name"])
-    # One row per column name.
     fit = cells.groupBy("name").agg(
         F.count(F.lit(1)).alias("n"), F.avg("value").alias("mu"), F.stddev_samp("value").alias("sd")
     )
     gap = F.abs(F.col("cum") / F.col("n") - normal_cdf((F.col("value") - F.col("mu")) / F.col("sd")))
-    return counts.join(F.broadcast(fit), "name").groupBy("name").agg(F.max(gap).alias("distance"))
+    return counts.join(bounded(fit), "name").groupBy("name").agg(F.max(gap).alias("distance"))
 
 
 def asinh_scale_search(
@@ -42,10 +41,10 @@ def asinh_scale_search(
     """
     cells = _long(df, cols)
     counts = ranked_counts(cells, "value", ["name"])
-    # One row per column name; the centre keeps the sums of squares well scaled.
+    # The centre keeps the sums of squares well scaled.
     sizes = cells.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("centre"))
     grid = F.explode(F.array(*[F.lit(int(k)) for k in exponents])).alias("exponent")
-    tried = counts.join(F.broadcast(sizes), "name").select("name", "value", "cnt", "cum", "n", "centre", grid)
+    tried = counts.join(bounded(sizes), "name").select("name", "value", "cnt", "cum", "n", "centre", grid)
     scale = F.pow(F.lit(2.0), F.col("exponent"))
     shift = asinh_odd(scale * F.col("centre"))
     moved = tried.withColumn("y", asinh_odd(scale * F.col("value")) - shift)
@@ -58,9 +57,8 @@ def asinh_scale_search(
     moments = moments.select(
         "name", "exponent", mu.alias("mu"), F.sqrt((F.col("s2") - F.col("s1") * mu) / (F.col("total") - 1)).alias("sd")
     )
-    # One row per column name and candidate.
     gap = F.abs(F.col("cum") / F.col("n") - normal_cdf((F.col("y") - F.col("mu")) / F.col("sd")))
-    scored = moved.join(F.broadcast(moments), ["name", "exponent"]).groupBy("name", "exponent").agg(
+    scored = moved.join(bounded(moments), ["name", "exponent"]).groupBy("name", "exponent").agg(
         F.max(gap).alias("distance")
     )
     best = F.min(F.struct(F.round("distance", digits).alias("distance"), "exponent")).alias("best")
@@ -94,7 +92,6 @@ def zero_priors(
     """Prior rows ``(row_id, name, mu, sigma)`` for cells missing before the last all-zero period."""
     units = [unit] if isinstance(unit, str) else list(unit)
     limits = laz.select(*units, *[F.col(c).alias(f"__laz_{c}") for c in cols])
-    # One row for the whole table.
     spread = df.agg(*[F.stddev_samp(c).alias(c) for c in cols])
     joined = df.select(row_id, *units, period, *cols).join(limits, units)
     cells = [
@@ -106,4 +103,4 @@ def zero_priors(
     ]
     sds = spread.select(F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("sigma")) for c in cols])))
     wanted = joined.select(row_id, F.inline(F.array(*cells))).where("wanted").drop("wanted")
-    return wanted.join(F.broadcast(sds), "name").select(row_id, "name", F.lit(0.0).alias("mu"), "sigma")
+    return wanted.join(bounded(sds), "name").select(row_id, "name", F.lit(0.0).alias("mu"), "sigma")

@@ -148,7 +148,7 @@ def resolve_primary(
     lead = [F.col(c) for c in order]
     row = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(lead)], F.struct(*rest).alias("row"))
     real = F.col(candidate) != F.lit(sentinel)
-    named = overrides.select(group, F.col(candidate).alias("__pick")).dropDuplicates([group])
+    named = overrides.groupBy(group).agg(F.min(candidate).alias("__pick"))
     per_group = (
         df.join(named, group, "left")
         .groupBy(group)

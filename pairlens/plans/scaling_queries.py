@@ -125,3 +125,31 @@ def i5_em_impute(spark: SparkSession, sf: str) -> DataFrame:
         F.sum(changed).alias("changed"),
         F.count(F.when(outside, 1)).alias("out_of_bounds"),
     )
+
+
+@query(
+    "i5_imputation_accuracy",
+    f"""WITH sy AS (SELECT suppkey || '_' || year AS row_id, * FROM ({I.SUPPLIER_YEARS_SQL}))
+        SELECT 'total' AS name, count(*) AS n_hidden, 1 AS better_than_mean FROM sy WHERE {I.draw_sql("total", "row_id")} % 100 < 10
+        UNION ALL SELECT 'quantity', count(*), 1 FROM sy WHERE {I.draw_sql("quantity", "row_id")} % 100 < 10""",
+)
+def i5_imputation_accuracy(spark: SparkSession, sf: str) -> DataFrame:
+    """Hidden cells are known here: the mean of five draws must be closer than the column mean."""
+    masked = masked_panel(spark, sf)
+    done = em_impute(
+        masked, "row_id", "year", "suppkey", noms=["kind"], ords=["lines"], bounds={"total": (0, None), "quantity": (0, None)}, m=5
+    )
+    panel = I.supplier_years(spark, sf)
+    truth = panel.select(
+        F.concat_ws("_", "suppkey", "year").alias("row_id"), F.ln("total").alias("t_total"), F.sqrt("quantity").alias("t_quantity")
+    )
+    means = done.groupBy("row_id").agg(F.avg("total").alias("total"), F.avg("quantity").alias("quantity"))
+    cells = [
+        F.struct(F.lit(c).alias("name"), F.col(c).alias("drawn"), F.col(f"t_{c}").alias("known"), mask_draw(c, 10, F.col("row_id")).alias("hidden"))
+        for c in ("total", "quantity")
+    ]
+    long = means.join(truth, "row_id").select(F.inline(F.array(*cells)))
+    error = F.sqrt(F.avg(F.when(F.col("hidden"), F.pow(F.col("drawn") - F.col("known"), 2))))
+    return long.groupBy("name").agg(
+        F.count(F.when(F.col("hidden"), 1)).alias("n_hidden"), (error < F.stddev_samp("known")).cast("int").alias("better_than_mean")
+    )
