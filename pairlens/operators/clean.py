@@ -7,6 +7,8 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions import bounded
+
 
 def _keys(key: Sequence[str] | str) -> list[str]:
     return [key] if isinstance(key, str) else list(key)
@@ -52,7 +54,7 @@ def patch_values(df: DataFrame, patch: DataFrame, key: Sequence[str] | str, cols
 
 def drop_ineligible(df: DataFrame, rules: DataFrame, unit: str, period: str) -> DataFrame:
     """Remove the unit-periods covered by ``rules(unit, drop_from, drop_to)``; a NULL bound is open."""
-    r = rules.select(
+    r = bounded(rules).select(
         F.col(unit).alias("__unit"), F.col("drop_from").alias("__from"), F.col("drop_to").alias("__to")
     )
     p = F.col(period)

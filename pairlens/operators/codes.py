@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions import bounded
+
 
 def canonical_code(code: Column) -> Column:
     """Numeric or textual code to its canonical text: no padding, no blanks, NULL if not a number."""
@@ -35,11 +37,11 @@ def conform_codes(
     ``mapping`` has ``raw_code, valid_from, valid_to, canonical_code``; its
     intervals must not overlap per code.  A code without a matching interval
     becomes NULL, and with ``drop_invalid`` its row goes.  The join is an equi
-    join on the code with the interval as residual, so a small mapping is
-    broadcast by its size and a large one is shuffled.
+    join on the code with the interval as residual.  A mapping of checked small
+    size is broadcast, so a code that most rows carry does not gather them.
     """
     cols = [code_cols] if isinstance(code_cols, str) else list(code_cols)
-    out, order = df, df.columns
+    out, order, mapping = df, df.columns, bounded(mapping)
     how = "inner" if drop_invalid else "left"
     for c in cols:
         side = mapping.select(

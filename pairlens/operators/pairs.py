@@ -11,6 +11,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions import bounded
 from ..session import materialize
 from .spells import expand_spells
 
@@ -286,6 +287,7 @@ def pair_static_lookup(
     keys = pairs.select(*PAIR).distinct()
     found = keys.join(known, list(PAIR), "left")
     if substitutes is not None:
+        substitutes = bounded(substitutes)
         for c in PAIR:
             s = substitutes.select(F.col("code").alias(c), F.col("substitute").alias(f"__s_{c}"))
             found = found.join(s, c, "left").withColumn(f"__s_{c}", F.coalesce(f"__s_{c}", c))
@@ -303,7 +305,7 @@ def pair_static_lookup(
         resolved = F.when(resolved == 0, F.lit(zero_value)).otherwise(resolved)
     found = found.withColumn("__value", resolved)
     if overrides is not None:
-        o = overrides.select(*PAIR, F.col(value).alias("__override"))
+        o = bounded(overrides).select(*PAIR, F.col(value).alias("__override"))
         found = found.join(o, list(PAIR), "left")
         found = found.withColumn("__value", F.coalesce("__override", "__value")).drop("__override")
     return pairs.join(found.withColumnRenamed("__value", name), list(PAIR), "left")

@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import ranked_counts
+from ..functions import bounded, ranked_counts
 
 # Fixed value: double machine epsilon, added inside both logarithms.
 EPS = 2.220446049250313e-16
@@ -99,7 +99,7 @@ def proportional_reduction(scores: DataFrame, base: str = "null", metric: str =
 
 def leaderboard(scores: DataFrame, labels: DataFrame, digits: int = 3, metric: str = "log_loss") -> DataFrame:
     """Display names, rounded numbers, best first. ``seconds`` is shown as ``minutes``."""
-    named = scores.join(labels.select("model", F.col("label").alias("__label")), "model", "left")
+    named = scores.join(bounded(labels).select("model", F.col("label").alias("__label")), "model", "left")
     named = named.withColumn("model", F.coalesce("__label", "model")).drop("__label")
     if "seconds" in named.columns:
         named = named.withColumn("minutes", F.col("seconds") / 60).drop("seconds")

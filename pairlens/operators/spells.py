@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions import flag, in_set
+from ..functions import bounded, flag, in_set
 from .clean import duplicate_audit
 
 
@@ -179,7 +179,7 @@ def ordered_max(
     ``levels(code, label, rank)`` maps codes to labels in order; an unknown code is
     ignored.  With ``universe`` the keys it holds but ``df`` lacks get the lowest level.
     """
-    keys = _keys(key)
+    keys, levels = _keys(key), bounded(levels)
     coded = levels.select(F.col("code").alias(col), "rank", "label").where(F.col(col).isNotNull())
     best = df.join(coded, col, "inner").groupBy(*keys).agg(F.max(F.struct("rank", "label")).alias("__top"))
     best = best.select(*keys, F.col("__top.label").alias(name))
