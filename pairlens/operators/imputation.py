@@ -365,6 +365,7 @@ def em_impute(
     max_width: int = 400,
     driver_cells: int = DRIVER_CELLS,
     name: str = "imp",
+    stored: bool = False,
 ) -> DataFrame:
     """``m`` completed copies of ``df``, stacked, with the copy number in ``name``.
 
@@ -372,8 +373,11 @@ def em_impute(
     as categories, ``ords`` as ordered integers, the rest as numbers.  The model holds a time
     polynomial, and with ``intercs`` one per unit.  ``bounds`` limit imputed values;
     ``priors(row_id, name, mu, sigma)`` state what is known of single missing cells.
-    ``ridge`` (default 1 percent of the rows) steadies the covariances.
+    ``ridge`` (default 1 percent of the rows) steadies the covariances.  The input is read
+    several times, so it is written out first unless it is a ``stored`` table already.
     """
+    if not stored:
+        df = materialize(df, "to-impute")
     skip = {row_id, ts, cs, *idvars}
     numeric = [c for c in df.columns if c not in skip and c not in noms]
     lay, n = _layout(df, numeric, noms, ords, ts, cs, polytime, intercs, max_width)

@@ -41,13 +41,16 @@ def asinh_scale_search(
     """
     cells = _long(df, cols)
     counts = ranked_counts(cells, "value", ["name"])
-    # The centre keeps the sums of squares well scaled.
+    # One row per variable and candidate; the centre keeps the sums of squares well scaled.
     sizes = cells.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("centre"))
-    grid = F.explode(F.array(*[F.lit(int(k)) for k in exponents])).alias("exponent")
-    tried = counts.join(bounded(sizes), "name").select("name", "value", "cnt", "cum", "n", "centre", grid)
-    scale = F.pow(F.lit(2.0), F.col("exponent"))
-    shift = asinh_odd(scale * F.col("centre"))
-    moved = tried.withColumn("y", asinh_odd(scale * F.col("value")) - shift)
+    exponent = F.explode(F.array(*[F.lit(int(k)) for k in exponents])).alias("exponent")
+    grid = sizes.select("name", "n", "centre", exponent).withColumn("scale", F.pow(F.lit(2.0), F.col("exponent")))
+    grid = bounded(grid.withColumn("shift", asinh_odd(F.col("scale") * F.col("centre"))).drop("centre"))
+    # Ranking leaves a variable's values in few partitions; the candidates multiply the work,
+    # so the values are spread over all tasks first.
+    spread = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tried = counts.repartition(spread, "name", "value").join(grid, "name")
+    moved = tried.withColumn("y", asinh_odd(F.col("scale") * F.col("value")) - F.col("shift"))
     moments = moved.groupBy("name", "exponent").agg(
         F.sum(F.col("cnt") * F.col("y")).alias("s1"),
         F.sum(F.col("cnt") * F.col("y") * F.col("y")).alias("s2"),

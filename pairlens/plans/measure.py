@@ -44,7 +44,7 @@ def directed_replicates(
         one = complete.where(F.col("imp_i") == i)
         wide = attach_sides(make_pairs(one, unit, period), one, attrs, unit, period)
         wide = wide.join(variables, [*PAIR, period]).withColumn("pair_id", F.concat_ws("_", *PAIR, period))
-        done = em_impute(materialize(wide, "pairs"), "pair_id", period, None, idvars=PAIR, m=m_pairs, name="imp_j", **pair_options)
+        done = em_impute(materialize(wide, "pairs"), "pair_id", period, None, idvars=PAIR, m=m_pairs, name="imp_j", stored=True, **pair_options)
         directed = mirror_pairs(done.drop("pair_id")).withColumn("imp_i", F.lit(i))
         write_replicates(directed, path, ("imp_i", "imp_j"), mode="append")
     return path

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import scoring as R
 from ..operators.pairs import mirror_pairs
+from ..session import materialize
 from . import inputs as I
 from .catalog import query
 from .pair_queries import PAIR_FRAME_SQL, _PAIR_EVENTS, pair_frame
@@ -42,7 +43,7 @@ def r2_confusion(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("r3_auc", f"{_P} {_AUC}")
 def r3_auc(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(R.auc(I.fixed_predictions(spark, sf), "label", "p", ["model"]))
+    return _rounded(R.auc(materialize(I.fixed_predictions(spark, sf), "predictions"), "label", "p", ["model"]))
 
 
 @query(
@@ -64,7 +65,7 @@ def r3_auc_orders(spark: SparkSession, sf: str) -> DataFrame:
         SELECT c.*, {_RATES}, auc FROM c JOIN a USING (model)""",
 )
 def r4_score_models(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(R.score_models(I.fixed_predictions(spark, sf)))
+    return _rounded(R.score_models(materialize(I.fixed_predictions(spark, sf), "predictions")))
 
 
 @query(
@@ -82,11 +83,11 @@ WEIGHTS = {"steep": 0.5, "flat": 0.3, "null": 0.2}
 @query(
     "r7_blend",
     f"""{_P} SELECT row_id, label, 'ensemble' AS model,
-             round(sum(p * CASE model WHEN 'steep' THEN 0.5::DOUBLE WHEN 'flat' THEN 0.3::DOUBLE ELSE 0.2::DOUBLE END), 7) AS p
+             round(sum(p * CASE model WHEN 'steep' THEN 0.5::DOUBLE WHEN 'flat' THEN 0.3::DOUBLE ELSE 0.2::DOUBLE END), 10) AS p
              FROM preds WHERE model <> 'inverse' GROUP BY 1, 2""",
 )
 def r7_blend(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(R.blend(I.fixed_predictions(spark, sf), WEIGHTS, "row_id", ["label"]), 7)
+    return _rounded(R.blend(I.fixed_predictions(spark, sf), WEIGHTS, "row_id", ["label"]), 10)
 
 
 @query(
