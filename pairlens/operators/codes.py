@@ -31,17 +31,23 @@ def conform_codes(
     mapping: DataFrame,
     drop_invalid: bool = True,
     key_name: str | None = None,
+    normalize: bool = False,
 ) -> DataFrame:
     """Map (code, period) to the canonical code through validity intervals.
 
     ``mapping`` has ``raw_code, valid_from, valid_to, canonical_code``; its
     intervals must not overlap per code.  A code without a matching interval
-    becomes NULL, and with ``drop_invalid`` its row goes.  The join is an equi
+    becomes NULL, and with ``drop_invalid`` its row goes.  ``normalize`` brings the codes
+    of both tables to canonical text first.  The join is an equi
     join on the code with the interval as residual.  A mapping of checked small
     size is broadcast, so a code that most rows carry does not gather them.
     """
     cols = [code_cols] if isinstance(code_cols, str) else list(code_cols)
-    out, order, mapping = df, df.columns, bounded(mapping)
+    out, order = df, df.columns
+    if normalize:
+        mapping = mapping.withColumns({c: canonical_code(F.col(c)) for c in ("raw_code", "canonical_code")})
+        out = out.withColumns({c: canonical_code(F.col(c)) for c in cols})
+    mapping = bounded(mapping)
     how = "inner" if drop_invalid else "left"
     for c in cols:
         side = mapping.select(

@@ -26,7 +26,7 @@ def normal_distance(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     fit = cells.groupBy("name").agg(
         F.count(F.lit(1)).alias("n"), F.avg("value").alias("mu"), F.stddev_samp("value").alias("sd")
     )
-    gap = F.abs(F.col("cum") / F.col("n") - normal_cdf((F.col("value") - F.col("mu")) / F.col("sd")))
+    gap = F.abs(F.col("cum") / F.col("n") - normal_cdf(F.try_divide(F.col("value") - F.col("mu"), F.col("sd"))))
     return counts.join(bounded(fit), "name").groupBy("name").agg(F.max(gap).alias("distance"))
 
 
@@ -57,10 +57,9 @@ def asinh_scale_search(
         F.max("n").alias("total"),
     )
     mu = F.col("s1") / F.col("total")
-    moments = moments.select(
-        "name", "exponent", mu.alias("mu"), F.sqrt((F.col("s2") - F.col("s1") * mu) / (F.col("total") - 1)).alias("sd")
-    )
-    gap = F.abs(F.col("cum") / F.col("n") - normal_cdf((F.col("y") - F.col("mu")) / F.col("sd")))
+    var = F.try_divide(F.greatest(F.col("s2") - F.col("s1") * mu, F.lit(0.0)), F.col("total") - 1)
+    moments = moments.select("name", "exponent", mu.alias("mu"), F.sqrt(var).alias("sd"))
+    gap = F.abs(F.col("cum") / F.col("n") - normal_cdf(F.try_divide(F.col("y") - F.col("mu"), F.col("sd"))))
     scored = moved.join(bounded(moments), ["name", "exponent"]).groupBy("name", "exponent").agg(
         F.max(gap).alias("distance")
     )

@@ -16,7 +16,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 def norm(v):
     if isinstance(v, float):
-        return None if math.isnan(v) else v
+        return None if math.isnan(v) else "-0.0" if v == 0 and math.copysign(1, v) < 0 else v
     if isinstance(v, bool):
         return int(v)
     return v

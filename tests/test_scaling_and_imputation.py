@@ -34,6 +34,12 @@ def test_normal_distance_and_scale_search(rows):
     assert (found["exponent"], found["distance"]) == (best, losses[best])
 
 
+def test_constant_column_has_no_distance(rows):
+    df = rows([(3.0,), (3.0,), (3.0,)], "x double")
+    assert scaling.normal_distance(df, ["x"]).first()["distance"] is None
+    assert scaling.asinh_scale_search(df, ["x"]).first()["distance"] is None
+
+
 def test_last_all_zero_and_priors(rows):
     df = rows(
         [("a", y, x) for y, x in zip(range(1, 6), (0.0, 0.0, None, 3.0, 0.0))] + [("b", 1, 2.0), ("b", 2, 1.0)] + [("c", 1, None), ("c", 2, 0.0)],

@@ -65,6 +65,13 @@ def test_conform_two_code_columns(rows):
     assert as_set(codes.conform_codes(df, ["a", "b"], "year", mapping), "a", "b", "year") == {(5, 2, 7)}
 
 
+def test_conform_codes_normalizes_text(rows):
+    mapping = rows([(2, 0, 99, 2), (20, 0, 99, 21)], "raw_code int, valid_from int, valid_to int, canonical_code int")
+    df = rows([("002", 5), (" 20", 5), ("x", 5)], "code string, year int")
+    got = codes.conform_codes(df, "code", "year", mapping, normalize=True)
+    assert as_set(got, "code", "year") == {("2", 5), ("21", 5)}
+
+
 def test_canonical_code_and_display_key(rows):
     df = rows([("002",), (" 20 ",), ("x",), (None,)], "c string").select("c", codes.canonical_code(F.col("c")).alias("k"))
     assert as_set(df, "c", "k") == {("002", "2"), (" 20 ", "20"), ("x", None), (None, None)}
