@@ -94,7 +94,10 @@ def fit_weights(q: DataFrame, k: int, tol: float = 1e-9, max_iter: int = 50) ->
 def ensemble_weights(
     preds: DataFrame, models: Sequence[str], y: str = "label", row_id: str = "row_id", tol: float = 1e-9, max_iter: int = 50
 ) -> dict[str, float]:
-    """Weights >= 0 with sum 1 that minimise the log-loss of the weighted mean probability."""
+    """Weights >= 0 with sum 1 that minimise the log-loss of the weighted mean probability.
+
+    Fitted on the rows that every model scored.
+    """
     q = _likelihood_columns(preds, models, y, row_id).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         w, _ = fit_weights(q, len(models), tol, max_iter)

@@ -1,5 +1,6 @@
 """Splits, folds and resamples. Every random choice is an md5 draw on the row id,
-so it does not depend on partitioning and a lost task repeats it exactly."""
+so it does not depend on partitioning and a lost task repeats it exactly.  Rows need a
+known class: complete cases come first."""
 
 from __future__ import annotations
 

@@ -84,10 +84,11 @@ def prediction_matrix(preds: DataFrame, models: Sequence[str], row_id: str = "ro
 
 
 def blend(preds: DataFrame, weights: Mapping[str, float], row_id: str = "row_id", keep: Sequence[str] = (), name: str = "ensemble") -> DataFrame:
-    """Weighted mean probability per row as a further model."""
+    """Weighted mean probability per row as a further model; NULL where a model gave none."""
     table = F.create_map(*[F.lit(x) for m, w in weights.items() for x in (m, float(w))])
     used = preds.where(F.col("model").isin(list(weights)))
-    mixed = used.groupBy(row_id, *keep).agg(F.sum(F.col("p") * F.element_at(table, F.col("model"))).alias("p"))
+    total = F.sum(F.col("p") * F.element_at(table, F.col("model")))
+    mixed = used.groupBy(row_id, *keep).agg(F.when(F.count("p") == len(weights), total).alias("p"))
     return mixed.select(row_id, *keep, F.lit(name).alias("model"), "p")
 
 

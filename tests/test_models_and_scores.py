@@ -100,6 +100,8 @@ def test_blend_matrix_reduction_and_board(rows):
     preds = rows([(1, 1.0, "a", 0.8), (1, 1.0, "null", 0.5), (2, 0.0, "a", 0.4), (2, 0.0, "null", 0.5)], "row_id int, label double, model string, p double")
     mixed = R.blend(preds, {"a": 0.75, "null": 0.25}, "row_id", ["label"])
     assert {r["row_id"]: round(r["p"], 9) for r in mixed.collect()} == {1: 0.725, 2: 0.425}
+    short = R.blend(preds.where("NOT (row_id = 2 AND model = 'a')"), {"a": 0.75, "null": 0.25})
+    assert as_dict(short, "row_id", "p")[2] is None
     wide = R.prediction_matrix(preds, ["null", "a"])
     assert as_set(wide, "row_id", "null", "a") == {(1, 0.5, 0.8), (2, 0.5, 0.4)}
     scores = R.proportional_reduction(R.log_loss(preds, "label", "p", ["model"]))
