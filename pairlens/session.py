@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+PACKAGE = os.path.dirname(os.path.abspath(__file__))
+
 
 def local_session(
     cores: int | str = 8, shuffle_partitions: int = 8, name: str = "pairlens", conf: dict[str, str] | None = None
@@ -28,23 +32,56 @@ def local_session(
     return builder.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application.
+
+    Functions that run in Python workers are pickled by name, so the workers must be
+    able to import the package even where it is not installed and was found through
+    the driver's own path.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_pairlens_shipped", False):
+        return
+    folder = tempfile.mkdtemp(prefix="pairlens-package-")  # read by the driver's own file server only
+    archive = os.path.join(folder, "pairlens_package.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for top, _, names in os.walk(PACKAGE):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(top, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(PACKAGE)))
+    context.addPyFile(archive)
+    context._pairlens_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    A cluster always names one.  Only where it is unset (tests on one machine)
-    a temporary folder takes its place, remembered on the session.
+    A cluster always names one, in the session or by ``setCheckpointDir``.  Only on one
+    machine, where it is unset, a temporary folder takes its place.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        named = spark.sparkContext._jsc.sc().getCheckpointDir()
+        path = named.get() if named.isDefined() else None
     if not path:
         path = spark.conf.get("pairlens.scratch.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if not master.startswith("local[") and master != "local":
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all machines of {master} share")
         path = tempfile.mkdtemp(prefix="pairlens-")
         spark.conf.set("pairlens.scratch.dir", path)
     return path.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; the application owns it and removes it when it ends."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
 
 
 def materialize(df: DataFrame, label: str = "stage", rebalance: bool = False) -> DataFrame:
@@ -57,4 +94,4 @@ def materialize(df: DataFrame, label: str = "stage", rebalance: bool = False) ->
     """
     path = scratch_path(df.sparkSession, label)
     (df.hint("rebalance") if rebalance else df).write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
