@@ -232,7 +232,9 @@ def fit_selector(x: np.ndarray, y: np.ndarray, kinds: np.ndarray, precision: flo
         order = np.argsort(-p[mine], kind="stable")
         right = np.cumsum(y[held][mine][order]) / np.arange(1, mine.sum() + 1)
         enough = np.flatnonzero(right >= precision)
-        thresholds.append(max(0.5, float(p[mine][order][enough[-1]])) if len(enough) else 2.0)
+        ranked = np.append(p[mine][order], 0.0)
+        # Half-way to the next lower one, so that a span like the accepted ones is accepted.
+        thresholds.append(max(0.5, float(ranked[enough[-1] : enough[-1] + 2].mean())) if len(enough) else 2.0)
     return Selector(trees, slope, offset, tuple(thresholds))
 
 
