@@ -57,38 +57,29 @@ def _running(df: DataFrame, key: str) -> DataFrame:
     return df.withColumn("high", F.col("low") + running).withColumn("low", F.col("high") - F.col("words"))
 
 
-def mix_sources(
-    docs: DataFrame,
-    weights: Sequence[int] = (5, 2, 1),
-    share: float = 1.5,
-    max_epochs: float = 2.0,
-    seed: str = "mix",
-    doc_id: str = "doc_id",
-    text: str = "text",
-    source: str = "source",
-) -> DataFrame:
-    """Per document the words that a mix of the sources takes from it.
-
-    Returns ``doc_id, source, size, source_size, target, copies, taken``.  A source gives all its
-    documents ``floor(target / size)`` times, and once more those whose order hash lies below
-    the source's threshold.  The threshold is found without sorting: words by source and hash
-    bucket, the one bucket in which the budget ends is cut into buckets again, and only the few
-    hashes of that last bucket are put in order.  The document at the edge is taken if that
-    brings the source nearer to its target, so the error is at most half a document.
-
-    Null texts have size 0, a null source is a source of its own, last in the order.  Rows
-    with the same id share one hash and are taken or left together; rows with a null id likewise.
-    Other columns are ignored.  An empty table gives an empty result.
-    """
-    pieces = docs.select(
+def _pieces(docs: DataFrame, seed: str, doc_id: str, text: str, source: str) -> DataFrame:
+    """The narrow view of the documents that a mix is planned from."""
+    return docs.select(
         F.col(doc_id).alias("doc_id"),
         F.col(source).alias("source"),
-        F.when(F.col(source).isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col(source))).alias("skey"),
+        source_key(F.col(source)).alias("skey"),
         word_count(F.col(text)).alias("size"),
         document_order(F.col(doc_id), seed).alias("h"),
     )
-    # Reading and counting the texts is done once; what follows reads a narrow table.
-    pieces = materialize(pieces, "mix-pieces")
+
+
+def source_key(source: Column) -> Column:
+    """A join key that also holds for a null source."""
+    return F.when(source.isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), source))
+
+
+def mix_plan(pieces: DataFrame, weights: Sequence[int], share: float, max_epochs: float) -> DataFrame:
+    """Per source its target, the whole epochs it gives, and the hash below which documents are given once more.
+
+    The threshold is found without sorting: words by source and hash bucket, the one bucket in
+    which the budget ends is cut into buckets again, and only the few hashes of that last bucket
+    are put in order.
+    """
     sizes = pieces.groupBy("skey", "source").agg(F.sum("size").alias("source_size"))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("int")
     plan = source_targets(sizes, weights, share, max_epochs).withColumn("epochs", epochs)
@@ -100,8 +91,8 @@ def mix_sources(
     inside = pieces.select("skey", "h", "size")
     for level in (1, 2):
         counts = inside.groupBy("skey", bucket(level).alias("bucket")).agg(F.sum("size").alias("words"))
-        edge = _running(counts.join(edge.select("skey", "budget", "low"), "skey"), "bucket").where(ends_here).select("skey", "budget", "bucket", "low")
-        edge = materialize(edge, "mix-edge")
+        edge = _running(counts.join(edge.select("skey", "budget", "low"), "skey"), "bucket").where(ends_here)
+        edge = materialize(edge.select("skey", "budget", "bucket", "low"), "mix-edge")
         # At most one bucket per source is left, about 1 in 4096 of its rows.
         found = edge.select("skey", "bucket")
         inside = inside.withColumn("bucket", bucket(level)).join(found, ["skey", "bucket"], "left_semi").select("skey", "h", "size")
@@ -110,9 +101,50 @@ def mix_sources(
     left_out = F.col("low") + F.col("high") > 2 * F.col("budget")
     beyond = F.shiftleft(F.first("bucket") + 1, HASH_BITS - 2 * LEVEL_BITS)
     cuts = last.groupBy("skey").agg(F.coalesce(F.min(F.when(left_out, F.col("h"))), beyond).alias("cut"))
-    plan = materialize(plan.join(cuts, "skey", "left").withColumn("cut", F.coalesce("cut", F.lit(0).cast("long"))), "mix-cuts")
+    plan = plan.join(cuts, "skey", "left").withColumn("cut", F.coalesce("cut", F.lit(0).cast("long")))
+    return materialize(plan.select("skey", "source_size", "target", "epochs", "cut"), "mix-cuts")
+
 
-    copies = F.col("epochs") + (F.col("h") < F.col("cut")).cast("int")
-    mixed = pieces.join(plan.drop("source"), "skey").withColumn("copies", copies)
+def copies() -> Column:
+    return F.col("epochs") + (F.col("h") < F.col("cut")).cast("int")
+
+
+def mix_sources(
+    docs: DataFrame,
+    weights: Sequence[int] = (5, 2, 1),
+    share: float = 1.5,
+    max_epochs: float = 2.0,
+    seed: str = "mix",
+    doc_id: str = "doc_id",
+    text: str = "text",
+    source: str = "source",
+) -> DataFrame:
+    """Per document the words that a mix of the sources takes from it.
+
+    Returns ``doc_id, source, size, source_size, target, copies, taken``.  A source gives all its
+    documents ``floor(target / size)`` times, and once more those whose order hash lies below
+    the source's threshold (``mix_plan``).  The document at the edge is taken if that brings
+    the source nearer to its target, so the error is at most half a document.
+
+    Null texts have size 0, a null source is a source of its own, last in the order.  Rows
+    with the same id share one hash and are taken or left together; rows with a null id likewise.
+    Other columns are ignored.  An empty table gives an empty result.
+    """
+    # Reading and counting the texts is done once; what follows reads a narrow table.
+    pieces = materialize(_pieces(docs, seed, doc_id, text, source), "mix-pieces")
+    mixed = pieces.join(mix_plan(pieces, weights, share, max_epochs), "skey").withColumn("copies", copies())
     taken = (F.col("copies") * F.col("size")).cast("long")
     return mixed.select("doc_id", "source", "size", "source_size", "target", "copies", taken.alias("taken"))
+
+
+def take_mix(
+    docs: DataFrame, columns: Sequence[str], weights: Sequence[int] = (5, 2, 1), share: float = 1.5, max_epochs: float = 2.0, seed: str = "mix"
+) -> DataFrame:
+    """The given columns of the documents that the mix takes, with ``copies``, how often it takes them.
+
+    The rows are filtered where they are; only the plan, one row per source, is joined to them.
+    """
+    pieces = materialize(_pieces(docs, seed, "doc_id", "text", "source"), "mix-pieces")
+    plan = mix_plan(pieces, weights, share, max_epochs).select("skey", "epochs", "cut")
+    rows = docs.select(*columns, source_key(F.col("source")).alias("skey"), document_order(F.col("doc_id"), seed).alias("h"))
+    return rows.join(plan, "skey").withColumn("copies", copies()).where("copies > 0").select(*columns, "copies")

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..session import materialize
 from .boosting import BoostedTrees, platt, sigmoid
+from .sums import bounded_sample
 from .text import chunks, code_points, column_bytes
 
 KINDS = ("email", "ip", "card", "phone")
@@ -261,12 +262,12 @@ def candidates_of(docs: DataFrame, keep: Sequence[str], text: str = "text") -> D
 
 
 def learn(candidates: DataFrame, sample: int = 10_000) -> Selector:
-    """Fit on at most ``sample`` checked candidates of each outcome, chosen by a hash of their content."""
+    """Fit on about ``sample`` checked candidates of each outcome at most, chosen by a hash of their content."""
     c = candidates.select(F.explode("candidates").alias("c")).select("c.*").where(F.col("label") >= 0)
-    order = [F.xxhash64("x", "start"), "start", "end"]
-    rows = [r for label in (PASSED, FAILED) for r in c.where(F.col("label") == label).orderBy(*order).limit(sample).collect()]
+    rows = [r for label in (PASSED, FAILED) for r in bounded_sample(c.where(F.col("label") == label), sample, "x", "start")]
     if not rows:
         return Selector()
+    rows.sort(key=lambda r: (r["kind"], r["start"], r["end"], r["label"], r["x"]))
     mixed = np.random.default_rng(7).permutation(len(rows))
     x = np.array([rows[i]["x"] for i in mixed], dtype=np.float64)
     return fit_selector(x, np.array([rows[i]["label"] for i in mixed]), np.array([rows[i]["kind"] for i in mixed]))

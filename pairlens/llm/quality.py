@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..session import materialize
 from .boosting import sigmoid
-from .sums import BLOCKS, blocks, task_number, total
+from .sums import BLOCKS, blocks, bounded_sample, task_number, total
 from .text import ALNUM, BLANK, LOWER, SAME, chunks, words
 
 # Tokens are hashed into this many slots, each with a vector of DIM numbers.
@@ -177,11 +178,11 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit_quality(features: DataFrame, labels: DataFrame, doc_id: str = "doc_id", label: str = "quality", sample: int = 20_000) -> Network:
-    """Fit on at most ``sample`` labelled rows outside the held-out third, chosen by a hash of their id."""
+    """Fit on about ``sample`` labelled rows at most, outside the held-out third, chosen by a hash of their id."""
     known = labels.select(F.col(doc_id).alias("id"), F.col(label).alias("y")).where("id IS NOT NULL AND y IS NOT NULL")
     known = known.where(~held_out(F.col("id")))
     rows = features.select(F.col(doc_id).alias("id"), "x").join(known, "id")
-    rows = rows.orderBy(F.xxhash64("id"), "id", "y").limit(sample).collect()
+    rows = sorted(bounded_sample(rows, sample, "id"), key=lambda r: (crc32(str(r["id"]).encode()), r["id"], r["y"]))
     x = np.array([r["x"] for r in rows], dtype=np.float64).reshape(len(rows), -1)
     return fit_network(x, np.array([float(r["y"]) for r in rows]))
 

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 BLOCKS = "block int, part int, data binary"
 # Floats in a block, and groups of tasks that are summed before the last step.
@@ -57,3 +57,14 @@ def task_number() -> int:
     return context.partitionId() if context else 0
 
 
+
+
+def bounded_sample(rows: DataFrame, size: int, *key: str) -> list:
+    """About ``size`` rows, all if there are fewer, chosen by a hash of ``key``.
+
+    The share to keep follows from a count, so that each task sends only its part of the sample.
+    """
+    n = rows.count()
+    if n > size:
+        rows = rows.where(F.pmod(F.xxhash64(*key), F.lit(1 << 30)) < int((1 << 30) * size / n))
+    return rows.limit(2 * size).collect()
