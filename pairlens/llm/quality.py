@@ -138,7 +138,8 @@ class Network:
 def fit_network(x: np.ndarray, y: np.ndarray, hidden: int = 32, epochs: int = 60, batch: int = 256, rate: float = 3e-3, decay: float = 1e-4) -> Network:
     """Adam on four fifths of the rows; the last fifth sets the temperature by log-loss."""
     if len(y) == 0:
-        x, y = np.zeros((1, DIM + PLAIN)), np.full(1, 0.5)
+        n = DIM + PLAIN
+        return Network(np.zeros(n), np.ones(n), [np.zeros((n, hidden)), np.zeros(hidden), np.zeros(hidden), np.array(0.0)])
     rng = np.random.default_rng(5)
     held = np.arange(len(y)) % 5 == 4
     tx, ty = x[~held], y[~held]
@@ -183,7 +184,7 @@ def fit_quality(features: DataFrame, labels: DataFrame, doc_id: str = "doc_id",
     known = known.where(~held_out(F.col("id")))
     rows = features.select(F.col(doc_id).alias("id"), "x").join(known, "id")
     rows = sorted(bounded_sample(rows, sample, "id"), key=lambda r: (crc32(str(r["id"]).encode()), r["id"], r["y"]))
-    x = np.array([r["x"] for r in rows], dtype=np.float64).reshape(len(rows), -1)
+    x = np.array([r["x"] for r in rows], dtype=np.float64).reshape(len(rows), DIM + PLAIN)
     return fit_network(x, np.array([float(r["y"]) for r in rows]))
 
 
