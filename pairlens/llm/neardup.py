@@ -15,6 +15,8 @@ from .text import BASE, BASE_2, BLANK, SAME, chunks, mix, run_hashes, words
 
 # Bits of a shingle's hash beside the number of its text within a chunk.
 HASH_BITS = 44
+# Slots of the approximate shingle counts that order tokens by rarity.
+SLOTS = 1 << 18
 # Bands whose leaders are verified first; most members need no others.
 FIRST_BANDS = 3
 GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -165,6 +167,57 @@ def _verify(shape: Shape):
     return run
 
 
+def _slot_counts(batches: Iterator[pa.RecordBatch], size: int) -> np.ndarray:
+    counts = np.zeros(SLOTS, dtype=np.int64)
+    for batch in batches:
+        for part in chunks(batch, "text"):
+            counts += np.bincount((bags(part.column("text"), size).key % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
+    return counts
+
+
+def _count(shape: Shape):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = _slot_counts(batches, shape.words)
+        seen = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(counts[seen])], names=["slot", "n"])
+
+    return run
+
+
+def prefix_length(weight: np.ndarray, similarity: float) -> np.ndarray:
+    """So many first tokens of a bag, in any order common to all, hold one token of every similar bag."""
+    return weight - np.ceil(similarity * weight - 1e-9).astype(np.int64) + 1
+
+
+def _prefix(shared, shape: Shape):
+    """The rarest tokens of each text: (token, vid, place, weight, root, stray).
+
+    The i-th copy of a shingle is a token of its own, so that overlaps of multisets are overlaps
+    of sets.  How rare a token is comes from counts of hashed slots; a poor count costs time, no
+    link, as any order will do that is the same for all texts.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = shared.value
+        for batch in batches:
+            for part in chunks(batch, "text"):
+                b = bags(part.column("text"), shape.words)
+                one = np.repeat(np.arange(len(b.key)), b.count)
+                copy = np.arange(len(one)) - np.repeat(np.cumsum(b.count) - b.count, b.count)
+                token = mix(b.key[one] + copy.astype(np.uint64) * GOLD)
+                doc = b.doc[one]
+                order = np.lexsort((token, counts[(b.key[one] % np.uint64(SLOTS)).astype(np.int64)], doc))
+                first = np.cumsum(b.weight) - b.weight
+                place = np.arange(len(one)) - first[doc]
+                keep = place < prefix_length(b.weight, shape.similarity)[doc]
+                rows = pa.array(doc[keep])
+                columns = [pa.array(token[order][keep].view(np.int64)), part.column("vid").take(rows), pa.array(place[keep])]
+                columns += [pa.array(b.weight[doc[keep]]), part.column("root").take(rows), part.column("stray").take(rows)]
+                yield pa.RecordBatch.from_arrays(columns, names=["token", "vid", "place", "weight", "root", "stray"])
+
+    return run
+
+
 class Links:
     """Verified links between distinct texts, found bucket by bucket without pairing off whole buckets."""
 
@@ -199,6 +252,30 @@ class Links:
         """Multisets of very different size cannot be similar."""
         return F.least(a, b) >= self.shape.similarity * F.greatest(a, b) - 1e-9
 
+    def prefix_pairs(self, crowd: DataFrame) -> DataFrame:
+        """Pairs (a, b) of a stray and a text of another component that share a rare token early enough to be similar.
+
+        An exact filter: two bags with the needed overlap share a token within both prefixes, and
+        what follows the first such token must suffice for the overlap.  Strays whose rare
+        shingles are their own meet nobody, however large the crowd around them is.
+        """
+        texts = materialize(self.bodies.join(crowd, "vid").select("vid", "root", "stray", "text"), "crowd")
+        counts = np.zeros(SLOTS, dtype=np.int64)
+        counted = texts.select("text").mapInArrow(_count(self.shape), "slot int, n long")
+        for r in counted.groupBy("slot").agg(F.sum("n").alias("n")).collect():  # at most SLOTS rows
+            counts[r["slot"]] = r["n"]
+        shared = texts.sparkSession.sparkContext.broadcast(counts)
+        schema = "token long, vid long, place long, weight long, root long, stray boolean"
+        tokens = materialize(texts.mapInArrow(_prefix(shared, self.shape), schema), "prefixes")
+        x, y = tokens.where("stray").alias("x"), tokens.alias("y")
+        t = self.shape.similarity
+        need = F.ceil(F.lit(t / (1 + t)) * (F.col("x.weight") + F.col("y.weight")) - 1e-9)
+        left = F.least(F.col("x.weight") - F.col("x.place"), F.col("y.weight") - F.col("y.place"))
+        fits = self.could_link(F.col("x.weight"), F.col("y.weight")) & (left >= need)
+        once = ~F.col("y.stray") | (F.col("x.vid") < F.col("y.vid"))
+        met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.root") != F.col("y.root")) & once & fits)
+        return met.select(F.least("x.vid", "y.vid").alias("a"), F.greatest("x.vid", "y.vid").alias("b")).distinct()
+
     def star(self, shared: DataFrame) -> DataFrame:
         """Each member with its bucket's leader, once per pair."""
         heads = self.texts.select(F.col("vid").alias("leader"), F.col("weight").alias("lead_weight"))
@@ -230,14 +307,12 @@ def text_classes(docs: DataFrame, shape: Shape = Shape(), text: str = "text") ->
     apart = _rooted(_rooted(found.shared, roots, "vid", "rv"), roots, "leader", "rl").where("rv <> rl")
     roots = _merge(roots, found.verify(found.star(apart)))
 
-    # What is left: members apart from their leader could still be linked to other members.
+    # What is left: members apart from their leader could still be linked to others of the crowd.
     placed = _rooted(_rooted(found.shared, roots, "vid", "rv"), roots, "leader", "rl")
-    placed = materialize(placed.select("bucket", "vid", "weight", "leader", "rv", "rl"), "placed")
-    strays = placed.where("rv <> rl").select("bucket", F.col("vid").alias("a"), F.col("weight").alias("wa"), F.col("rv").alias("ra"))
-    others = placed.where("vid <> leader").select("bucket", F.col("vid").alias("b"), F.col("weight").alias("wb"), F.col("rv").alias("rb"))
-    wanted = (F.col("ra") != F.col("rb")) & found.could_link(F.col("wa"), F.col("wb"))
-    pairs = strays.join(others, "bucket").where(wanted).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    roots = _merge(roots, found.verify(pairs))
+    placed = materialize(placed.select("bucket", "vid", "rv", (F.col("rv") != F.col("rl")).alias("apart")), "placed")
+    crowds = placed.where("apart").select("bucket").distinct()
+    crowd = placed.join(crowds, "bucket", "left_semi").groupBy("vid").agg(F.first("rv").alias("root"), F.max("apart").alias("stray"))
+    roots = _merge(roots, found.verify(found.prefix_pairs(crowd)))
     vertices = _rooted(found.texts.select("key", "vid", "first_id"), roots, "vid", "root")
     return found.signed.select("doc_id", "key"), vertices.select("key", "root", "first_id")
 
@@ -248,9 +323,9 @@ def near_duplicates(docs: DataFrame, shape: Shape = Shape(), doc_id: str = "doc_
     Texts are linked if the weighted Jaccard similarity of their multisets of word shingles is at
     least ``shape.similarity``; classes are the connected components.  Equal texts are one vertex,
     so copies are never paired.  Banded BagMinHash signatures give buckets; each member is
-    verified against its bucket's leader, then members in another component than the leader
-    against all members in other components, so no link within a bucket is lost and the size of
-    a group of mutual copies does not square.
+    verified against its bucket's leader, which joins most near copies.  Members that stay apart
+    from their leader are joined with the rest of these buckets on rare shingles, by an exact prefix
+    filter, so no link within a bucket is lost and no bucket is paired off.
 
     Null texts count as empty, and empty texts are equal to each other; texts without words are
     linked to equal texts only.  Null ids never name a class unless all ids of the class are null.
