@@ -44,13 +44,13 @@ def md5_key(seed: int | str, *ids: Column) -> Column:
 
 
 def seeded_draw(seed: int | str, *ids: Column) -> Column:
-    """Reproducible integer draw in [0, 2^32) from the leading 8 hex digits of the digest."""
-    return F.conv(F.substring(md5_key(seed, *ids), 1, 8), 16, 10).cast("bigint")
+    """Reproducible integer draw in [0, 2^60) from the leading 15 hex digits of the digest."""
+    return F.conv(F.substring(md5_key(seed, *ids), 1, 15), 16, 10).cast("bigint")
 
 
 def seeded_uniform(seed: int | str, *ids: Column) -> Column:
     """Reproducible uniform draw in [0, 1)."""
-    return seeded_draw(seed, *ids) / F.lit(4294967296.0)
+    return seeded_draw(seed, *ids) / F.lit(float(1 << 60))
 
 
 def mask_draw(seed: int | str, percent: int, *ids: Column) -> Column:

@@ -49,11 +49,12 @@ def ranked_counts(
     by: Sequence[str] = (),
     extra: dict[str, Column] | None = None,
     bucket_values: int = BUCKET_VALUES,
+    running: str = "cnt",
 ) -> DataFrame:
     """Distinct non-null values per group with counts and running counts.
 
     Columns: ``by``, ``value``, ``cnt``, ``cum`` (rows with value <= this one) and
-    the ``extra`` sums per distinct value.  ``by`` is a small set of labels
+    the ``extra`` sums per distinct value; ``running`` names the one that ``cum`` adds up.  ``by`` is a small set of labels
     (variable names, model names), any of which may hold most of the rows.
     """
     by = list(by)
@@ -63,7 +64,7 @@ def ranked_counts(
     counts = data.groupBy(*by, value).agg(F.count(F.lit(1)).alias("cnt"), *sums)
     if not splits:
         window = W.partitionBy(*by).orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow)
-        return counts.withColumn("cum", F.sum("cnt").over(window))
+        return counts.withColumn("cum", F.sum(running).over(window))
 
     fields = [f for f in df.select(*by).schema.fields]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["splits array<double>"])
@@ -75,7 +76,7 @@ def ranked_counts(
         placed = counts.withColumn("splits", F.array(*[F.lit(float(s)) for s in splits[0]["splits"]]))
     below = F.size(F.filter("splits", lambda s: s < F.col(value).cast("double")))
     placed = placed.withColumn("bucket", F.coalesce(below, F.lit(0))).drop("splits")
-    totals = placed.groupBy(*by, "bucket").agg(F.sum("cnt").alias("bucket_cnt"))
+    totals = placed.groupBy(*by, "bucket").agg(F.sum(running).alias("bucket_cnt"))
     before = W.partitionBy(*by).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = totals.select(
         *by, "bucket", F.coalesce(F.sum("bucket_cnt").over(before), F.lit(0)).alias("offset")
@@ -83,7 +84,7 @@ def ranked_counts(
     inside = W.partitionBy(*by, "bucket").orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow)
     return (
         placed.join(offsets, [*by, "bucket"])
-        .withColumn("cum", F.col("offset") + F.sum("cnt").over(inside))
+        .withColumn("cum", F.col("offset") + F.sum(running).over(inside))
         .drop("bucket", "offset")
     )
 

@@ -15,15 +15,16 @@ import numpy as np
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
-from .scoring import EPS, blend, prediction_matrix, score_models
+from .scoring import EPS, blend, prediction_matrix, row_weight, score_models
 
 STEPS = (1.0, 0.5, 0.25, 0.1, 0.03, 0.01)
 
 
-def _likelihood_columns(preds: DataFrame, models: Sequence[str], y: str, row_id: str) -> DataFrame:
-    wide = prediction_matrix(preds, models, row_id, [y])
+def _likelihood_columns(preds: DataFrame, models: Sequence[str], y: str, row_id: str, weight: str | None = None) -> DataFrame:
+    """Columns q0, q1 ... of the rows that every model scored, and their weight ``w``."""
+    wide = prediction_matrix(preds, models, row_id, [y, *([weight] if weight else [])])
     qs = [F.when(F.col(y) == 1, F.col(f"`{m}`")).otherwise(1.0 - F.col(f"`{m}`")).alias(f"q{i}") for i, m in enumerate(models)]
-    return wide.select(*qs).na.drop()
+    return wide.select(*qs, row_weight(weight).alias("w")).na.drop()
 
 
 def _project(v: np.ndarray) -> np.ndarray:
@@ -59,14 +60,20 @@ def _mix(w: np.ndarray):
 
 
 def fit_weights(q: DataFrame, k: int, tol: float = 1e-9, max_iter: int = 50) -> tuple[np.ndarray, float]:
-    """Weights minimising mean(-log(w.q + eps)) for the columns q0..q(k-1)."""
+    """Weights minimising the (row-weighted) mean of -log(w.q + eps) for the columns q0..q(k-1).
+
+    Raises if the loss still falls after ``max_iter`` passes.
+    """
+    each = F.col("w") if "w" in q.columns else F.lit(1.0)
+    rows = q.agg(F.sum(each)).first()[0]
+    mean = lambda c: F.sum(each * c) / F.lit(float(rows or 1.0))
     w = np.full(k, 1.0 / k)
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
     loss = np.inf
     for _ in range(max_iter):
         mix = F.col("mix")
-        aggs = [F.avg(-F.ln(mix))] + [F.avg(F.col(f"q{i}") / mix) for i in range(k)]
-        aggs += [F.avg(F.col(f"q{i}") * F.col(f"q{j}") / (mix * mix)) for i, j in pairs]
+        aggs = [mean(-F.ln(mix))] + [mean(F.col(f"q{i}") / mix) for i in range(k)]
+        aggs += [mean(F.col(f"q{i}") * F.col(f"q{j}") / (mix * mix)) for i, j in pairs]
         row = q.withColumn("mix", _mix(w)).agg(*aggs).first()
         loss, g = row[0], -np.array(row[1 : k + 1])
         h = np.zeros((k, k))
@@ -79,7 +86,7 @@ def fit_weights(q: DataFrame, k: int, tol: float = 1e-9, max_iter: int = 50) ->
         update = w * -g
         update = update / update.sum()
         tries = [w + s * (newton - w) for s in STEPS] + [update]
-        losses = list(q.agg(*[F.avg(-F.ln(_mix(c))) for c in tries]).first())
+        losses = list(q.agg(*[mean(-F.ln(_mix(c))) for c in tries]).first())
         best = int(np.argmin(losses))
         gain = loss - losses[best]
         if gain <= 0:
@@ -88,6 +95,8 @@ def fit_weights(q: DataFrame, k: int, tol: float = 1e-9, max_iter: int = 50) ->
         w = w / w.sum()
         if gain <= tol * max(1.0, abs(loss)):
             break
+    else:
+        raise RuntimeError(f"ensemble weights did not converge within {max_iter} passes")
     return w, float(loss)
 
 
@@ -96,9 +105,9 @@ def ensemble_weights(
 ) -> dict[str, float]:
     """Weights >= 0 with sum 1 that minimise the log-loss of the weighted mean probability.
 
-    Fitted on the rows that every model scored.
+    Fitted on the rows that every model scored; a ``weight`` column of ``preds`` weighs them.
     """
-    q = _likelihood_columns(preds, models, y, row_id).persist(StorageLevel.MEMORY_AND_DISK)
+    q = _likelihood_columns(preds, models, y, row_id, "weight" if "weight" in preds.columns else None).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         w, _ = fit_weights(q, len(models), tol, max_iter)
     finally:
@@ -112,5 +121,6 @@ def ablate(
     """Weights re-fitted without the given models, and the score of that ensemble."""
     kept = [m for m in models if m not in set(drop_models)]
     weights = ensemble_weights(preds, kept, y, row_id)
-    mixed = blend(preds, weights, row_id, [y], "ensemble")
-    return score_models(mixed, y).withColumn("dropped", F.lit(",".join(drop_models)))
+    weight = "weight" if "weight" in preds.columns else None
+    mixed = blend(preds, weights, row_id, [y, *([weight] if weight else [])], "ensemble")
+    return score_models(mixed, y, weight=weight).withColumn("dropped", F.lit(",".join(drop_models)))

@@ -5,14 +5,14 @@ Published method: Honaker, King and Blackwell (2011), J. Stat. Software 45(7).
 Given the parameters, the expected cross-products of all rows with the same missing cells
 are a linear image of the raw cross-products of those rows.  So Spark makes ONE pass over the
 data, summing weighted cross-products per missingness pattern (and per bootstrap), and every
-EM iteration then works on that summary only.  A summary within a size bound is iterated on
-the driver; a larger one stays a table, and each iteration is a Spark job over it.
+EM iteration is a Spark job over that summary only; one matrix per bootstrap comes back.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -20,7 +20,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..session import materialize
 
-DRIVER_CELLS = 20_000_000  # doubles of pattern summaries that may be held on the driver
 REDRAWS = 20  # redraws of an out-of-bounds row that are made together
 FLUSH_CELLS = 4_000_000  # doubles a task may hold before it emits partial sums
 
@@ -101,6 +100,30 @@ def _bootstrap_weights(h: np.ndarray, rep: int) -> np.ndarray:
     return np.searchsorted(_POISSON, _uniform(h, 1, 7, rep)[:, 0]).astype(float)
 
 
+def _binomial(u: np.ndarray, trials: int, share: np.ndarray) -> np.ndarray:
+    """Binomial draws from one uniform per row, whatever the number of trials.
+
+    The distribution function is followed up from 0 (from the nearer end) while its mean is small;
+    beyond that the normal quantile with continuity correction differs from it by less than one.
+    """
+    flip = share > 0.5
+    p, v = np.where(flip, 1 - share, share), np.where(flip, 1 - u, u)
+    out = np.zeros(len(u))
+    few = trials * p <= 64
+    term = np.where(few, np.exp(trials * np.log1p(-p)), 1.0)
+    below, k = term.copy(), 0
+    while k < trials and (few & (below < v) & (k < 64 + 24 * 8)).any():
+        term = term * (trials - k) / (k + 1) * p / (1 - p)
+        out = out + (few & (below < v))
+        below, k = below + term, k + 1
+    wide = ~few
+    if wide.any():
+        z = np.array([NormalDist().inv_cdf(x) for x in v[wide]])
+        mean = trials * p[wide]
+        out[wide] = np.clip(np.rint(mean + z * np.sqrt(mean * (1 - p[wide]))), 0, trials)
+    return np.where(flip, trials - out, out)
+
+
 # --- pattern algebra ----------------------------------------------------------------------
 
 
@@ -186,6 +209,8 @@ def _layout(
     levels = {}
     for c in noms:
         found = df.where(F.col(c).isNotNull()).select(c).distinct().limit(max_width + 1).collect()
+        if len(found) > max_width:
+            raise ValueError(f"{c} has more than {max_width} levels; a level left out would count as the first one")
         levels[c] = sorted(r[0] for r in found)
     units = []
     if intercs and cs:
@@ -270,19 +295,12 @@ def _square(upper: Sequence[float], q: int) -> np.ndarray:
     return out + np.triu(out, 1).T
 
 
-def _em(sums: DataFrame, q: int, m: int, ridge: float, tol: float, max_iter: int, driver_cells: int) -> list:
+def _em(sums: DataFrame, q: int, m: int, ridge: float, tol: float, max_iter: int) -> list:
+    """Parameters per bootstrap; raises if one of them still moves after ``max_iter`` iterations."""
     theta = [(np.zeros(q - 1), np.eye(q - 1)) for _ in range(m)]
-    local = sums.count() * q * q <= driver_cells
-    if local:
-        held: list[list] = [[] for _ in range(m)]
-        for r in sums.collect():
-            held[r["rep"] - 1].append(((bytes(r["gaps"]), bytes(r["priors"])), _square(r["raw"], q)))
     open_ = set(range(m))
     for _ in range(max_iter):
-        if local:
-            totals = {r: sum(_expected(pt, raw, theta[r]) for pt, raw in held[r]) for r in open_}
-        else:
-            totals = _expected_job(sums, theta, q, open_)
+        totals = _expected_job(sums, theta, q, open_)
         for r in list(open_):
             new = _update(totals[r], ridge)
             change = max(np.abs(new[0] - theta[r][0]).max(), np.abs(new[1] - theta[r][1]).max())
@@ -290,12 +308,12 @@ def _em(sums: DataFrame, q: int, m: int, ridge: float, tol: float, max_iter: int
             if change < tol:
                 open_.discard(r)
         if not open_:
-            break
-    return theta
+            return theta
+    raise RuntimeError(f"EM did not converge within {max_iter} iterations for {len(open_)} of {m} bootstraps; raise max_iter, tol or ridge")
 
 
 def _expected_job(sums: DataFrame, theta: list, q: int, open_: set[int]) -> dict[int, np.ndarray]:
-    """One EM expectation over a pattern table that is too large for the driver."""
+    """One EM expectation over the pattern table."""
     upper = np.triu_indices(q)
 
     def expect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -361,9 +379,8 @@ def em_impute(
     seed: int = 90210,
     max_resample: int = 1000,
     tol: float = 1e-4,
-    max_iter: int = 200,
+    max_iter: int = 1000,
     max_width: int = 400,
-    driver_cells: int = DRIVER_CELLS,
     name: str = "imp",
     stored: bool = False,
 ) -> DataFrame:
@@ -396,7 +413,7 @@ def em_impute(
 
     sums = materialize(_pattern_sums(data, lay, m, prior_cols), "pattern-sums")
     q = lay.width + 1
-    theta = _em(sums, q, m, 0.01 * n if ridge is None else ridge, tol, max_iter, driver_cells)
+    theta = _em(sums, q, m, 0.01 * n if ridge is None else ridge, tol, max_iter)
 
     low, high = np.full(lay.width, -np.inf), np.full(lay.width, np.inf)
     for c, (lo, hi) in (bounds or {}).items():
@@ -433,7 +450,7 @@ def em_impute(
                         lo, hi = lay.ordinal[c]
                         trials = int(round(hi - lo))
                         share = np.clip((v - lo) / (hi - lo or 1.0), 0, 1)
-                        v = lo + (_uniform(h, max(trials, 1), 13, rep, j)[:, :trials] < share[:, None]).sum(axis=1)
+                        v = lo + _binomial(_uniform(h, 1, 13, rep, j)[:, 0], trials, share)
                     elif c in (bounds or {}):
                         # Scaling back may step over a bound by one rounding error.
                         v = np.clip(v, *[b if b is not None else s * np.inf for b, s in zip(bounds[c], (-1, 1))])

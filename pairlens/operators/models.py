@@ -28,7 +28,6 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import exact_quantiles
-from .sampling import class_sizes
 
 Scorer = Callable[[DataFrame], DataFrame]
 
@@ -82,8 +81,10 @@ def preprocess(
 ) -> Callable[[DataFrame], DataFrame]:
     """Centre, scale and rotate: keep the leading components up to a share of the variance.
 
-    Fitted on ``train``; the returned function transforms any frame.
+    Fitted on ``train``, where a ``weight`` makes a row count as that many equal rows; the
+    returned function transforms any frame.
     """
+    train = _repeat_rows(train)
     scaler = StandardScaler(inputCol="features", outputCol="__scaled", withMean=center, withStd=scale).fit(train)
     if pca_variance is None:
         return lambda df: scaler.transform(df).drop("features").withColumnRenamed("__scaled", "features")
@@ -114,7 +115,7 @@ def _on_transformed(change: Callable[[DataFrame], DataFrame], scorer: Scorer) ->
 
 def feature_knots(train: DataFrame, n_knots: int) -> dict[int, list[float]]:
     """Inner quantile knots of every feature; a feature's equal knots are used once."""
-    cells = train.select(F.posexplode(vector_to_array("features")).alias("feature", "value"))
+    cells = _repeat_rows(train).select(F.posexplode(vector_to_array("features")).alias("feature", "value"))
     probs = {f"k{i}": i / (n_knots + 1) for i in range(1, n_knots + 1)}
     # One row per feature.
     rows = exact_quantiles(cells, "value", probs, ["feature"]).collect()
@@ -165,9 +166,9 @@ def _fit_svm(train: DataFrame, params: Mapping, seed: int) -> Scorer:
     scale = preprocess(train, pca_variance=None)
     size = train.select(F.size(vector_to_array("features"))).first()[0]
     lift = fourier_features(size, params.get("n_features", 100), params.get("gamma", 1.0 / size), seed)
-    counts = class_sizes(train, "label")
-    heavy = params.get("positive_weight", counts.get(0.0, 1) / max(counts.get(1.0, 1), 1))
     base = F.col("weight") if "weight" in train.columns else F.lit(1.0)
+    counts = {r[0]: r[1] for r in train.groupBy("label").agg(F.sum(base)).collect()}  # two classes
+    heavy = params.get("positive_weight", counts.get(0.0, 1.0) / (counts.get(1.0) or 1.0))
     lifted = lift(scale(train)).withColumn("__w", base * F.when(F.col("label") == 1, F.lit(float(heavy))).otherwise(1.0))
     svm = LinearSVC(weightCol="__w", regParam=params.get("reg", 0.01), maxIter=50).fit(lifted)
 
@@ -191,10 +192,12 @@ def _fit_svm(train: DataFrame, params: Mapping, seed: int) -> Scorer:
 
 
 def _repeat_rows(train: DataFrame) -> DataFrame:
-    """The network has no weight column: integer weights become repeated rows."""
+    """Steps without a weight column get repeated rows instead; a fractional weight has no such rows and is refused."""
     if "weight" not in train.columns:
         return train
-    return train.withColumn("__c", F.explode(F.sequence(F.lit(1), F.col("weight").cast("int")))).drop("__c", "weight")
+    whole = F.when(F.col("weight") == F.floor("weight"), F.col("weight").cast("int"))
+    copies = F.coalesce(whole, F.raise_error(F.lit("weights must be whole numbers for this family")).cast("int"))
+    return train.withColumn("__c", F.explode(F.array_repeat(F.lit(1), copies))).drop("__c", "weight")
 
 
 def _fit_networks(train: DataFrame, params: Mapping, seed: int, count: int) -> Scorer:

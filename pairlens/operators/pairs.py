@@ -76,9 +76,9 @@ def event_pairs(
     Columns ``event, attacker, target, start, end``; start is the earliest and end the
     latest of the event.  An event without one of the sides yields nothing, a unit on
     both sides is not paired with itself.  Participants are reduced to distinct units
-    and stored first, since each side and the span of the event read them; an event with
-    more than ``side_rows`` units on side A is split into that many more salted parts, and
-    all other events have a single part.
+    and stored first, since each side and the span of the event read them; an event is cut
+    into a grid of one part for each ``side_rows`` units on side A and on side B, so neither
+    side of a large event meets in one task.
     """
     p = participants.groupBy(
         F.col(event).alias("event"), F.col(side).alias("side"), F.col(unit).alias("unit")
@@ -87,17 +87,18 @@ def event_pairs(
     span = p.groupBy("event").agg(
         F.min("start").alias("start"),
         F.max("end").alias("end"),
-        F.ceil(F.count(F.when(F.col("side") == side_a, 1)) / F.lit(side_rows)).cast("int").alias("parts"),
-        F.count(F.when(F.col("side") == side_b, 1)).alias("n_b"),
+        *[F.ceil(F.count(F.when(F.col("side") == s, 1)) / F.lit(side_rows)).cast("int").alias(n) for s, n in ((side_a, "rows_a"), (side_b, "rows_b"))],
     )
-    span = span.where((F.col("parts") > 0) & (F.col("n_b") > 0)).drop("n_b")
+    span = span.where((F.col("rows_a") > 0) & (F.col("rows_b") > 0))
     a = p.where(F.col("side") == side_a).select("event", F.col("unit").alias("attacker"))
     b = p.where(F.col("side") == side_b).select("event", F.col("unit").alias("target"))
-    a = a.join(span, "event").withColumn("salt", F.pmod(F.xxhash64("attacker"), F.col("parts")).cast("int"))
-    b = b.join(span.select("event", "parts"), "event")
-    b = b.select("event", "target", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"))
+    part = lambda unit, n: F.pmod(F.xxhash64(unit), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    a = a.join(span, "event").withColumn("part_a", part("attacker", "rows_a")).withColumn("part_b", every("rows_b"))
+    b = b.join(span.select("event", "rows_a", "rows_b"), "event").withColumn("part_b", part("target", "rows_b"))
+    b = b.select("event", "target", "part_b", every("rows_a").alias("part_a"))
     return (
-        a.join(b, ["event", "salt"])
+        a.join(b, ["event", "part_a", "part_b"])
         .where(F.col("attacker") != F.col("target"))
         .select("event", "attacker", "target", "start", "end")
     )

@@ -17,22 +17,36 @@ def log_loss_term(y: Column, p: Column, eps: float = EPS) -> Column:
     return -(y * F.ln(p + e) + (F.lit(1) - y) * F.ln(F.lit(1.0) - p + e))
 
 
-def log_loss(df: DataFrame, y: str, p: str, by: Sequence[str] = (), eps: float = EPS) -> DataFrame:
-    """Mean log-loss."""
-    return df.groupBy(*by).agg(F.avg(log_loss_term(F.col(y), F.col(p), eps)).alias("log_loss"))
+def row_weight(weight: str | None) -> Column:
+    """A row's weight, or one; a weighted row counts as that many equal rows."""
+    return F.col(weight).cast("double") if weight else F.lit(1.0)
+
+
+def weighted_mean(value: Column, weight: str | None) -> Column:
+    if not weight:
+        return F.avg(value)
+    w = F.when(value.isNotNull(), row_weight(weight))
+    return F.try_divide(F.sum(value * w), F.sum(w))
+
+
+def log_loss(df: DataFrame, y: str, p: str, by: Sequence[str] = (), eps: float = EPS, weight: str | None = None) -> DataFrame:
+    """Mean log-loss, weighted if a weight column is named."""
+    return df.groupBy(*by).agg(weighted_mean(log_loss_term(F.col(y), F.col(p), eps), weight).alias("log_loss"))
 
 
 def confusion(
-    df: DataFrame, y: str, p: str, by: Sequence[str] = (), cut: float = 0.5, strict: bool = False, eps: float = EPS
+    df: DataFrame, y: str, p: str, by: Sequence[str] = (), cut: float = 0.5, strict: bool = False, eps: float = EPS, weight: str | None = None
 ) -> DataFrame:
     """Counts at a cut and the rates derived from them; a rate without a base is NULL.
 
-    ``strict`` counts only p > cut as a positive call.
+    ``strict`` counts only p > cut as a positive call.  With a ``weight`` the counts are sums of weights.
     """
     called = F.col(p) > cut if strict else F.col(p) >= cut
     actual = F.col(y) == 1
 
     def cell(c: Column, name: str) -> Column:
+        if weight:
+            return F.coalesce(F.sum(F.when(c, row_weight(weight))), F.lit(0.0)).alias(name)
         return F.count(F.when(c, 1)).alias(name)
 
     counts = df.groupBy(*by).agg(
@@ -40,7 +54,7 @@ def confusion(
         cell(~called & ~actual, "tn"),
         cell(called & ~actual, "fp"),
         cell(~called & actual, "fn"),
-        F.avg(log_loss_term(F.col(y), F.col(p), eps)).alias("log_loss"),
+        weighted_mean(log_loss_term(F.col(y), F.col(p), eps), weight).alias("log_loss"),
     )
     tp, tn, fp, fn = (F.col(c).cast("double") for c in ("tp", "tn", "fp", "fn"))
     n = tp + tn + fp + fn
@@ -58,9 +72,25 @@ def confusion(
     )
 
 
-def auc(df: DataFrame, y: str, p: str, by: Sequence[str] = ()) -> DataFrame:
-    """Rank AUC with ties at mid-rank; higher score means positive. NULL if a class is absent."""
+def auc(df: DataFrame, y: str, p: str, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
+    """Rank AUC with ties at mid-rank; higher score means positive. NULL if a class is absent.
+
+    With a ``weight`` a pair of rows counts as often as the product of their weights.
+    """
     by = list(by)
+    if weight:
+        w = row_weight(weight)
+        counts = ranked_counts(df, p, by, {"pos": F.when(F.col(y) == 1, w).otherwise(0.0), "all": w}, running="all")
+        below = F.col("cum") - F.col("all")
+        neg = F.col("all") - F.col("pos")
+        # Negatives below a value are all rows below it less the positives below it.
+        sums = counts.groupBy(*by).agg(
+            F.sum(F.col("pos") * (below + F.col("all") / 2.0)).alias("rank_sum"),
+            F.sum("pos").alias("n1"),
+            F.sum(neg).alias("n0"),
+        )
+        n1, n0 = F.col("n1"), F.col("n0")
+        return sums.select(*by, F.try_divide(F.col("rank_sum") - n1 * n1 / 2.0, n1 * n0).alias("auc"))
     counts = ranked_counts(df, p, by, {"pos": (F.col(y) == 1).cast("bigint")})
     mid_rank = F.col("cum") - F.col("cnt") + (F.col("cnt") + 1) / 2.0
     sums = counts.groupBy(*by).agg(
@@ -73,9 +103,11 @@ def auc(df: DataFrame, y: str, p: str, by: Sequence[str] = ()) -> DataFrame:
     return sums.select(*by, area.alias("auc"))
 
 
-def score_models(preds: DataFrame, y: str = "label", p: str = "p", model: str = "model", cut: float = 0.5) -> DataFrame:
+def score_models(
+    preds: DataFrame, y: str = "label", p: str = "p", model: str = "model", cut: float = 0.5, weight: str | None = None
+) -> DataFrame:
     """Log-loss, confusion rates and AUC, one row per model."""
-    return confusion(preds, y, p, [model], cut).join(auc(preds, y, p, [model]), model, "left")
+    return confusion(preds, y, p, [model], cut, weight=weight).join(auc(preds, y, p, [model], weight), model, "left")
 
 
 def prediction_matrix(preds: DataFrame, models: Sequence[str], row_id: str = "row_id", keep: Sequence[str] = ()) -> DataFrame:

@@ -149,15 +149,17 @@ def resolve_primary(
     row = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(lead)], F.struct(*rest).alias("row"))
     real = F.col(candidate) != F.lit(sentinel)
     named = overrides.groupBy(group).agg(F.min(candidate).alias("__pick"))
+    # The rows are reduced to one per group and candidate before they meet the overrides.
+    reduced = df.groupBy(group, candidate).agg(F.count(F.lit(1)).alias("n"), F.min(row).alias("first"))
     per_group = (
-        df.join(named, group, "left")
+        reduced.join(named, group, "left")
         .groupBy(group)
         .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.count(F.when(real, 1)).alias("n_real"),
-            F.min(row).alias("any_row"),
-            F.min(F.when(real, row)).alias("real_row"),
-            F.min(F.when(F.col(candidate) == F.col("__pick"), row)).alias("named_row"),
+            F.sum("n").alias("n"),
+            F.coalesce(F.sum(F.when(real, F.col("n"))), F.lit(0)).alias("n_real"),
+            F.min("first").alias("any_row"),
+            F.min(F.when(real, F.col("first"))).alias("real_row"),
+            F.min(F.when(F.col(candidate) == F.col("__pick"), F.col("first"))).alias("named_row"),
         )
     )
     pick = F.when(F.col("n") == 1, F.col("any_row")).when(F.col("n_real") == 1, F.col("real_row")).otherwise(

@@ -7,6 +7,7 @@ import time
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark.ml.classification import LogisticRegression
@@ -17,7 +18,7 @@ from ..functions import hash_rank, seeded_draw
 from ..session import materialize
 from .models import FAMILIES, Family, Scorer
 from .sampling import class_sizes
-from .scoring import auc, log_loss, log_loss_term
+from .scoring import auc, log_loss, log_loss_term, row_weight
 
 
 @dataclass(frozen=True)
@@ -40,14 +41,20 @@ def cross_validate(
     fold: str = "fold",
     seed: int = 555,
     parallelism: int = 4,
+    metric: str = "log_loss",
 ) -> CrossValidation:
     """Out-of-fold probabilities for the best setting, and the log-loss of every setting.
 
-    ``df`` carries a fold id and should be a stored table.  Fits run a few at a time from a small thread pool; each
+    ``metric`` is ``log_loss`` or ``auc``; the best setting has the lowest loss or the highest
+    area, taken over all held-out rows.  A ``weight`` column weighs fits, losses and areas, and
+    stays in the predictions.  ``df`` carries a fold id and should be a stored table.  Fits run a few at a time from a small thread pool; each
     one is itself a distributed job.  Only one number per fit reaches the driver.
     """
+    if metric not in ("log_loss", "auc"):
+        raise ValueError(f"unknown metric {metric}")
     fam = _family(family)
     settings = list(grid or fam.grid)
+    weight = "weight" if "weight" in df.columns else None
     began = time.perf_counter()
     data = df.persist(StorageLevel.MEMORY_AND_DISK)
     folds = sorted(r[0] for r in data.select(fold).distinct().collect())
@@ -57,8 +64,9 @@ def cross_validate(
         start = time.perf_counter()
         scorer = fam.fit(data.where(F.col(fold) != k).drop(fold), settings[i], seed)
         held = scorer(data.where(F.col(fold) == k))
-        loss, n = held.agg(F.sum(log_loss_term(F.col("label"), F.col("p"))), F.count(F.lit(1))).first()
-        return i, k, scorer, float(loss), int(n), time.perf_counter() - start
+        w = row_weight(weight)
+        loss, n = held.agg(F.sum(w * log_loss_term(F.col("label"), F.col("p"))), F.sum(w)).first()
+        return i, k, scorer, float(loss), float(n), time.perf_counter() - start
 
     tasks = [(i, k) for i in range(len(settings)) for k in folds]
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
@@ -69,12 +77,18 @@ def cross_validate(
         mine = [d for d in done if d[0] == i]
         loss = sum(d[3] for d in mine) / sum(d[4] for d in mine)
         rows.append((fam.name, json.dumps(dict(params), sort_keys=True), float(loss), len(mine), sum(d[5] for d in mine)))
-    best = min(range(len(settings)), key=lambda i: (rows[i][2], i))
-    predictions = None
-    for i, k, scorer, *_ in done:
-        if i == best:
-            part = scorer(df.where(F.col(fold) == k)).select("row_id", "label", fold, F.lit(fam.name).alias("model"), "p")
-            predictions = part if predictions is None else predictions.unionByName(part)
+
+    def out_of_fold(setting: int) -> DataFrame:
+        keep = ["row_id", "label", fold, *([weight] if weight else [])]
+        parts = [scorer(df.where(F.col(fold) == k)).select(*keep, F.lit(fam.name).alias("model"), "p") for i, k, scorer, *_ in done if i == setting]
+        return reduce(DataFrame.unionByName, parts)
+
+    if metric == "auc":
+        areas = [auc(out_of_fold(i), "label", "p", weight=weight).first()[0] for i in range(len(settings))]
+        best = max(range(len(settings)), key=lambda i: (-1.0 if areas[i] is None else areas[i], -i))
+    else:
+        best = min(range(len(settings)), key=lambda i: (rows[i][2], i))
+    predictions = out_of_fold(best)
     results = df.sparkSession.createDataFrame(
         rows, "model string, setting string, log_loss double, n_fits int, seconds double"
     )

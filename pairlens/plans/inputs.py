@@ -190,7 +190,7 @@ def supplier_months(spark: SparkSession, sf: str) -> DataFrame:
 
 
 SUPPLIER_MONTHS_SQL = """
-  SELECT row_id, suppkey, month, CASE WHEN ('0x' || substr(md5('11:' || row_id), 1, 8))::BIGINT % 100 >= 10 THEN q END AS quantity
+  SELECT row_id, suppkey, month, CASE WHEN ('0x' || substr(md5('11:' || row_id), 1, 15))::BIGINT % 100 >= 10 THEN q END AS quantity
   FROM (SELECT l_suppkey || '_' || month AS row_id, l_suppkey AS suppkey, month, q FROM (
     SELECT l_suppkey, CAST(year(l_shipdate) * 12 + month(l_shipdate) - 1 AS INTEGER) AS month,
            sum(CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE 0 END) AS q
@@ -198,7 +198,7 @@ SUPPLIER_MONTHS_SQL = """
 
 
 def draw_sql(seed: int | str, expr: str) -> str:
-    return f"('0x' || substr(md5('{seed}:' || {expr}), 1, 8))::BIGINT"
+    return f"('0x' || substr(md5('{seed}:' || {expr}), 1, 15))::BIGINT"
 
 
 DOC_MODELS = {"steep": 1.0, "flat": 0.5, "inverse": -0.25}

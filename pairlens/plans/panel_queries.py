@@ -333,7 +333,7 @@ def _supplier_spells(spark: SparkSession, sf: str, unit_of_time) -> DataFrame:
     "e3_spell_flag",
     """WITH s AS (SELECT DISTINCT l_suppkey, year(o_orderdate) * 12 + month(o_orderdate) - 1 AS a,
                          year(l_shipdate) * 12 + month(l_shipdate) - 1 AS b
-                  FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity >= 48 AND l_shipdate < o_orderdate + INTERVAL 90 DAY),
+                  FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
             p AS (SELECT s_suppkey AS suppkey, CAST(unnest(range(1995 * 12, 2002 * 12)) AS INTEGER) AS month FROM supplier)
        SELECT suppkey, month, CAST(EXISTS (SELECT 1 FROM s WHERE l_suppkey = suppkey AND month BETWEEN a AND b) AS INTEGER) AS open
        FROM p""",
@@ -342,9 +342,7 @@ def e3_spell_flag(spark: SparkSession, sf: str) -> DataFrame:
     panel = I.table(spark, sf, "supplier").select(
         F.col("s_suppkey").alias("suppkey"), F.explode(F.sequence(F.lit(1995 * 12), F.lit(2001 * 12 + 11))).alias("month")
     )
-    lines = I.order_lines(spark, sf).where(
-        "l_quantity >= 48 AND l_shipdate < o_orderdate + INTERVAL '90' DAY"
-    )
+    lines = I.order_lines(spark, sf)
     ranges = lines.select(
         F.col("l_suppkey").alias("suppkey"), I.month_index("o_orderdate").alias("start"), I.month_index("l_shipdate").alias("end")
     )

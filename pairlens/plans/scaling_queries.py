@@ -95,7 +95,7 @@ def masked_panel(spark: SparkSession, sf: str) -> DataFrame:
         "year",
         F.when(~hidden["total"], F.ln("total")).alias("total"),
         F.when(~hidden["quantity"], F.sqrt("quantity")).alias("quantity"),
-        F.when(~hidden["lines"], F.least(F.col("lines"), F.lit(400)).cast("int")).alias("lines"),
+        F.when(~hidden["lines"], F.col("lines").cast("int")).alias("lines"),
         F.when(~hidden["kind"], F.when(F.col("quantity") > F.col("lines") * 25, "heavy").otherwise("light")).alias("kind"),
     )
 

@@ -141,6 +141,48 @@ def test_weights_stand_for_copies(frame):
     assert max(abs(a[i] - b[i]) for i in a) < 1e-3
 
 
+@pytest.mark.parametrize("name", sorted(M.FAMILIES))
+def test_weighted_cross_validation_is_that_of_repeated_rows(frame, name):
+    """Losses count a row as often as its weight says; most families also give the same fit."""
+    heavy = G.assign_folds(frame, 2, 1, "label", "row_id").withColumn("weight", F.when(F.col("label") == 1, 3.0).otherwise(1.0))
+    copied = heavy.withColumn("k", F.explode(F.array_repeat(F.lit(1), F.col("weight").cast("int")))).drop("k", "weight")
+    setting = [M.FAMILIES[name].grid[0]]
+    a = V.cross_validate(heavy.cache(), name, setting)
+    b = V.cross_validate(copied.cache(), name, setting)
+    la, lb = (x.results.first()["log_loss"] for x in (a, b))
+    # Trees and networks draw bins, rows or batches by position, so their fits agree only roughly.
+    assert math.isclose(la, lb, rel_tol=1e-3 if name in ("null", "logit", "elastic_net", "naive_bayes") else 0.15)
+    want = R.log_loss(a.predictions, "label", "p", weight="weight").first()[0]
+    assert math.isclose(la, want, rel_tol=1e-9)
+
+
+def test_weighted_scores_are_those_of_repeated_rows(rows):
+    data = [(i, float(i % 3 == 0), (i * 7 % 10) / 10, "m", float(1 + i % 4)) for i in range(60)]
+    df = rows(data, "row_id int, label double, p double, model string, weight double")
+    copied = df.withColumn("k", F.explode(F.array_repeat(F.lit(1), F.col("weight").cast("int")))).drop("k", "weight")
+    a, b = R.score_models(df, weight="weight").first().asDict(), R.score_models(copied).first().asDict()
+    assert all(math.isclose(a[k], b[k], rel_tol=1e-12) for k in a if k != "model")
+
+
+def test_fractional_weights_are_refused_where_rows_are_repeated(frame):
+    with pytest.raises(Exception, match="whole numbers"):
+        M.fit_predict(frame.withColumn("weight", F.lit(0.5)), frame, "perceptron").collect()
+
+
+def test_tuning_by_area(frame):
+    folds = G.assign_folds(frame, 3, 1, "label", "row_id").cache()
+    cv = V.cross_validate(folds, "tree", [{"depth": 1}, {"depth": 4}], metric="auc")
+    areas = [R.auc(V.cross_validate(folds, "tree", [s]).predictions, "label", "p").first()[0] for s in ({"depth": 1}, {"depth": 4})]
+    assert cv.best == {"depth": 1 if areas[0] >= areas[1] else 4}
+
+
+def test_weights_that_still_move_are_not_returned(spark):
+    rows = [(i, float(i % 2), m, p) for i in range(40) for m, p in (("a", 0.1 + 0.02 * i), ("b", 0.9 - 0.01 * i))]
+    preds = spark.createDataFrame(rows, "row_id int, label double, model string, p double")
+    with pytest.raises(RuntimeError, match="converge"):
+        ensemble_weights(preds, ["a", "b"], tol=0.0, max_iter=1)
+
+
 def test_preprocess_keeps_the_wanted_variance(frame):
     scaled = M.preprocess(frame, pca_variance=None)(frame)
     arr = np.array([r[0].toArray() for r in scaled.select("features").collect()])

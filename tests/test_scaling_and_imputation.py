@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairlens.operators import scaling
-from pairlens.operators.imputation import em_impute
+from pairlens.operators.imputation import _binomial, em_impute
 
 from conftest import as_dict, as_set
 
@@ -85,9 +85,9 @@ def test_imputation_recovers_the_distribution(spark):
 
 def test_imputation_is_the_same_on_any_partitioning_and_path(spark):
     df, *_ = masked(spark, 600)
-    kw = dict(noms=["k"], m=2, max_iter=6)
+    kw = dict(noms=["k"], m=2)
     base = em_impute(df.repartition(2), "id", "t", "u", **kw).toPandas().sort_values(["imp", "id"])
-    other = em_impute(df.repartition(5), "id", "t", "u", driver_cells=0, **kw).toPandas().sort_values(["imp", "id"])
+    other = em_impute(df.repartition(5), "id", "t", "u", **kw).toPandas().sort_values(["imp", "id"])
     assert np.allclose(base[list("abc")].to_numpy(), other[list("abc")].to_numpy())
     assert (base["k"].to_numpy() == other["k"].to_numpy()).all()
 
@@ -118,3 +118,25 @@ def test_unit_effects_and_ordinals(spark):
     assert set(with_units["o"]) <= set(range(6)) and with_units["o"].dtype.kind == "i"
     with pytest.raises(ValueError):
         em_impute(df, "id", "t", "u", intercs=True, max_width=10)
+
+
+def test_levels_that_do_not_fit_are_refused(spark):
+    df = spark.createDataFrame([(i, i % 5, f"level{i % 6}" if i % 7 else None, float(i)) for i in range(200)], "id int, t int, k string, x double")
+    with pytest.raises(ValueError, match="levels"):
+        em_impute(df, "id", "t", noms=["k"], polytime=0, max_width=4, m=1)
+
+
+def test_an_unfinished_fit_is_not_returned(spark):
+    df = spark.createDataFrame([(i, i % 5, float(i % 11) if i % 3 else None, float(i)) for i in range(200)], "id int, t int, y double, x double")
+    with pytest.raises(RuntimeError, match="converge"):
+        em_impute(df, "id", "t", m=1, max_iter=1)
+
+
+def test_binomial_draws_follow_the_distribution_at_any_width():
+    u = (np.arange(20_000) + 0.5) / 20_000
+    for trials in (1, 7, 400, 100_000):
+        for share in (0.0, 0.001, 0.3, 0.97, 1.0):
+            got = _binomial(u, trials, np.full(len(u), share))
+            assert got.min() >= 0 and got.max() <= trials and (np.diff(got) >= 0).all()
+            sd = np.sqrt(trials * share * (1 - share))
+            assert abs(got.mean() - trials * share) <= 0.02 * sd + 1e-9 and abs(got.std() - sd) <= 0.02 * sd + 0.02
