@@ -29,6 +29,12 @@ HEADLINES = (
     "i1_normal_distance",
     "i2_scale_search_orders",
     "i5_em_impute",
+    "directed_replicates",
+    "risk_measure",
+    "k4_elastic_net_grid",
+    "k11_averaged_nets",
+    "k16_tuning_stability",
+    "m5_downsample_curve",
     "m1_derive_features",
     "m3_stratified_split_orders",
     "m6_curve_summary",

@@ -18,6 +18,7 @@ from .expressions import md5_key
 BUCKET_VALUES = 1_000_000
 MAX_BUCKETS = 4096
 MAX_SPLITS = 2_000_000
+MIN_BUCKETS = 16
 
 
 def _range_splits(df: DataFrame, value: str, by: Sequence[str], bucket_values: int) -> list:
@@ -28,6 +29,13 @@ def _range_splits(df: DataFrame, value: str, by: Sequence[str], bucket_values: i
     are collected so that every later stage, and any re-run of a lost task, sees
     the same split points.
     """
+    if not by:
+        # Without a group there is nothing else to deal the values by, so they are always cut.
+        n = df.agg(F.approx_count_distinct(value)).first()[0]
+        buckets = max(MIN_BUCKETS, min(MAX_BUCKETS, int(n // bucket_values) + 1))
+        probs = [i / buckets for i in range(1, buckets)]
+        splits = df.agg(F.percentile_approx(F.col(value).cast("double"), probs, 10 * buckets)).first()[0]
+        return [{"splits": sorted(set(splits))}] if splits else []
     sizes = df.groupBy(*by).agg(F.approx_count_distinct(value).alias("n"))
     large = sizes.where(F.col("n") > bucket_values)
     top, groups = large.agg(F.max("n"), F.count(F.lit(1))).first()
@@ -62,14 +70,16 @@ def ranked_counts(
     splits = _range_splits(data, value, by, bucket_values)
     sums = [F.sum(c).alias(n) for n, c in (extra or {}).items()]
     counts = data.groupBy(*by, value).agg(F.count(F.lit(1)).alias("cnt"), *sums)
+    if not splits and not by:  # no values at all
+        return counts.withColumn("cum", F.col(running))
     if not splits:
         window = W.partitionBy(*by).orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow)
         return counts.withColumn("cum", F.sum(running).over(window))
 
-    fields = [f for f in df.select(*by).schema.fields]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["splits array<double>"])
-    table = df.sparkSession.createDataFrame([tuple(r) for r in splits], schema)
     if by:
+        fields = [f for f in df.select(*by).schema.fields]
+        schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["splits array<double>"])
+        table = df.sparkSession.createDataFrame([tuple(r) for r in splits], schema)
         # Built from collected rows, at most MAX_SPLITS numbers.
         placed = counts.join(F.broadcast(table), by, "left")
     else:
@@ -77,11 +87,19 @@ def ranked_counts(
     below = F.size(F.filter("splits", lambda s: s < F.col(value).cast("double")))
     placed = placed.withColumn("bucket", F.coalesce(below, F.lit(0))).drop("splits")
     totals = placed.groupBy(*by, "bucket").agg(F.sum(running).alias("bucket_cnt"))
+    inside = W.partitionBy(*by, "bucket").orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow)
+    if not by:
+        # One number per bucket comes to the driver and goes back as an expression.
+        starts, total = [], 0
+        for bucket, n in sorted((r["bucket"], r["bucket_cnt"]) for r in totals.collect()):
+            starts += [F.lit(bucket), F.lit(total)]
+            total += n
+        offset = F.element_at(F.create_map(*starts), F.col("bucket"))
+        return placed.withColumn("cum", offset + F.sum(running).over(inside)).drop("bucket")
     before = W.partitionBy(*by).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = totals.select(
         *by, "bucket", F.coalesce(F.sum("bucket_cnt").over(before), F.lit(0)).alias("offset")
     )
-    inside = W.partitionBy(*by, "bucket").orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow)
     return (
         placed.join(offsets, [*by, "bucket"])
         .withColumn("cum", F.col("offset") + F.sum(running).over(inside))

@@ -116,14 +116,9 @@ pairs AS (
 
 
 def participants(spark: SparkSession, sf: str) -> DataFrame:
-    """Market participants of the events: open urgent orders with at least one large line.
-
-    The orders are filtered before they meet the lines.
-    """
-    urgent = table(spark, sf, "orders").where("o_orderstatus = 'P' AND o_orderpriority = '1-URGENT'")
-    lines = table(spark, sf, "lineitem").join(
-        urgent.select("o_orderkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey")
-    )
+    """Market participants of the events: all orders with at least one large line."""
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_orderdate")
+    lines = table(spark, sf, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     lines = group_filter(lines, "l_orderkey", any_=F.col("l_quantity") >= 45)
     start = year_of("o_orderdate")
     return with_market(lines, spark, sf).select(
@@ -144,8 +139,7 @@ joined AS (
   SELECT o_orderkey AS event, unit, l_linestatus AS side, year AS s,
          greatest(year, CAST(year(l_shipdate) AS INTEGER)) AS e
   FROM market_lines
-  WHERE o_orderstatus = 'P' AND o_orderpriority = '1-URGENT'
-    AND o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity >= 45)),
+  WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity >= 45)),
 span AS (SELECT event, min(s) AS "start", max(e) AS "end" FROM joined GROUP BY event),
 events AS (
   SELECT DISTINCT a.event, a.unit AS attacker, b.unit AS target, span."start", span."end"

@@ -7,6 +7,8 @@ scored once, probabilities lie in [0, 1], and so on.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import exact_quantiles
@@ -30,9 +32,9 @@ FEATURES = ("len", "words", "lines", "digits", "upper", "lang_de", "lang_es", "l
 
 
 def document_features(spark: SparkSession, sf: str) -> DataFrame:
-    """``doc_id, toxic`` and features of the whole text."""
+    """``doc_id, toxic`` and features of the whole text of every document; ``toxic`` is NULL where it is unknown."""
     docs = I.table(spark, sf, "documents").select("doc_id", "text", "lang", "n_chars")
-    rows = I.table(spark, sf, "labels").select("doc_id", "toxic").join(docs, "doc_id")
+    rows = docs.join(I.table(spark, sf, "labels").select("doc_id", "toxic"), "doc_id", "left")
     size = F.greatest(F.length("text"), F.lit(1))
     rows = rows.select(
         "doc_id",
@@ -47,12 +49,17 @@ def document_features(spark: SparkSession, sf: str) -> DataFrame:
     return X.dummy_encode(rows, "lang", LANGS)
 
 
+def everything(spark: SparkSession, sf: str) -> DataFrame:
+    """``row_id, label, features`` of every document, written once because every fit reads it many times."""
+    return materialize(X.model_frame(document_features(spark, sf), "doc_id", F.col("toxic"), FEATURES), "model-frame", rebalance=True)
+
+
 def frame(spark: SparkSession, sf: str, folds: int = 0) -> DataFrame:
-    """``row_id, label, features[, fold]``, written once because every fit reads it many times."""
-    rows = X.model_frame(document_features(spark, sf), "doc_id", F.col("toxic"), FEATURES)
+    """``row_id, label, features[, fold]`` of the labelled documents; the texts are read before rows are ranked."""
+    rows = everything(spark, sf).where("label IS NOT NULL")
     if folds:
-        rows = G.assign_folds(rows, folds, 90210, "label", "row_id")
-    return materialize(rows, "model-frame", rebalance=True)
+        rows = materialize(G.assign_folds(rows, folds, 90210, "label", "row_id"), "model-folds", rebalance=True)
+    return rows
 
 
 # --- features and sampling -------------------------------------------------------------------
@@ -186,49 +193,50 @@ def m7_assign_folds(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "k1_null",
-    """SELECT doc_id AS row_id, CAST(toxic AS DOUBLE) AS label, 'null' AS model, round((SELECT avg(toxic) FROM labels), 9) AS p
-       FROM labels JOIN documents USING (doc_id)""",
+    """SELECT doc_id AS row_id, CAST(toxic AS DOUBLE) AS label, 'null' AS model,
+              round((SELECT avg(toxic) FROM labels JOIN documents USING (doc_id)), 9) AS p
+       FROM documents LEFT JOIN labels USING (doc_id)""",
 )
 def k1_null(spark: SparkSession, sf: str) -> DataFrame:
-    rows = frame(spark, sf)
-    return M.fit_predict(rows, rows, "null").withColumn("p", F.round("p", 9))
-
+    rows = everything(spark, sf)
+    return M.fit_predict(rows.where("label IS NOT NULL"), rows, "null").withColumn("p", F.round("p", 9))
 
-_FIT_SQL = """SELECT '{name}' AS model, count(*) AS n, count(DISTINCT doc_id) AS n_scored, 0::BIGINT AS bad_p
-              FROM labels JOIN documents USING (doc_id)"""
 
-
-def _fit_check(preds: DataFrame) -> DataFrame:
-    return preds.groupBy("model").agg(
-        F.count(F.lit(1)).alias("n"), F.countDistinct("row_id").alias("n_scored"), _inside("p").alias("bad_p")
-    )
+_FIT_SQL = """SELECT '{name}' AS model, CAST(s AS INTEGER) AS setting, count(*) AS n, count(DISTINCT doc_id) AS n_scored, 0::BIGINT AS bad_p
+              FROM documents, (SELECT unnest(range(1, {settings} + 1)) AS s) GROUP BY s"""
 
 
 @query(
     "k2_logit",
     """SELECT 'logit' AS model, count(*) AS n, count(DISTINCT doc_id) AS n_scored, 0::BIGINT AS bad_p, round(avg(toxic), 3) AS mean_p
-       FROM labels JOIN documents USING (doc_id)""",
+       FROM documents LEFT JOIN labels USING (doc_id)""",
 )
 def k2_logit(spark: SparkSession, sf: str) -> DataFrame:
     """The score equation makes the mean fitted probability equal to the base rate."""
-    rows = frame(spark, sf)
-    preds = M.fit_predict(rows, rows, "logit")
+    rows = everything(spark, sf)
+    preds = M.fit_predict(rows.where("label IS NOT NULL"), rows, "logit")
     return preds.groupBy("model").agg(
         F.count(F.lit(1)).alias("n"),
         F.countDistinct("row_id").alias("n_scored"),
         _inside("p").alias("bad_p"),
-        F.round(F.avg("p"), 3).alias("mean_p"),
+        F.round(F.avg(F.when(F.col("label").isNotNull(), F.col("p"))), 3).alias("mean_p"),
     )
 
 
 def _register_fit(key: str, family: str) -> None:
-    @query(f"{key}_{family}", _FIT_SQL.format(name=family))
+    grid = M.FAMILIES[family].grid
+
+    @query(f"{key}_{family}", _FIT_SQL.format(name=family, settings=len(grid)))
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        rows = frame(spark, sf)
-        return _fit_check(M.fit_predict(rows, rows, family))
+        rows = everything(spark, sf)
+        known = rows.where("label IS NOT NULL")
+        tried = [M.fit_predict(known, rows, family, s).withColumn("setting", F.lit(i)) for i, s in enumerate(grid, 1)]
+        return reduce(DataFrame.unionByName, tried).groupBy("model", "setting").agg(
+            F.count(F.lit(1)).alias("n"), F.countDistinct("row_id").alias("n_scored"), _inside("p").alias("bad_p")
+        )
 
     run.__name__ = f"{key}_{family}"
-    run.__doc__ = f"Fit {family}, score every labelled document."
+    run.__doc__ = f"Fit every setting of {family} on the labelled documents, score all documents with each."
 
 
 _register_fit("k3", "boosted_logit")
