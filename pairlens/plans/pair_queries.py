@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import pairs as P
-from ..operators.spells import time_since
+from ..operators.spells import expand_spells, ordered_max, time_since
 from . import inputs as I
 from .catalog import query
 
@@ -247,3 +247,29 @@ def pair_panel(spark: SparkSession, sf: str) -> DataFrame:
         F.round(F.avg("ud_quiet"), 6).alias("mean_quiet"),
         F.round(F.sum(F.col("A_total") + F.col("B_total")), 2).alias("total"),
     )
+
+
+@query(
+    "pair_levels",
+    f"""{_PAIR_EVENTS},
+        spells AS (SELECT least(attacker, target) AS a_unit, greatest(attacker, target) AS b_unit, "start", "end",
+                          CASE WHEN "end" - "start" >= 2 THEN 3 WHEN "end" > "start" THEN 2 ELSE 1 END AS level FROM events),
+        best AS (SELECT p.a_unit, p.b_unit, p.year, max(level) AS level FROM pairs p
+                 JOIN spells s ON s.a_unit = p.a_unit AND s.b_unit = p.b_unit AND p.year BETWEEN "start" AND "end" GROUP BY ALL)
+        SELECT a_unit, b_unit, year, CASE coalesce(level, 0) WHEN 3 THEN 'long' WHEN 2 THEN 'short' WHEN 1 THEN 'brief' ELSE 'none' END AS closeness
+        FROM pairs LEFT JOIN best USING (a_unit, b_unit, year)""",
+)
+def pair_levels(spark: SparkSession, sf: str) -> DataFrame:
+    """Spells with levels on pairs: several may hold at once, the closest counts, pairs with none get the lowest."""
+    events = I.events(spark, sf)
+    length = F.col("end") - F.col("start")
+    spells = events.select(
+        F.least("attacker", "target").alias("a_unit"),
+        F.greatest("attacker", "target").alias("b_unit"),
+        "start",
+        "end",
+        F.when(length >= 2, 3).when(length > 0, 2).otherwise(1).alias("level"),
+    )
+    years = expand_spells(spells, "start", "end", "year", clamp=I.YEARS)
+    levels = spark.createDataFrame([(0, "none", 0), (1, "brief", 1), (2, "short", 2), (3, "long", 3)], "code int, label string, rank int")
+    return ordered_max(years, ["a_unit", "b_unit", "year"], "level", levels, "closeness", I.market_pairs(spark, sf))

@@ -36,6 +36,32 @@ def r1_log_loss(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(R.log_loss(I.fixed_predictions(spark, sf), "label", "p", ["model"]))
 
 
+# A weight from the row's id: what a down-sampled fit would count the row as.
+_WEIGHTED = "wp AS (SELECT *, 1.0::DOUBLE + row_id % 4 AS weight FROM preds)"
+
+
+def _weighted(spark: SparkSession, sf: str) -> DataFrame:
+    return I.fixed_predictions(spark, sf).withColumn("weight", F.lit(1.0) + F.col("row_id") % 4)
+
+
+@query(
+    "r1_log_loss_weighted",
+    f"""{_P}, {_WEIGHTED} SELECT model, round(sum(-weight * (label * ln(p + 2.220446049250313e-16)
+          + (1 - label) * ln(1 - p + 2.220446049250313e-16))) / sum(weight), 6) AS log_loss FROM wp GROUP BY 1""",
+)
+def r1_log_loss_weighted(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(R.log_loss(_weighted(spark, sf), "label", "p", ["model"], weight="weight"))
+
+
+@query(
+    "r3_auc_weighted",
+    f"""{_P}, {_WEIGHTED} SELECT a.model, round(sum(a.weight * b.weight * CASE WHEN a.p > b.p THEN 1.0::DOUBLE WHEN a.p = b.p THEN 0.5 ELSE 0 END)
+          / sum(a.weight * b.weight), 6) AS auc FROM wp a JOIN wp b ON a.model = b.model AND a.label = 1 AND b.label = 0 GROUP BY 1""",
+)
+def r3_auc_weighted(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(R.auc(_weighted(spark, sf), "label", "p", ["model"], weight="weight"))
+
+
 @query("r2_confusion", f"{_P}, c AS (SELECT model, {_CELLS} FROM preds GROUP BY 1) SELECT *, {_RATES} FROM c")
 def r2_confusion(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(R.confusion(I.fixed_predictions(spark, sf), "label", "p", ["model"]).drop("log_loss"))
