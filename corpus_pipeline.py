@@ -13,8 +13,8 @@ from pairlens.llm.mixing import take_mix
 from pairlens.llm.neardup import keep_one
 from pairlens.llm.pii import redact
 from pairlens.llm.quality import keep_good
-from pairlens.llm.registry import table
-from pairlens.session import materialize, ship
+from pairlens.llm.registry import prepare, table
+from pairlens.session import materialize
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -29,31 +29,31 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject (score of at least 0.5)."""
-    ship(spark)
+    prepare(spark)
     return keep_good(docs, table(spark, sf_dir, "labels"), COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class, the one of smallest id."""
-    ship(spark)
+    prepare(spark)
     return keep_one(docs, COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of benchmark items are cut out; documents that are mostly such passages go."""
-    ship(spark)
+    prepare(spark)
     return _counted(decontaminate(docs, table(spark, sf_dir, "benchmark"), columns=COLUMNS))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced by the name of its kind."""
-    ship(spark)
+    prepare(spark)
     return _counted(redact(docs, COLUMNS))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, with ``copies``, how often it takes them."""
-    ship(spark)
+    prepare(spark)
     return take_mix(docs, COLUMNS)
 
 

@@ -220,6 +220,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, columns: Sequence[str], thresh
     """The given columns of the documents whose score reaches ``threshold``; no row is moved to be scored."""
     shared = docs.sparkSession.sparkContext.broadcast(word_vectors(docs))
     net = fit_quality(materialize(pooled_features(docs, ["doc_id"], shared), "quality-features"), labels)
-    pooled = pooled_features(docs, columns, shared)
-    schema = T.StructType([*pooled.schema.fields[:-1], T.StructField("score", T.DoubleType())])
-    return pooled.mapInArrow(_score(net), schema).where(F.col("score") >= threshold).drop("score")
+    rows = docs.select(*columns, F.col("text").alias("_text"))
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("score", T.DoubleType())])
+    pool, score = _pool(shared, "_text"), _score(net)
+    # Both steps in one worker.
+    return rows.mapInArrow(lambda batches: score(pool(batches)), schema).where(F.col("score") >= threshold).drop("score")

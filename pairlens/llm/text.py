@@ -14,9 +14,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-# Bytes worked on at once; longer texts are cut into pieces between two words.
-PIECE = 1 << 20
-CHUNK = 1 << 21
+# Bytes worked on at once; longer texts are cut into pieces between two words.  Small pieces stay
+# in the processor's cache, and leave a worker that is kept for other stages small.
+PIECE = 1 << 18
+CHUNK = 1 << 20
 BASE, BASE_2, GRAM, GRAM_2 = 0x9E3779B97F4A7C55, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
 MASK = (1 << 64) - 1
 _POWERS: dict[int, np.ndarray] = {}
