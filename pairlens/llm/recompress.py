@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -234,10 +234,10 @@ def repeated_passages(docs: DataFrame, length: int = 50) -> tuple[DataFrame, Dat
     # Copies of a text differ in their id only, so their first document stands for all of them.
     firsts = materialize(rows.where("doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("first_id")), "firsts")
 
-    named = rows.select(tkey, "text").mapInArrow(_anchor_rows(length), "anchor long, tkey long").distinct()
+    named = rows.select(tkey, "text").mapInArrow(_anchor_rows(length), "anchor long, tkey long")
     named = materialize(named, "anchors")
     shared = named.groupBy("anchor").agg(F.min("tkey").alias("a"), F.max("tkey").alias("b")).where("a <> b").select("anchor")
-    lists = named.join(shared, "anchor").groupBy("tkey").agg(F.collect_list("anchor").alias("shared"))
+    lists = named.join(shared, "anchor").groupBy("tkey").agg(F.collect_set("anchor").alias("shared"))
     wanted = materialize(firsts.withColumn("tkey", tkey).join(lists, "tkey").select("key", "first_id", "shared"), "wanted")
 
     body = rows.join(wanted, (rows["key"] == wanted["key"]) & (rows["doc_id"] == wanted["first_id"]))
@@ -248,9 +248,14 @@ def repeated_passages(docs: DataFrame, length: int = 50) -> tuple[DataFrame, Dat
     return firsts, body.select("key", "first_id", "text").join(later, "first_id")
 
 
-def dedup_substrings(docs: DataFrame, length: int = 50, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup_substrings(
+    docs: DataFrame, length: int = 50, doc_id: str = "doc_id", text: str = "text", value: Callable[[Column], Column] = lambda kept: kept
+) -> DataFrame:
     """``doc_id, n_words, n_removed, kept`` (the kept words, joined by single spaces) for every document.
 
+    ``value`` is applied to the kept words where they are made, before rows move: who needs only a
+    digest of them spares a shuffle of the texts.
+
     A word goes if a window of ``length`` words covers it whose words also start in a document of
     smaller id; windows are those of the input.  Each text is parsed by rounds of recompression.
     Windows with equal words have equal anchors, so only windows whose anchor occurs in two
@@ -263,17 +268,18 @@ def dedup_substrings(docs: DataFrame, length: int = 50, doc_id: str = "doc_id",
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     firsts, losing = repeated_passages(rows, length)
     lost = losing.select("key", "text", "repeats").mapInArrow(_kept(length), "key binary, n_removed long, kept string")
-    lost = materialize(firsts.join(lost.dropDuplicates(["key"]), "key", "left"), "kept")
+    lost = lost.select("key", "n_removed", value(F.col("kept")).alias("kept")).dropDuplicates(["key"])
+    lost = materialize(firsts.join(lost, "key", "left"), "kept")
 
     plain = F.filter(F.split(F.coalesce("text", F.lit("")), BLANKS), lambda x: x != "")
-    base = rows.select("doc_id", text_key().alias("key"), plain.alias("w")).select("doc_id", "key", F.size("w").cast("long").alias("n_words"), F.array_join("w", " ").alias("all"))
+    base = rows.select("doc_id", text_key().alias("key"), plain.alias("w")).select("doc_id", "key", F.size("w").cast("long").alias("n_words"), value(F.array_join("w", " ")).alias("all"))
     joined = base.join(lost, "key", "left")
     copy = (F.col("first_id") < F.col("doc_id")) & (F.col("n_words") >= length)
     own = (F.col("first_id") == F.col("doc_id")) & F.col("n_removed").isNotNull()
     return joined.select(
         "doc_id", "n_words",
         F.when(copy, F.col("n_words")).when(own, F.col("n_removed")).otherwise(F.lit(0).cast("long")).alias("n_removed"),
-        F.when(copy, F.lit("")).when(own, F.col("kept")).otherwise(F.col("all")).alias("kept"),
+        F.when(copy, value(F.lit(""))).when(own, F.col("kept")).otherwise(F.col("all")).alias("kept"),
     )
 
 

@@ -22,5 +22,5 @@ FROM doc LEFT JOIN lost USING (r)
 
 @query("op10_substring_dedup", SQL)
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = dedup_substrings(table(spark, sf_dir, "documents"), length=50)
-    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+    kept = dedup_substrings(table(spark, sf_dir, "documents"), length=50, value=lambda words: F.sha2(words, 256))
+    return kept.select("doc_id", "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
