@@ -53,8 +53,8 @@ def luhn(digits: bytes) -> bool:
     return total % 10 == 0
 
 
-def number_spans(run: bytes) -> Iterator[tuple[int, int, int, int, bool]]:
-    """(kind, start, end, label, check) in a run of numeric bytes, in time linear in its length.
+def number_spans(run: bytes) -> Iterator[tuple]:
+    """(kind, start, end, label, check) in a run of numeric bytes, in time linear in its length; parts of a number have its span as well.
 
     The three formats are matched leftmost and without overlap within a kind.  A dotted chain of
     digit groups is read in fours, which is what the leftmost greedy match does.  Numbers that
@@ -78,10 +78,10 @@ def number_spans(run: bytes) -> Iterator[tuple[int, int, int, int, bool]]:
             groups = [(g.start() + m.start(), g.end() + m.start()) for g in re.finditer(rb"[0-9]+", m.group())]
             for i, (start, end) in enumerate(groups):
                 if 12 <= end - start <= 19:
-                    yield CARD, start, end, OPEN, luhn(run[start:end])
+                    yield CARD, start, end, OPEN, luhn(run[start:end]), m.span()
                 four = groups[i : i + 4]
                 if len(four) == 4 and all(e - s == 4 for s, e in four):
-                    yield CARD, start, four[-1][1], OPEN, luhn(run[start : four[-1][1]].translate(None, b" -"))
+                    yield CARD, start, four[-1][1], OPEN, luhn(run[start : four[-1][1]].translate(None, b" -")), m.span()
     phones = []
     for m in PLUS.finditer(run):
         n = len(m.group().translate(None, b"+ ().-"))
@@ -95,12 +95,12 @@ def number_spans(run: bytes) -> Iterator[tuple[int, int, int, int, bool]]:
                 if seen > 15:
                     break
                 if seen >= 9:
-                    yield PHONE, m.start(), m.start() + g.end(), OPEN, True
+                    yield PHONE, m.start(), m.start() + g.end(), OPEN, True, m.span()
     # Without a plus sign the digits alone prove nothing; the words before decide.
     for m in GROUPS.finditer(run):
         n = len(m.group().translate(None, b" ()./-"))
         if 9 <= n <= 15 and not any(a < m.end() and m.start() < b for a, b in phones):
-            yield PHONE, *m.span(), OPEN, False
+            yield PHONE, *m.span(), OPEN, None
 
 
 def email_spans(data: bytes, signs: list[int], begin: int, stop: int) -> Iterator[tuple[int, int, int, int, bool]]:
@@ -130,19 +130,22 @@ def spelled_emails(data: bytes, begin: int, stop: int) -> Iterator[tuple[int, in
             yield EMAIL, m.start() - local, host.end(), OPEN, True
 
 
-def features(data: bytes, begin: int, stop: int, kind: int, start: int, end: int, check: bool) -> list[float]:
-    """Format and context of a span, and whether it passes its format's check (a cue word, where the format has none)."""
+def features(data: bytes, begin: int, stop: int, kind: int, start: int, end: int, run: tuple[int, int] | None = None) -> list[float]:
+    """Format and context of a span; whether it passes its format's check is not among them.
+
+    The context of a part of a number is what stands around the whole number, ``run``.
+    """
     span = data[start:end]
-    before, after = data[max(begin, start - 40) : start], data[end : min(stop, end + 8)]
+    left, right = run or (start, end)
+    before, after = data[max(begin, left - 40) : left], data[right : min(stop, right + 8)]
     digits = sum(48 <= b < 58 for b in span)
     letters = sum(65 <= (b & 0xDF) < 91 for b in span)
     groups = [len(g) for g in re.findall(rb"[0-9]+", span)] or [0]
     cues = before.lower()
     other = lambda b: b in b" \n\t,.;:!?\"'()[]<>=" or not b
     cued = any(c.encode() in cues for c in CUES[kind])
-    plus = kind != PHONE or span[:1] == b"+"
     return [
-        *(float(kind == k) for k in range(4)), float(check if plus else cued), float(plus),
+        *(float(kind == k) for k in range(4)), float(kind != PHONE or span[:1] == b"+"),
         float(min(len(span), 80)), float(min(digits, 40)), letters / max(1, len(span)), float(min(len(groups), 12)), float(max(groups)), float(min(groups)),
         float(span.count(b" ")), float(span.count(b"-")), float(span.count(b".")), float(span.count(b"(")),
         float(span[:1] in b"0123456789" and span[0] - 48), len(set(span)) / max(1, len(span)),
@@ -152,7 +155,7 @@ def features(data: bytes, begin: int, stop: int, kind: int, start: int, end: int
     ]
 
 
-N_FEATURES = 26
+N_FEATURES, CUED = 25, 17
 
 
 def propose(column: pa.Array) -> list[list[tuple[int, int, int, int, list[float], int, int]]]:
@@ -176,7 +179,8 @@ def propose(column: pa.Array) -> list[list[tuple[int, int, int, int, list[float]
     doc_of = lambda at: np.searchsorted(offsets, at, side="right") - 1
     spans: dict[int, list] = {}
     for a, b, doc in zip(begin[many].tolist(), stop[many].tolist(), doc_of(begin[many]).tolist()):
-        spans.setdefault(doc, []).extend((k, a + s, a + e, *rest) for k, s, e, *rest in number_spans(data[a:b]))
+        mine = ((k, a + s, a + e, label, check, *((a + r[0], a + r[1]) for r in run)) for k, s, e, label, check, *run in number_spans(data[a:b]))
+        spans.setdefault(doc, []).extend(mine)
     by_doc: dict[int, list[int]] = {}
     for at, doc in zip(signs.tolist(), doc_of(signs).tolist()):
         by_doc.setdefault(doc, []).append(at)
@@ -187,8 +191,11 @@ def propose(column: pa.Array) -> list[list[tuple[int, int, int, int, list[float]
     points = code_points(buffer)
     for doc, mine in spans.items():
         a, b = int(offsets[doc]), int(offsets[doc + 1])
-        for kind, start, end, label, check in mine:
-            x = features(data, a, b, kind, start, end, check)
+        for kind, start, end, label, check, *run in mine:
+            # What has no label must hold its check, a phone number without a plus sign a cue word: rules beside the trees.
+            x = features(data, a, b, kind, start, end, *run)
+            if label == OPEN and not (x[CUED] if check is None else check):
+                continue
             found[doc].append((kind, int(points[start] - points[a]), int(points[end] - points[a]), label, x, start - a, end - a))
     return found
 
@@ -209,10 +216,15 @@ class Selector:
         if self.trees is None or not rest:
             return out
         p = sigmoid(self.slope * self.trees.score(np.array([candidates[i][4] for i in rest], dtype=np.float64)) + self.offset)
-        for i, prob in sorted(zip(rest, p.tolist()), key=lambda x: -x[1]):
+        taken = bytearray(max(c[2] for c in candidates))
+        for c, ok in zip(candidates, out):
+            if ok:
+                taken[c[1] : c[2]] = b"\1" * (c[2] - c[1])
+        # Of equally probable spans the longest.
+        for i, prob in sorted(zip(rest, p.tolist()), key=lambda x: (-x[1], candidates[x[0]][1] - candidates[x[0]][2], x[0])):
             kind, start, end = candidates[i][:3]
-            free = not any(out[j] and c[1] < end and start < c[2] for j, c in enumerate(candidates))
-            out[i] = free and prob >= self.thresholds[kind]
+            if prob >= self.thresholds[kind] and taken.find(1, start, end) < 0:
+                out[i], taken[start:end] = True, b"\1" * (end - start)
         return out
 
 
@@ -300,8 +312,9 @@ def find_personal_data(docs: DataFrame, keep: Sequence[str] = ("doc_id",), text:
 
     Base spans match their kind's format and pass its check.  More are proposed (parts of numbers
     that run into each other, phone numbers without a plus sign, spelled-out or host-only mail
-    addresses); the trees have learned from the spans that have a check which formats and contexts hold, and
-    a proposal is added if it overlaps no chosen span and its calibrated probability reaches
+    addresses); the trees have learned from the format and the context of spans that have a check where
+    it holds, never from the check, and
+    a proposal, or a span that fails its check where others pass, is added if it overlaps no chosen span and its calibrated probability reaches
     its kind's threshold.  Offsets are code points, ends exclusive.
 
     A null or empty text has no spans.  Repeated rows are each reported.  The model is fitted on a

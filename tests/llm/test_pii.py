@@ -112,3 +112,17 @@ def test_trees_learn_an_interaction_and_stay_calibrated():
     assert ((score > 0) == y[3000:]).mean() > 0.95
     slope, offset = platt(score, y[3000:])
     assert abs(sigmoid(slope * score + offset).mean() - y[3000:].mean()) < 0.02
+
+
+def bad_card(pick):
+    good = card(pick)
+    return good[:-1] + next(c for c in "0123456789" if not luhn((good[:-1] + c).encode()))
+
+
+def test_context_decides_between_spans_of_equal_check(spark):
+    pick = random.Random(4)
+    rows = [(i, f"my card {card(pick)} ok") for i in range(200)] + [(i, f"the order {bad_card(pick)} is here") for i in range(200, 400)]
+    rows += [(1000, "my card 4111111111111112 ok"), (1001, "the order 4111111111111112 is here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["spans"] for r in find_personal_data(df, ["doc_id"]).collect()}
+    assert got[1000] == "card:8:24" and got[1001] == ""
