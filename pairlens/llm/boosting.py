@@ -20,6 +20,8 @@ class BoostedTrees:
     rate: float = 0.2
     bins: int = 32
     smooth: float = 1.0
+    #: Rows on either side of a split: no leaf is made for a single odd row.
+    least: int = 20
     base: float = 0.0
     edges: list = field(default_factory=list)
     nodes: list = field(default_factory=list)
@@ -54,6 +56,8 @@ class BoostedTrees:
                         gs = np.cumsum(np.bincount(binned[mine, f], g, len(edges) + 1))
                         hs = np.cumsum(np.bincount(binned[mine, f], h, len(edges) + 1))
                         gain = gs[:-1] ** 2 / (hs[:-1] + self.smooth) + (gs[-1] - gs[:-1]) ** 2 / (hs[-1] - hs[:-1] + self.smooth) - whole
+                        ns = np.cumsum(np.bincount(binned[mine, f], minlength=len(edges) + 1))
+                        gain[(ns[:-1] < self.least) | (ns[-1] - ns[:-1] < self.least)] = 0.0
                         at = int(np.argmax(gain))
                         if gain[at] > best[0]:
                             best = (float(gain[at]), f, at)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -53,12 +54,26 @@ def luhn(digits: bytes) -> bool:
     return total % 10 == 0
 
 
+def runs_of_groups(number: bytes, least: int, most: int, first_only: bool = False) -> Iterator[tuple[int, int, bytes]]:
+    """(start, end, digits) of all runs of neighbouring digit groups with ``least`` to ``most`` digits."""
+    groups = [(g.start(), g.end(), g.group()) for g in re.finditer(rb"[0-9]+", number)]
+    for i, (start, _, _) in enumerate(groups[:1] if first_only else groups):
+        digits = b""
+        for _, end, group in groups[i : i + most]:
+            if len(digits) + len(group) > most:
+                break
+            digits += group
+            if len(digits) >= least:
+                yield start, end, digits
+
+
 def number_spans(run: bytes) -> Iterator[tuple]:
     """(kind, start, end, label, check) in a run of numeric bytes, in time linear in its length; parts of a number have its span as well.
 
     The three formats are matched leftmost and without overlap within a kind.  A dotted chain of
     digit groups is read in fours, which is what the leftmost greedy match does.  Numbers that
-    run into each other fail as a whole, so their parts are proposed as well.
+    run into each other fail as a whole, so all runs of their groups that are long enough are proposed as well,
+    at most eight from each group; of a dotted chain every four neighbouring parts.
     """
     for chain in DOTTED.finditer(run):
         parts = chain.group().split(b".")
@@ -69,19 +84,21 @@ def number_spans(run: bytes) -> Iterator[tuple]:
             fits = all(len(p.lstrip(b"0")) <= 3 and int(p.lstrip(b"0") or b"0") <= 255 for p in four)
             yield IP, at, end, int(fits), fits
             at = end + 1
+        fits = [len(p.lstrip(b"0")) <= 3 and int(p.lstrip(b"0") or b"0") <= 255 for p in parts]
+        at = chain.start()
+        for i in range(len(parts) - 3):
+            if i % 4 and all(fits[i : i + 4]):
+                yield IP, at, at + sum(map(len, parts[i : i + 4])) + 3, OPEN, True, chain.span()
+            at += len(parts[i]) + 1
     for m in DIGITS.finditer(run):
         digits = m.group().translate(None, b" -")
+        fits = 12 <= len(digits) <= 19 and luhn(digits)
         if 12 <= len(digits) <= 19:
-            fits = luhn(digits)
             yield CARD, *m.span(), int(fits), fits
-        elif len(digits) > 19:
-            groups = [(g.start() + m.start(), g.end() + m.start()) for g in re.finditer(rb"[0-9]+", m.group())]
-            for i, (start, end) in enumerate(groups):
-                if 12 <= end - start <= 19:
-                    yield CARD, start, end, OPEN, luhn(run[start:end]), m.span()
-                four = groups[i : i + 4]
-                if len(four) == 4 and all(e - s == 4 for s, e in four):
-                    yield CARD, start, four[-1][1], OPEN, luhn(run[start : four[-1][1]].translate(None, b" -")), m.span()
+        if len(digits) >= 12 and not fits:
+            for start, end, part in runs_of_groups(m.group(), 12, 19):
+                if len(part) < len(digits) and luhn(part):
+                    yield CARD, m.start() + start, m.start() + end, OPEN, True, m.span()
     phones = []
     for m in PLUS.finditer(run):
         n = len(m.group().translate(None, b"+ ().-"))
@@ -89,18 +106,21 @@ def number_spans(run: bytes) -> Iterator[tuple]:
         fits = 9 <= n <= 15
         yield PHONE, *m.span(), int(fits), fits
         if n > 15:
-            seen = 0
-            for g in re.finditer(rb"[0-9]+", m.group()):
-                seen += len(g.group())
-                if seen > 15:
-                    break
-                if seen >= 9:
-                    yield PHONE, m.start(), m.start() + g.end(), OPEN, True, m.span()
+            for start, end, _ in runs_of_groups(m.group(), 9, 15, first_only=True):
+                yield PHONE, m.start(), m.start() + end, OPEN, True, m.span()
     # Without a plus sign the digits alone prove nothing; the words before decide.
     for m in GROUPS.finditer(run):
         n = len(m.group().translate(None, b" ()./-"))
-        if 9 <= n <= 15 and not any(a < m.end() and m.start() < b for a, b in phones):
+        at = bisect_left(phones, (m.end(),)) - 1
+        if at >= 0 and m.start() < phones[at][1]:
+            continue
+        if 9 <= n <= 15:
             yield PHONE, *m.span(), OPEN, None
+        elif n > 15:
+            for start, end, _ in runs_of_groups(m.group(), 9, 15):
+                # An area code keeps its bracket.
+                start -= run[m.start() + start - 1 : m.start() + start] == b"(" and start > 0
+                yield PHONE, m.start() + start, m.start() + end, OPEN, None, m.span()
 
 
 def email_spans(data: bytes, signs: list[int], begin: int, stop: int) -> Iterator[tuple[int, int, int, int, bool]]:
@@ -122,8 +142,9 @@ def email_spans(data: bytes, signs: list[int], begin: int, stop: int) -> Iterato
 
 def spelled_emails(data: bytes, begin: int, stop: int) -> Iterator[tuple[int, int, int, int, bool]]:
     """``name [at] host.org``: no check exists for these."""
+    last = begin
     for m in SPELLED.finditer(data, begin, stop):
-        head = data[max(begin, m.start() - 64) : m.start()]
+        head, last = data[last : m.start()], m.end()  # no local part holds a bracket
         local = len(head) - len(head.rstrip(LOCAL))
         host = DOMAIN.match(data, m.end(), stop)
         if local and host:

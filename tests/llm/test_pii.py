@@ -126,3 +126,27 @@ def test_context_decides_between_spans_of_equal_check(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = {r["doc_id"]: r["spans"] for r in find_personal_data(df, ["doc_id"]).collect()}
     assert got[1000] == "card:8:24" and got[1001] == ""
+
+
+def test_parts_of_failing_numbers_are_proposed_at_any_length():
+    parts = {
+        "no 5 4111 1111 1111 1111": (2, "4111 1111 1111 1111"),  # 17 digits
+        "no 12 4111-1111-1111-1111.": (2, "4111-1111-1111-1111"),  # 18
+        "pay 4111111111111111 4111111111111111": (2, "4111111111111111"),
+        "net 300.10.0.0.1": (1, "10.0.0.1"),
+        "net 1.2.300.10.0.0.1": (1, "10.0.0.1"),
+        "tel 12 (555) 010 1000 2000 3000": (3, "(555) 010 1000"),
+        "ask " + "n" * 100 + " [at] site.org": (0, "n" * 100 + " [at] site.org"),
+    }
+    for text, (kind, part) in parts.items():
+        found = propose(pa.array([text]))[0]
+        assert (kind, part) in [(c[0], text[c[1] : c[2]]) for c in found if c[3] != PASSED], text
+        assert len(set((c[0], c[1], c[2]) for c in found)) == len(found)
+
+
+def test_a_card_behind_a_short_number_is_redacted(spark):
+    pick = random.Random(6)
+    rows = [(i, f"my card {card(pick)} ok") for i in range(400)] + [(i, f"the order {bad_card(pick)} is here") for i in range(400, 800)]
+    rows.append((1000, "my card 5 4111 1111 1111 1111 ok"))
+    got = {r["doc_id"]: r["text"] for r in redact(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert "4111 1111 1111 1111" not in got[1000] and got[450] == rows[450][1]
