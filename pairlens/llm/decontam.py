@@ -227,9 +227,12 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 @dataclass(frozen=True)
 class Limits:
-    """A hit span of more than ``longest`` words is removed; a document of which more than ``coverage`` is hit goes as a whole."""
+    """A hit span of more than ``longest`` words is removed; a document of which more than ``coverage`` is hit goes as a whole.
 
-    longest: int = 9
+    Every hit span holds a window or a whole item, so the default keeps only items of one or two words, which clean text has too.
+    """
+
+    longest: int = 2
     coverage: float = 0.5
 
 
@@ -286,7 +289,7 @@ def _cut(limits: Limits, text: str):
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, limits: Limits = Limits(), columns: Sequence[str] = ("doc_id", "text")) -> DataFrame:
     """The given columns of the documents with contaminated spans cut from ``text``.
 
-    A hit span longer than ``limits.longest`` words is cut; a document whose hit words are more
+    A hit span longer than ``limits.longest`` words is cut, whole short items among them; a document whose hit words are more
     than ``limits.coverage`` of its words is left out.  Documents without hits are unchanged.
     ``columns`` must not hold ``n_words``, ``hits``, ``found`` or ``longest``.
     """

@@ -97,3 +97,11 @@ def test_random_texts(spark):
     for r in got:
         n, hit, found = brute(dict(docs)[r["doc_id"]], items, 10)
         assert (r["n_words"], {p for s in r["hits"] for p in range(s["start"], s["end"])}, set(r["found"])) == (n, hit, found)
+
+
+def test_a_whole_short_item_is_cut_from_a_long_document(spark):
+    short = "what is the capital city of northern france"
+    rows = [(1, "filler text " * 40 + short + "? " + "more words " * 40), (2, "clean " * 30 + "yes it is " * 3), (3, "clean " * 30 + "what is the capital city of northern spain")]
+    items = spark.createDataFrame([(1, short), (2, "yes"), (3, "of whom")], "item_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()}
+    assert got == {1: "filler text " * 40 + "? " + "more words " * 40, 2: rows[1][1], 3: rows[2][1]}
