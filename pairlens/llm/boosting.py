@@ -89,14 +89,15 @@ class BoostedTrees:
         return out
 
 
-def platt(score: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:
-    """Slope and offset that make ``sigmoid(slope * score + offset)`` fit held-out labels (Newton steps)."""
+def platt(score: np.ndarray, y: np.ndarray, steps: int = 50, weight: np.ndarray | None = None) -> tuple[float, float]:
+    """Slope and offset that make ``sigmoid(slope * score + offset)`` fit held-out labels, rows weighted if asked (Newton steps)."""
     w = np.array([1.0, 0.0])
+    v = np.ones(len(score)) if weight is None else weight
     design = np.stack([score, np.ones(len(score))], axis=1)
     for _ in range(steps):
         p = sigmoid(design @ w)
-        grad = design.T @ (p - y) + 1e-3 * (w - [1.0, 0.0])
-        hess = (design * (p * (1 - p))[:, None]).T @ design + 1e-3 * np.eye(2)
+        grad = design.T @ (v * (p - y)) + 1e-3 * (w - [1.0, 0.0])
+        hess = (design * (v * p * (1 - p))[:, None]).T @ design + 1e-3 * np.eye(2)
         step = np.linalg.solve(hess, grad)
         w -= step
         if np.abs(step).max() < 1e-8:

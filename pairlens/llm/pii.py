@@ -249,27 +249,57 @@ class Selector:
         return out
 
 
+# Candidates are scored by trees that have not seen their fold, and counted by score in BINS steps of 0.05 from -LIMIT to LIMIT.
+FOLDS, BINS, LIMIT = 5, 480, 12.0
+
+
+def score_bins(folds: Sequence[BoostedTrees], x: np.ndarray, fold: np.ndarray) -> np.ndarray:
+    """The bin of every candidate's score by its own fold's trees."""
+    score = np.zeros(len(x))
+    for f, trees in enumerate(folds):
+        mine = np.flatnonzero(fold == f)
+        if len(mine):
+            score[mine] = trees.score(x[mine])
+    return np.clip((score + LIMIT) * (BINS / (2 * LIMIT)), 0, BINS - 1).astype(np.int64)
+
+
+def fit_trees(x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> tuple[BoostedTrees | None, list[BoostedTrees]]:
+    """Trees of all rows, and for each fold the trees of the other ones; none with fewer than 20 examples of a class, or none in some fold's rest."""
+    rest = [fold != f for f in range(FOLDS)]
+    if min((y == 1).sum(), (y == 0).sum()) < 20 or any(len(set(y[r])) < 2 for r in rest):
+        return None, []
+    return BoostedTrees().fit(x, y), [BoostedTrees().fit(x[r], y[r]) for r in rest]
+
+
+def calibrate(trees: BoostedTrees, counts: np.ndarray, precision: float = 0.98) -> Selector:
+    """From ``counts`` by kind, label and score bin: a calibration, and per kind the lowest threshold of at least ``precision``."""
+    score = (np.arange(BINS) + 0.5) * (2 * LIMIT / BINS) - LIMIT
+    weight = counts.sum(axis=0)
+    y = np.repeat([0.0, 1.0], BINS)
+    slope, offset = platt(np.tile(score, 2), y, weight=weight.ravel() / max(1.0, weight.sum() / 10_000))
+    p, thresholds = sigmoid(slope * score + offset), []
+    for failed, passed in counts:
+        seen = np.flatnonzero(failed + passed)[::-1]
+        right = np.cumsum(passed[seen]) / np.cumsum((failed + passed)[seen])
+        enough = np.flatnonzero(right >= precision)
+        ranked = np.append(p[seen], 0.0)
+        # Half-way to the next lower one, so that a span like the accepted ones is accepted.
+        thresholds.append(max(0.5, float(ranked[enough[-1] : enough[-1] + 2].mean())) if len(enough) and slope > 0 else 2.0)
+    return Selector(trees, slope, offset, tuple(thresholds))
+
+
 def fit_selector(x: np.ndarray, y: np.ndarray, kinds: np.ndarray, precision: float = 0.98) -> Selector:
-    """Fit on four fifths; calibrate on the rest, and set per kind the lowest threshold of at least ``precision`` there.
+    """What ``learn`` does, for candidates in memory: fit, score each by the trees of the other folds, calibrate on all.
 
     With fewer than 20 examples of a class there is nothing to learn from, and nothing is added.
     """
-    if min((y == 1).sum(), (y == 0).sum()) < 20:
+    fold = np.arange(len(y)) % FOLDS
+    trees, folds = fit_trees(x, y, fold)
+    if trees is None:
         return Selector()
-    held = np.arange(len(y)) % 5 == 0
-    trees = BoostedTrees().fit(x[~held], y[~held])
-    score = trees.score(x[held])
-    slope, offset = platt(score, y[held])
-    p, thresholds = sigmoid(slope * score + offset), []
-    for kind in range(len(KINDS)):
-        mine = kinds[held] == kind
-        order = np.argsort(-p[mine], kind="stable")
-        right = np.cumsum(y[held][mine][order]) / np.arange(1, mine.sum() + 1)
-        enough = np.flatnonzero(right >= precision)
-        ranked = np.append(p[mine][order], 0.0)
-        # Half-way to the next lower one, so that a span like the accepted ones is accepted.
-        thresholds.append(max(0.5, float(ranked[enough[-1] : enough[-1] + 2].mean())) if len(enough) else 2.0)
-    return Selector(trees, slope, offset, tuple(thresholds))
+    counts = np.zeros((len(KINDS), 2, BINS))
+    np.add.at(counts, (kinds.astype(np.int64), y.astype(np.int64), score_bins(folds, x, fold)), 1)
+    return calibrate(trees, counts, precision)
 
 
 def _candidates(text: str):
@@ -294,16 +324,48 @@ def candidates_of(docs: DataFrame, keep: Sequence[str], text: str = "text") -> D
     return rows.mapInArrow(_candidates("text"), schema)
 
 
-def learn(candidates: DataFrame, sample: int = 10_000) -> Selector:
-    """Fit on about ``sample`` checked candidates of each outcome at most, chosen by a hash of their content."""
-    c = candidates.select(F.explode("candidates").alias("c")).select("c.*").where(F.col("label") >= 0)
-    rows = [r for label in (PASSED, FAILED) for r in bounded_sample(c.where(F.col("label") == label), sample, "x", "start")]
+def _histogram(folds: Sequence[BoostedTrees]):
+    """Counts of checked candidates by kind, label and score bin; each task adds up its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((len(KINDS), 2, BINS), dtype=np.int64)
+        for batch in batches:
+            kind, label, fold, x = (batch.column(n) for n in ("kind", "label", "fold", "x"))
+            if batch.num_rows:
+                features_ = x.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, N_FEATURES)
+                np.add.at(counts, (kind.to_numpy(), label.to_numpy(), score_bins(folds, features_, fold.to_numpy())), 1)
+        k, y, at = np.nonzero(counts)
+        columns = [*(pa.array(c.astype(np.int32)) for c in (k, y, at)), pa.array(counts[k, y, at])]
+        yield pa.RecordBatch.from_arrays(columns, names=["kind", "label", "bin", "n"])
+
+    return run
+
+
+def learn(candidates: DataFrame, sample: int = 20_000) -> Selector:
+    """Trees from about ``sample`` checked candidates at most; calibration and thresholds from all of them.
+
+    The sample has the mix of the whole: it is chosen by a hash of the document's columns and the span, so
+    copies are drawn one by one.  Every checked candidate is then scored by trees that were
+    fitted without its fold, and the counts by kind, outcome and score, whose number is fixed, set the thresholds.
+    """
+    keys = [n for n in candidates.columns if n != "candidates"]
+    c = candidates.select(*(F.col(n).alias(f"_key_{n}") for n in keys), F.explode("candidates").alias("c"))
+    # The folds go by content, so that no copy of a span is scored by trees that have seen it.
+    fold = F.pmod(F.xxhash64("c.x"), F.lit(FOLDS)).cast("int").alias("fold")
+    c = c.select(*(f"_key_{n}" for n in keys), "c.*", fold).where(F.col("label") >= 0)
+    rows = bounded_sample(c, sample, *(f"_key_{n}" for n in keys), "kind", "start", "end", "x")
     if not rows:
         return Selector()
     rows.sort(key=lambda r: (r["kind"], r["start"], r["end"], r["label"], r["x"]))
-    mixed = np.random.default_rng(7).permutation(len(rows))
-    x = np.array([rows[i]["x"] for i in mixed], dtype=np.float64)
-    return fit_selector(x, np.array([rows[i]["label"] for i in mixed]), np.array([rows[i]["kind"] for i in mixed]))
+    x, y, folds = np.array([r["x"] for r in rows], dtype=np.float64), np.array([r["label"] for r in rows]), np.array([r["fold"] for r in rows])
+    trees, parts = fit_trees(x, y, folds)
+    if trees is None:
+        return Selector()
+    counted = c.select("kind", "label", "fold", "x").mapInArrow(_histogram(parts), "kind int, label int, bin int, n long")
+    counts = np.zeros((len(KINDS), 2, BINS))
+    for r in counted.groupBy("kind", "label", "bin").agg(F.sum("n").alias("n")).collect():  # at most 8 BINS rows
+        counts[r["kind"], r["label"], r["bin"]] = r["n"]
+    return calibrate(trees, counts)
 
 
 def spell(spans: list[tuple[int, int, int]]) -> str:
@@ -338,8 +400,8 @@ def find_personal_data(docs: DataFrame, keep: Sequence[str] = ("doc_id",), text:
     a proposal, or a span that fails its check where others pass, is added if it overlaps no chosen span and its calibrated probability reaches
     its kind's threshold.  Offsets are code points, ends exclusive.
 
-    A null or empty text has no spans.  Repeated rows are each reported.  The model is fitted on a
-    bounded sample of candidates; candidates come from every whole text.  No other column is read.
+    A null or empty text has no spans.  Repeated rows are each reported.  The trees are fitted on a
+    bounded sample of candidates, the thresholds on counts of all; candidates come from every whole text.  No other column is read.
     """
     found = materialize(candidates_of(docs, keep, text), "pii-candidates")
     kept = found.schema.fields[:-1]
@@ -369,6 +431,6 @@ def _redact(selector: Selector, text: str):
 
 def redact(docs: DataFrame, columns: Sequence[str] = ("doc_id", "text")) -> DataFrame:
     """The given columns with every selected span of ``text`` replaced by its kind, such as ``<EMAIL>``."""
-    selector = learn(materialize(candidates_of(docs, []), "pii-candidates"))
+    selector = learn(materialize(candidates_of(docs, [c for c in docs.columns if c == "doc_id"]), "pii-candidates"))
     rows = docs.select(*columns)
     return rows.mapInArrow(_redact(selector, "text"), rows.schema)
