@@ -52,19 +52,19 @@ def total(rows: DataFrame, size: int) -> np.ndarray:
 
 
 def task_number() -> int:
-
     context = TaskContext.get()
     return context.partitionId() if context else 0
 
 
-
-
 def bounded_sample(rows: DataFrame, size: int, *key: str) -> list:
-    """About ``size`` rows, all if there are fewer, chosen by a hash of ``key``.
+    """About ``size`` rows, all if there are fewer and ``2 * size`` at most, chosen by a hash of ``key``.
 
     The share to keep follows from a count, so that each task sends only its part of the sample.
+    Where many rows share a key and the share is too large, those of smallest hash stay; rows that
+    tie differ in nothing but order, or in columns that cannot be ordered, so reruns agree.
     """
     n = rows.count()
+    hashed = F.pmod(F.xxhash64(*key), F.lit(1 << 30))
     if n > size:
-        rows = rows.where(F.pmod(F.xxhash64(*key), F.lit(1 << 30)) < int((1 << 30) * size / n))
-    return rows.limit(2 * size).collect()
+        rows = rows.where(hashed < int((1 << 30) * size / n))
+    return rows.orderBy(hashed, F.xxhash64(*rows.columns)).limit(2 * size).collect()
