@@ -37,13 +37,13 @@ def framed(w: Words) -> tuple[np.ndarray, np.ndarray]:
 
 
 def grid_candidates(s: np.ndarray, longest: int, repeats: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``place, period, head``: places on the multiples of each period, from which ``repeats`` grid points agree.
+    """``place, period, stretch``: places on the multiples of each period among ``repeats`` grid points that agree.
 
     A run of ``repeats`` periods covers as many multiples of its period, wherever it begins, so
     each has a candidate.  Of a stretch of agreeing grid points the last of each ``repeats - 1``
-    pairs is kept: every run holds one.  ``head`` tells the first of a stretch.
+    pairs is kept: every run holds one.  Stretches are numbered; they may reach across texts.
     """
-    places, periods, heads = [], [], []
+    places, periods, stretches, known = [], [], [], 0
     need = repeats - 1
     for p in range(1, longest // repeats + 1):
         x = s[::p]
@@ -58,11 +58,12 @@ def grid_candidates(s: np.ndarray, longest: int, repeats: int) -> tuple[np.ndarr
             nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
             places.append((np.repeat(begin, count) + need * (nth + 1) - 1) * p)
             periods.append(np.full(len(nth), p))
-            heads.append(nth == 0)
+            stretches.append(known + np.repeat(np.arange(len(begin)), count))
+            known += len(begin)
     if not places:
         none = np.zeros(0, np.int64)
-        return none, none, none.astype(bool)
-    return np.concatenate(places), np.concatenate(periods), np.concatenate(heads)
+        return none, none, none
+    return np.concatenate(places), np.concatenate(periods), np.concatenate(stretches)
 
 
 def find(w: Words, repeats: int = 4, least: int = 6) -> Runs:
@@ -72,11 +73,15 @@ def find(w: Words, repeats: int = 4, least: int = 6) -> Runs:
     if not len(lengths) or lengths.max() < max(repeats, least):
         return Runs(none, none, none, none)
     s, first = framed(w)
-    place, period, head = grid_candidates(s, int(lengths.max()), repeats)
-    if not len(place):
+    place, period, stretch = grid_candidates(s, int(lengths.max()), repeats)
+    # A run lies within one text, so both places of its candidate do.
+    owner = np.searchsorted(first, place, side="right") - 1
+    within = np.flatnonzero(owner == np.searchsorted(first, place + period, side="right") - 1)
+    if not len(within):
         return Runs(none, none, none, none)
+    place, period, stretch, owner = place[within], period[within], stretch[within], owner[within]
+    head = np.append(True, (stretch[1:] != stretch[:-1]) | (owner[1:] != owner[:-1]))
     # Only texts with candidates need a grammar.
-    owner = np.searchsorted(first, place, side="right") - 1
     wanted = np.unique(owner)
     sizes = lengths[wanted] + 1
     shift = np.cumsum(sizes) - sizes  # where each wanted text's frame begins in the shorter string

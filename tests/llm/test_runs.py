@@ -98,6 +98,18 @@ def test_rows(spark, odd, odd_rows, none):
     assert find_runs(none).count() == 0 and find_runs(none).columns == ["doc_id", "n_words", "runs", "collapsed"]
 
 
+def test_grid_points_that_agree_across_texts():
+    """Few words that recur at fixed places in many texts, so that agreeing grid points run from text to text."""
+    pick = random.Random(3)
+    for size in (7, 11, 24):
+        texts = [["same" if k % 6 == 0 else f"u{pick.randrange(10**6)}" for k in range(size - 1)] for _ in range(40)]
+        texts[17] = (["a", "b"] * size)[:size]
+        w = words(pa.array([" ".join(t) for t in texts] + ["long " + " ".join(f"v{i}" for i in range(400))]), BLANK, SAME)
+        runs = find(w)
+        got = list(zip(runs.doc.tolist(), runs.start.tolist(), runs.length.tolist(), runs.period.tolist()))
+        assert got == [(i, *r) for i, t in enumerate(texts) for r in brute(t)]
+
+
 def test_a_very_long_text_with_planted_runs(spark):
     pick = random.Random(8)
     free = [f"u{i}" for i in range(60_000)]
