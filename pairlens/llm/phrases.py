@@ -16,7 +16,7 @@ from .automata import Trie, compose, cut, from_paths, from_positions, pack, pref
 from .text import LOWER, MASK, chunks, words
 
 # Words of a shard, bytes of text whose sequences make a range, and nodes that wait to be united.
-SHARD_WORDS, RANGE_BYTES, WAITING = 2_000_000, 8 << 20, 2_000_000
+SHARD_WORDS, RANGE_BYTES, WAITING = 1_000_000, 16 << 20, 2_000_000
 # Parts that make up this share of all words are looked up without being moved: at most 1 / share of each length exist.
 HOT_SHARE = 1 / 2048
 # What ends a piece of text, and what separates its words.
