@@ -152,10 +152,19 @@ def hash_rank(
     """Rank 1..n of every row within its class in seeded-md5 order.
 
     The digest spreads any class evenly over ``16 ** digits`` buckets, so the
-    window sorts small groups even if one class holds nearly all rows.
+    window sorts small groups even if one class holds nearly all rows.  Without classes
+    the rows before each bucket are added up on the driver, ``16 ** digits`` numbers.
     """
     by = list(by)
     hashed = df.withColumn("hash", md5_key(seed, F.col(row_id))).withColumn("bucket", F.substring("hash", 1, digits))
+    if not by:
+        before, total = [], 0
+        for bucket, n in sorted(tuple(r) for r in hashed.where("bucket IS NOT NULL").groupBy("bucket").count().collect()):
+            before.append((bucket, total))
+            total += n
+        offsets = F.broadcast(df.sparkSession.createDataFrame(before, "bucket string, offset long"))
+        ranked = hashed.withColumn("in_bucket", F.row_number().over(W.partitionBy("bucket").orderBy("hash", row_id))).join(offsets, "bucket")
+        return ranked.withColumn(name, F.col("offset") + F.col("in_bucket")).drop("hash", "bucket", "in_bucket", "offset")
     offsets = _hash_offsets(hashed, by).drop("bucket_cnt")
     inside = W.partitionBy(*by, "bucket").orderBy("hash", row_id)
     return (

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
-from .scoring import EPS, blend, prediction_matrix, row_weight, score_models
+from .scoring import EPS, auc, blend, confusion, prediction_matrix, row_weight
 
 STEPS = (1.0, 0.5, 0.25, 0.1, 0.03, 0.01)
 
@@ -123,4 +123,6 @@ def ablate(
     weights = ensemble_weights(preds, kept, y, row_id)
     weight = "weight" if "weight" in preds.columns else None
     mixed = blend(preds, weights, row_id, [y, *([weight] if weight else [])], "ensemble")
-    return score_models(mixed, y, weight=weight).withColumn("dropped", F.lit(",".join(drop_models)))
+    # One model, so one row: the area is a number beside it and needs no join.
+    scored = confusion(mixed, y, "p", [], weight=weight).withColumn("auc", auc(mixed, y, "p", [], weight).scalar())
+    return scored.select(F.lit("ensemble").alias("model"), "*", F.lit(",".join(drop_models)).alias("dropped"))

@@ -39,6 +39,8 @@ class Family:
     name: str
     fit: Callable[[DataFrame, Mapping, int], Scorer]
     grid: tuple[Mapping, ...] = field(default=({},))
+    #: For logits: the penalty ``(alpha, lambda)`` of a setting, so that many can be fitted in one pass.
+    penalty: Callable[[Mapping], tuple[float, float]] | None = None
 
 
 def _weighted(estimator, train: DataFrame):
@@ -57,11 +59,13 @@ def _ml_scorer(model) -> Scorer:
     return score
 
 
-def _estimator_family(name: str, build: Callable[[Mapping, int], object], grid: Sequence[Mapping] = ({},)) -> Family:
+def _estimator_family(
+    name: str, build: Callable[[Mapping, int], object], grid: Sequence[Mapping] = ({},), penalty: Callable[[Mapping], tuple[float, float]] | None = None
+) -> Family:
     def fit(train: DataFrame, params: Mapping, seed: int) -> Scorer:
         return _ml_scorer(_weighted(build(params, seed), train).fit(train))
 
-    return Family(name, fit, tuple(grid))
+    return Family(name, fit, tuple(grid), penalty)
 
 
 # --- base rate -------------------------------------------------------------------------
@@ -229,7 +233,7 @@ ALPHAS = (0.0, 0.2, 0.4, 0.6, 0.8, 1.0)
 LAMBDAS = (0.00001, 0.0001, 0.001, 0.01)
 
 NULL = Family("null", _fit_null)
-LOGIT = _estimator_family("logit", lambda p, s: LogisticRegression(regParam=0.0, maxIter=100))
+LOGIT = _estimator_family("logit", lambda p, s: LogisticRegression(regParam=0.0, maxIter=100), penalty=lambda p: (0.0, 0.0))
 BOOSTED_LOGIT = _estimator_family(
     "boosted_logit",
     lambda p, s: GBTClassifier(maxDepth=1, maxIter=p.get("rounds", 20), stepSize=0.3, seed=s),
@@ -241,6 +245,7 @@ ELASTIC_NET = _estimator_family(
         elasticNetParam=p.get("alpha", 0.5), regParam=p.get("lambda", 0.001), standardization=True, maxIter=100
     ),
     [{"alpha": a, "lambda": l} for a, l in product(ALPHAS, LAMBDAS)],
+    lambda p: (p.get("alpha", 0.5), p.get("lambda", 0.001)),
 )
 NAIVE_BAYES = _estimator_family("naive_bayes", lambda p, s: NaiveBayes(modelType="gaussian"))
 SPLINES = Family("splines", _fit_splines, tuple({"n_knots": k, "reg": r} for k in (2, 3) for r in (0.001, 0.01)))

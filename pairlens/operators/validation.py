@@ -10,17 +10,21 @@ from dataclasses import dataclass
 from functools import reduce
 
 from pyspark import StorageLevel
-from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import hash_rank, seeded_draw
 from ..session import materialize
+from .batch_logit import fit_logits, fold_samples, held_out_loss, linear_probability, prepared, score_fits
 from .models import FAMILIES, Family, Scorer
 from .sampling import class_sizes
 from .scoring import auc, log_loss, log_loss_term, row_weight
 
 
+# Scans of the rows that logits of bootstraps and of folds may take.
+MAX_SCANS, CV_SCANS = 20, 40
+
+
 @dataclass(frozen=True)
 class CrossValidation:
     model: str
@@ -47,8 +51,9 @@ def cross_validate(
 
     ``metric`` is ``log_loss`` or ``auc``; the best setting has the lowest loss or the highest
     area, taken over all held-out rows.  A ``weight`` column weighs fits, losses and areas, and
-    stays in the predictions.  ``df`` carries a fold id and should be a stored table.  Fits run a few at a time from a small thread pool; each
-    one is itself a distributed job.  Only one number per fit reaches the driver.
+    stays in the predictions.  ``df`` carries a fold id and should be a stored table.  Logits of all settings and folds are fitted
+    together, a scan of the rows per step; other families' fits run a few at a time from a small
+    thread pool, each one itself a distributed job.  Only numbers per fit reach the driver.
     """
     if metric not in ("log_loss", "auc"):
         raise ValueError(f"unknown metric {metric}")
@@ -69,8 +74,11 @@ def cross_validate(
         return i, k, scorer, float(loss), float(n), time.perf_counter() - start
 
     tasks = [(i, k) for i in range(len(settings)) for k in folds]
-    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        done = list(pool.map(one, tasks))
+    if fam.penalty:
+        done = _logit_folds(data, fam, settings, fold, folds, weight)
+    else:
+        with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+            done = list(pool.map(one, tasks))
     data.unpersist()
     rows = []
     for i, params in enumerate(settings):
@@ -95,6 +103,22 @@ def cross_validate(
     return CrossValidation(fam.name, settings[best], predictions, results, time.perf_counter() - began)
 
 
+def _logit_folds(data: DataFrame, fam: Family, settings: Sequence[Mapping], fold: str, folds: Sequence, weight: str | None) -> list[tuple]:
+    """Setting, fold, scorer, summed loss, weight and seconds of every logit, all fitted together."""
+    start = time.perf_counter()
+    rows = fold_samples(data, fold, folds, weight).persist(StorageLevel.MEMORY_AND_DISK)
+    fits = fit_logits(rows, len(folds), [fam.penalty(s) for s in settings], max_scans=CV_SCANS)
+    loss, total = held_out_loss(rows, fits, len(folds))
+    rows.unpersist()
+
+    def scorer(f: int) -> Scorer:
+        return lambda df: df.withColumn("p", linear_probability(vector_to_array("features"), fits.coef[f], fits.intercept[f]))
+
+    seconds = (time.perf_counter() - start) / max(len(fits.coef), 1)
+    each = len(settings)
+    return [(i, k, scorer(j * each + i), float(loss[i, j]), float(total[j]), seconds) for i in range(each) for j, k in enumerate(folds)]
+
+
 def tuning_stability(
     df: DataFrame, replicate: Sequence[str], families: Sequence[str], grids: Mapping[str, Sequence[Mapping]] | None = None, **kw
 ) -> DataFrame:
@@ -119,9 +143,9 @@ def permutation_importance(scorer: Scorer, df: DataFrame, features: Sequence[str
     One md5 order is matched with another to give each row a donor: a single join serves
     all features.  Every feature's exchanged rows are scored in the same pass.
     """
-    base = df.select("row_id", "label", "features").withColumn("__one", F.lit(1))
-    here = hash_rank(base, "row_id", ["__one"], f"{seed}:a", "__rank")
-    donors = hash_rank(base, "row_id", ["__one"], f"{seed}:b", "__rank").select(
+    base = df.select("row_id", "label", "features")
+    here = hash_rank(base, "row_id", [], f"{seed}:a", "__rank")
+    donors = hash_rank(base, "row_id", [], f"{seed}:b", "__rank").select(
         "__rank", vector_to_array("features").alias("__donor")
     )
     pairs = here.join(donors, "__rank").withColumn("__own", vector_to_array("features"))
@@ -134,7 +158,7 @@ def permutation_importance(scorer: Scorer, df: DataFrame, features: Sequence[str
     swapped = pairs.select("row_id", "label", F.inline(F.array(*swaps)))
     swapped = swapped.withColumn("features", array_to_vector("x")).drop("x")
     shuffled = log_loss(scorer(swapped), "label", "p", ["feature"])
-    plain = log_loss(scorer(base.drop("__one")), "label", "p").scalar()
+    plain = log_loss(scorer(base), "label", "p").scalar()
     return shuffled.select("feature", (F.col("log_loss") - plain).alias("importance"))
 
 
@@ -149,13 +173,13 @@ def downsample_curve(
     reps: int = 100,
     seed: int = 90210,
     natural: bool = True,
-    parallelism: int = 4,
 ) -> DataFrame:
     """Log-loss and AUC on held-out rows for logits fitted on bootstraps of several class ratios.
 
-    The training rows are ranked once.  A bootstrap is a count per drawn rank, so a fit reads
-    each drawn row once with its count as weight.  All fitted coefficient vectors together are
-    small (ratios x reps x features), and one pass over the held-out rows scores them all.
+    The training rows are ranked once.  A bootstrap is a count per drawn rank, and a row carries
+    the counts of all fits that drew it.  All fits take their Newton steps together, one scan of
+    the drawn rows each, ``MAX_SCANS`` at most (a bootstrap whose classes separate stops there);
+    two scans of the held-out rows score them all.
     """
     spark = train.sparkSession
     sizes = class_sizes(train, "label")
@@ -164,30 +188,18 @@ def downsample_curve(
         raise ValueError("both classes are needed")
     wanted = [float(r) for r in ratios] + ([n0 / n1] if natural else [])
     ranked = hash_rank(train.select("row_id", "label", "features"), "row_id", ["label"], seed, "__rank")
-    ranked = materialize(ranked, "ranked-rows", rebalance=True).persist(StorageLevel.MEMORY_AND_DISK)
-
-    def fit(task: tuple[float, int]) -> tuple:
-        ratio, rep = task
-        draws = []
+    draws = None
+    for i, ratio in enumerate(wanted):
         for value, n, size in ((1.0, n1, n1), (0.0, int(n1 * ratio), n0)):
-            index = seeded_draw(f"{seed}:{ratio}:{rep}:{value}", F.col("id")) % F.lit(size) + 1
-            draws.append(spark.range(n).select(F.lit(value).alias("label"), index.alias("__rank")))
-        counted = draws[0].unionByName(draws[1]).groupBy("label", "__rank").agg(F.count(F.lit(1)).cast("double").alias("weight"))
-        sample = ranked.join(counted, ["label", "__rank"])
-        model = LogisticRegression(weightCol="weight", maxIter=50).fit(sample)
-        return ratio, rep, [float(v) for v in model.coefficients.toArray()], float(model.intercept)
-
-    tasks = [(r, i) for r in wanted for i in range(1, reps + 1)]
-    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        fits = list(pool.map(fit, tasks))
-    ranked.unpersist()
-    table = spark.createDataFrame(fits, "ratio double, rep int, coef array<double>, intercept double")
-    # One small row: the fitted vectors, bounded by ratios x reps x features.
-    vectors = table.agg(F.collect_list(F.struct("ratio", "rep", "coef", "intercept"))).scalar()
-    scored = evaluation.select("row_id", "label", vector_to_array("features").alias("x")).select(
-        "row_id", "label", "x", F.inline(vectors)
-    )
-    dot = F.aggregate(F.zip_with("x", "coef", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-    scored = scored.select("ratio", "rep", "label", (F.lit(1.0) / (F.lit(1.0) + F.exp(-(dot + F.col("intercept"))))).alias("p"))
-    by = ["ratio", "rep"]
-    return log_loss(scored, "label", "p", by).join(auc(scored, "label", "p", by), by)
+            rep, nth = F.floor(F.col("id") / F.lit(max(n, 1))), F.col("id") % F.lit(max(n, 1))
+            index = seeded_draw(f"{seed}:{ratio}", (rep + 1).cast("int"), F.lit(str(value)), nth) % F.lit(size) + 1
+            part = spark.range(n * reps).select(F.lit(value).alias("label"), index.alias("__rank"), (F.lit(i * reps) + rep).cast("int").alias("sample"))
+            draws = part if draws is None else draws.unionByName(part)
+    counted = draws.groupBy("label", "__rank", "sample").agg(F.count(F.lit(1)).cast("double").alias("count"))
+    # A row is drawn by each fit at most once after counting, so its list is as long as there are fits.
+    drawn = counted.groupBy("label", "__rank").agg(F.collect_list(F.struct("sample", "count")).alias("draws"))
+    rows = materialize(prepared(ranked.join(drawn, ["label", "__rank"]), "draws"), "bootstraps", rebalance=True)
+    fits = fit_logits(rows, len(wanted) * reps, max_scans=MAX_SCANS)
+    scored = score_fits(materialize(prepared(evaluation), "held-out", rebalance=True), fits)
+    table = [(wanted[i // reps], i % reps + 1, loss, area) for i, (loss, area) in enumerate(scored)]
+    return spark.createDataFrame(table, "ratio double, rep int, log_loss double, auc double")

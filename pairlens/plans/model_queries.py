@@ -150,7 +150,7 @@ def _inside(col: str, low: float = 0.0, high: float = 1.0) -> Column:
 
 @query(
     "m5_downsample_curve",
-    """SELECT r AS ratio, 2::BIGINT AS n_reps, 0::BIGINT AS bad_loss, 0::BIGINT AS bad_auc
+    """SELECT r AS ratio, 100::BIGINT AS n_reps, 0::BIGINT AS bad_loss, 0::BIGINT AS bad_auc
        FROM (SELECT CAST(unnest([1, 2, 3, 4, 5, 10, 25, 50, 100, 250]) AS DOUBLE) AS r UNION ALL
              SELECT round(n0 / n1, 6) FROM (SELECT sum(c0)::DOUBLE AS n0, sum(c1)::DOUBLE AS n1 FROM (
                SELECT CASE WHEN toxic = 0 THEN k END AS c0, CASE WHEN toxic = 1 THEN k END AS c1
@@ -159,7 +159,7 @@ def _inside(col: str, low: float = 0.0, high: float = 1.0) -> Column:
 def m5_downsample_curve(spark: SparkSession, sf: str) -> DataFrame:
     split = materialize(G.train_eval_test(frame(spark, sf), "label", "row_id"), "split", rebalance=True)
     curve = V.downsample_curve(
-        split.where("part = 'train'"), split.where("part = 'eval'"), reps=2, parallelism=8
+        split.where("part = 'train'"), split.where("part = 'eval'"), reps=100
     )
     return curve.groupBy(F.round("ratio", 6).alias("ratio")).agg(
         F.count(F.lit(1)).alias("n_reps"),
@@ -252,11 +252,11 @@ _register_fit("k12", "perceptron")
 
 @query(
     "k4_elastic_net_grid",
-    """SELECT alpha, "lambda", 2::BIGINT AS n_fits, 0::BIGINT AS bad_loss
+    """SELECT alpha, "lambda", 10::BIGINT AS n_fits, 0::BIGINT AS bad_loss
        FROM (SELECT unnest([0.0::DOUBLE, 0.2, 0.4, 0.6, 0.8, 1.0]) AS alpha), (SELECT unnest([0.00001::DOUBLE, 0.0001, 0.001, 0.01]) AS "lambda")""",
 )
 def k4_elastic_net_grid(spark: SparkSession, sf: str) -> DataFrame:
-    cv = V.cross_validate(frame(spark, sf, folds=2), "elastic_net", parallelism=8)
+    cv = V.cross_validate(frame(spark, sf, folds=10), "elastic_net")
     setting = F.from_json("setting", "alpha double, lambda double")
     return cv.results.groupBy(setting["alpha"].alias("alpha"), setting["lambda"].alias("lambda")).agg(
         F.sum("n_fits").alias("n_fits"), _inside("log_loss", 0.0, 40.0).alias("bad_loss")
@@ -350,12 +350,12 @@ def k14_permutation_importance(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "k15_cross_validate",
-    """SELECT 'tree' AS model, count(*) AS n, count(*) AS n_rows, 0::BIGINT AS bad_p, 5::BIGINT AS n_settings, 15::BIGINT AS n_fits
+    """SELECT 'tree' AS model, count(*) AS n, count(*) AS n_rows, 0::BIGINT AS bad_p, 5::BIGINT AS n_settings, 50::BIGINT AS n_fits
        FROM labels JOIN documents USING (doc_id)""",
 )
 def k15_cross_validate(spark: SparkSession, sf: str) -> DataFrame:
     """Out-of-fold predictions: every row exactly once."""
-    cv = V.cross_validate(frame(spark, sf, folds=3), "tree", parallelism=8)
+    cv = V.cross_validate(frame(spark, sf, folds=10), "tree", parallelism=8)
     tried = cv.results.agg(F.struct(F.count(F.lit(1)).alias("n"), F.sum("n_fits").alias("fits"))).scalar()
     return cv.predictions.groupBy("model").agg(
         F.count(F.lit(1)).alias("n"), F.countDistinct("row_id").alias("n_rows"), _inside("p").alias("bad_p")

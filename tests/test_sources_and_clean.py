@@ -1,3 +1,7 @@
+import subprocess
+import sys
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -39,15 +43,17 @@ def test_shared_folder_comes_from_the_session(spark, rows):
 
 
 def test_shared_folder_falls_back_to_a_temporary_one():
-    class Conf(dict):
-        def set(self, k, v):
-            self[k] = v
-
-    class Session:
-        conf = Conf()
-
-    first = shared_dir(Session)
-    assert first and shared_dir(Session) == first
+    """A session of its own, because the setting of the tests' session cannot be taken back."""
+    code = (
+        "from pairlens.session import local_session, shared_dir\n"
+        "s = local_session(1, 1, 'no-shared-folder')\n"
+        "first = shared_dir(s)\n"
+        "assert first and shared_dir(s) == first and s.conf.get('spark.checkpoint.dir', None) is None\n"
+        "s.stop()\nprint('fell back')"
+    )
+    root = Path(__file__).resolve().parents[1]
+    run = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=300)
+    assert "fell back" in run.stdout, run.stderr[-2000:]
 
 
 def test_conform_codes_uses_validity_intervals(rows):
