@@ -40,13 +40,11 @@ def directed_replicates(
     complete = materialize(em_impute(keyed, "row_id", period, unit, m=m_panel, name="imp_i", **panel_options), "panel-imputed")
     variables = materialize(pair_variables, "pair-variables")
     path = scratch_path(spark, "directed-replicates")
-    for i in range(1, m_panel + 1):
-        one = complete.where(F.col("imp_i") == i)
-        wide = attach_sides(make_pairs(one, unit, period), one, attrs, unit, period)
-        wide = wide.join(variables, [*PAIR, period]).withColumn("pair_id", F.concat_ws("_", *PAIR, period))
-        done = em_impute(materialize(wide, "pairs"), "pair_id", period, None, idvars=PAIR, m=m_pairs, name="imp_j", stored=True, **pair_options)
-        directed = mirror_pairs(done.drop("pair_id")).withColumn("imp_i", F.lit(i))
-        write_replicates(directed, path, ("imp_i", "imp_j"), mode="append")
+    # All copies of the panel go through one imputation, so 5 x 5 replicates take the scans of one.
+    wide = attach_sides(make_pairs(complete, unit, period), complete, attrs, unit, period, by=["imp_i"])
+    wide = wide.join(variables, [*PAIR, period]).withColumn("pair_id", F.concat_ws("_", *PAIR, period))
+    done = em_impute(materialize(wide, "pairs"), "pair_id", period, None, idvars=PAIR, m=m_pairs, name="imp_j", stored=True, by="imp_i", **pair_options)
+    write_replicates(mirror_pairs(done.drop("pair_id")), path, ("imp_i", "imp_j"))
     return path
 
 

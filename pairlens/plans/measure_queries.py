@@ -19,10 +19,10 @@ from .pair_queries import PAIR_FRAME_SQL, _PAIR_EVENTS, pair_frame
     "directed_replicates",
     f"""WITH {I.MARKETS_SQL} SELECT CAST(i AS INTEGER) AS imp_i, CAST(j AS INTEGER) AS imp_j, 2 * (SELECT count(*) FROM pairs) AS n,
                (SELECT count(*) FROM pairs) AS forward, 0::BIGINT AS nulls_left, 0::BIGINT AS unmatched
-        FROM (SELECT unnest([1, 2]) AS i), (SELECT unnest([1, 2]) AS j)""",
+        FROM (SELECT unnest([1, 2, 3, 4, 5]) AS i), (SELECT unnest([1, 2, 3, 4, 5]) AS j)""",
 )
 def directed_replicates_query(spark: SparkSession, sf: str) -> DataFrame:
-    """Two by two replicates of the directed pairs: complete, and each row has its mirror image."""
+    """Five by five replicates of the directed pairs: complete, and each row has its mirror image."""
     panel = I.stored_market_years(spark, sf)
     key = F.concat_ws("_", "unit", "year")
     masked = panel.select(
@@ -40,7 +40,7 @@ def directed_replicates_query(spark: SparkSession, sf: str) -> DataFrame:
         masked, "unit", "year", ["total", "quantity"], flags,
         {"bounds": {"total": (0, None), "quantity": (0, None)}},
         {"bounds": {"ud_quiet": (0, None)}, "noms": ["ud_ongoing", "ud_recent", "A_attacked", "B_attacked"]},
-        m_panel=2, m_pairs=2,
+        m_panel=5, m_pairs=5,
     )
     stored = spark.read.parquet(path)
     holes = sum((F.col(c).isNull().cast("int") for c in ("A_total", "B_total", "A_quantity", "B_quantity")), F.col("ud_quiet").isNull().cast("int"))

@@ -153,3 +153,30 @@ def i5_imputation_accuracy(spark: SparkSession, sf: str) -> DataFrame:
     return long.groupBy("name").agg(
         F.count(F.when(F.col("hidden"), 1)).alias("n_hidden"), (error < F.stddev_samp("known")).cast("int").alias("better_than_mean")
     )
+
+
+@query(
+    "i5_unit_trends",
+    f"""SELECT CAST(unnest(range(1, 6)) AS INTEGER) AS imp, count(*) AS n, count(DISTINCT suppkey) AS units, 0::BIGINT AS nulls_left, 0::BIGINT AS changed,
+               0::BIGINT AS out_of_bounds FROM ({I.SUPPLIER_YEARS_SQL})""",
+)
+def i5_unit_trends(spark: SparkSession, sf: str) -> DataFrame:
+    """Five imputations with a cubic trend of every supplier: complete, observed cells untouched, bounds kept."""
+    masked = masked_panel(spark, sf)
+    done = em_impute(
+        masked, "row_id", "year", "suppkey", noms=["kind"], ords=["lines"], bounds={"total": (0, None), "quantity": (0, None)},
+        polytime=3, intercs=True, m=5,
+    )
+    cols = ["total", "quantity", "lines", "kind"]
+    both = done.join(masked.select("row_id", *[F.col(c).alias(f"was_{c}") for c in cols]), "row_id")
+    holes, changed = F.lit(0), F.lit(0)
+    for c in cols:
+        holes = holes + F.col(c).isNull().cast("int")
+        changed = changed + F.coalesce((F.col(f"was_{c}") != F.col(c)).cast("int"), F.lit(0))
+    return both.groupBy("imp").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.countDistinct("suppkey").alias("units"),
+        F.sum(holes).alias("nulls_left"),
+        F.sum(changed).alias("changed"),
+        F.count(F.when((F.col("total") < 0) | (F.col("quantity") < 0), 1)).alias("out_of_bounds"),
+    )
