@@ -741,4 +741,9 @@ def em_impute(
         out.insert(0, name, rep + 1)
         return out
 
-    return data.mapInPandas(complete, schema)
+    # Rows without gaps are only repeated, which needs no Python.
+    gap = F.lit(False)
+    for c in [*numeric, *noms]:
+        gap = gap | F.col(f"`{c}`").isNull()
+    whole = df.where(~gap).select(F.explode(F.sequence(F.lit(1), F.lit(m))).alias(name), *[f"`{f.name}`" for f in fields])
+    return data.where(gap).mapInPandas(complete, schema).unionByName(whole)
