@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import bounded
+from ..functions import bounded, hash_rank, seeded_draw
 from ..session import materialize
 from .spells import expand_spells
 
@@ -331,3 +331,88 @@ def mirror_pairs(df: DataFrame, sides: Sequence[str] = ("A_", "B_")) -> DataFram
     kept = F.struct(*[F.col(c).alias(c) for c in df.columns])
     turned = F.struct(*[F.col(other(c)).alias(c) for c in df.columns])
     return df.select(F.inline(F.array(kept, turned)))
+
+
+# Periods whose pairs are numbered in one range, and parts that a list of draws is counted in.
+MAX_PERIODS, DRAW_PARTS = 1000, 4096
+
+
+def unranked_pair(rank: Column) -> tuple[Column, Column]:
+    """The pair ``(i, j)``, ``0 <= i < j``, with number ``rank`` when pairs are counted (0,1), (0,2), (1,2), (0,3), ...
+
+    ``j`` is the triangular root of the rank; the root of a long is one off at most, which is mended.
+    """
+    guess = F.floor((F.sqrt(rank.cast("double") * 8 + 1) + 1) / 2).cast("long")
+    below = lambda j: F.shiftright(j * (j - 1), 1)
+    j = F.when(below(guess) > rank, guess - 1).when(below(guess + 1) <= rank, guess + 1).otherwise(guess)
+    return rank - below(j), j
+
+
+def case_control_pairs(
+    panel: DataFrame, unit: str, period: str, cases: DataFrame, ratio: float = 100, seed: int | str = 90210
+) -> DataFrame:
+    """A down-sample of the pair universe that never builds the universe: ``a_unit, b_unit, period, label, n_draws``.
+
+    All unordered pairs of units of a period have numbers.  Numbers are drawn with replacement
+    and turned back into pairs; a draw that hits a case counts for nothing, and the first
+    ``ratio`` times as many draws as there are cases stay as controls (label 0).  Cases
+    (``a_unit, b_unit, period``; distinct, both units present) are drawn with replacement as
+    often as there are cases (label 1).  Work and shuffles grow with cases times ratio.
+
+    The draws are md5 draws, so partitions do not matter.  Every pair without a case has the same
+    chance in every draw, as in sampling from ``make_pairs``.
+    """
+    spark = panel.sparkSession
+    units = panel.select(F.col(unit).alias("unit"), F.col(period).alias("period")).where("unit IS NOT NULL AND period IS NOT NULL").distinct()
+    ranks = materialize(hash_rank(units, "unit", ["period"], seed, "rank").withColumn("rank", F.col("rank") - 1), "unit-ranks")
+    sizes = ranks.groupBy("period").count().limit(MAX_PERIODS + 1).collect()
+    if len(sizes) > MAX_PERIODS:
+        raise ValueError(f"more than {MAX_PERIODS} periods")
+    starts, total = [], 0
+    for p, n in sorted(tuple(r) for r in sizes):
+        starts.append((p, total))
+        total += n * (n - 1) // 2
+    side = lambda name: ranks.select(F.col("unit").alias(name), F.col("period").alias(period), F.col("rank").alias(f"__{name}"))
+    known = cases.select(F.least(*PAIR).alias("a_unit"), F.greatest(*PAIR).alias("b_unit"), period).where("a_unit < b_unit").distinct()
+    known = known.join(side("a_unit"), ["a_unit", period]).join(side("b_unit"), ["b_unit", period])
+    known = materialize(known.select(*PAIR, period), "cases")
+    n1 = known.count()
+    wanted = int(n1 * ratio)
+    if not n1 or total <= n1:
+        raise ValueError("no cases, or no pairs without one")
+
+    def draws(n: int) -> DataFrame:
+        number = seeded_draw(f"{seed}:pair", F.col("id")) % F.lit(total)
+        begin = F.array(*[F.lit(s).cast("long") for _, s in starts])
+        at = F.size(F.filter(begin, lambda s: s <= F.col("number")))
+        named = F.array(*[F.lit(p) for p, _ in starts])
+        drawn = spark.range(n).withColumn("number", number).withColumn("at", at)
+        # Periods of one unit have no pairs and share their start with the next; the last of them holds the pairs.
+        drawn = drawn.select("id", F.element_at(named, F.col("at")).alias(period), (F.col("number") - F.element_at(begin, F.col("at"))).alias("r"))
+        i, j = unranked_pair(F.col("r"))
+        drawn = drawn.select("id", period, i.alias("__a_unit"), j.alias("__b_unit"))
+        found = drawn.join(side("a_unit"), ["__a_unit", period]).join(side("b_unit"), ["__b_unit", period])
+        found = found.select("id", F.least(*PAIR).alias("a_unit"), F.greatest(*PAIR).alias("b_unit"), period)
+        return materialize(found.join(known, [*PAIR, period], "left_anti"), "controls")
+
+    tried = int(wanted * total / (total - n1) * 1.02 + 6 * wanted**0.5) + 100
+    while True:
+        hits = draws(tried)
+        width = tried // DRAW_PARTS + 1
+        left, last = wanted, None
+        for part, n in sorted(tuple(r) for r in hits.groupBy(F.floor(F.col("id") / width).alias("part")).count().collect()):
+            if n >= left:
+                last = part
+                break
+            left -= n
+        if last is not None or not wanted:
+            break
+        tried *= 2
+    part = F.floor(F.col("id") / width)
+    kept = hits.where(part < (last or 0)).unionByName(hits.where(part == (last or 0)).orderBy("id").limit(left))
+    controls = kept.groupBy(*PAIR, period).agg(F.count(F.lit(1)).alias("n_draws")).withColumn("label", F.lit(0))
+    numbered = hash_rank(known.withColumn("key", F.concat_ws(":", *PAIR, period)), "key", [], seed, "rank").drop("key")
+    drawn = spark.range(n1).select((seeded_draw(f"{seed}:case", F.col("id")) % F.lit(n1) + 1).alias("rank"))
+    drawn = drawn.groupBy("rank").agg(F.count(F.lit(1)).alias("n_draws"))
+    positives = numbered.join(drawn, "rank").select(*PAIR, period, "n_draws").withColumn("label", F.lit(1))
+    return positives.unionByName(controls).select(*PAIR, period, "label", "n_draws")

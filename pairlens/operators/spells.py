@@ -217,3 +217,61 @@ def lag_features(
     """Previous-row value of several columns per unit; all share one sort."""
     order = W.partitionBy(*_keys(unit)).orderBy(period)
     return df.withColumns({f"{c}{suffix}": F.lag(c).over(order) for c in cols})
+
+
+# --- spells as changes: nothing is expanded into periods ------------------------------------
+
+
+def _changes(spells: DataFrame, key: Sequence[str], start: str, end: str) -> DataFrame:
+    """``key, t, change``: +1 where a spell begins, -1 in the period after its end; spells that end before they start are dropped."""
+    s, e = F.col(start).cast("long"), F.col(end).cast("long")
+    both = F.array(F.struct(s.alias("t"), F.lit(1).alias("change")), F.struct((e + 1).alias("t"), F.lit(-1).alias("change")))
+    known = spells.where(s.isNotNull() & e.isNotNull() & (s <= e))
+    return known.select(*key, F.inline(both)).groupBy(*key, "t").agg(F.sum("change").alias("change"))
+
+
+def _running(changes: DataFrame, key: Sequence[str], span: int) -> DataFrame:
+    """Running sum ``n`` of the changes by key and time, and the time ``until`` the next one.
+
+    Time is cut into ranges of ``span`` periods.  Sums run inside a range; what ran before it is
+    carried over from one row per key and range, so a key with very many changes is spread.
+    """
+    ranged = changes.withColumn("__range", F.floor(F.col("t") / span))
+    inside = W.partitionBy(*key, "__range").orderBy("t")
+    over = W.partitionBy(*key).orderBy("__range")
+    totals = ranged.groupBy(*key, "__range").agg(F.sum("change").alias("__sum"), F.min("t").alias("__first"))
+    carried = totals.select(
+        *key, "__range",
+        F.coalesce(F.sum("__sum").over(over.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before"),
+        F.lead("__first").over(over).alias("__after"),
+    )
+    summed = ranged.withColumn("n", F.sum("change").over(inside.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    summed = summed.withColumn("until", F.lead("t").over(inside)).join(carried, [*key, "__range"])
+    return summed.select(*key, "t", (F.col("n") + F.col("__before")).alias("n"), F.coalesce("until", "__after").alias("until"))
+
+
+def running_spans(spells: DataFrame, key: Sequence[str] | str, start: str, end: str, span: int = 4096) -> DataFrame:
+    """``key, first, last, n``: stretches of periods in which the same number of spells runs, at least one.
+
+    The sum of all stretches equals the expanded spells; each spell adds two changes, however
+    long it is.  Neighbouring stretches of equal number are one.
+    """
+    keys = _keys(key)
+    changes = _changes(spells, keys, start, end).where("change <> 0")
+    return _running(changes, keys, span).where("n > 0").select(*keys, F.col("t").alias("first"), (F.col("until") - 1).alias("last"), "n")
+
+
+def count_at(
+    points: DataFrame, spells: DataFrame, key: Sequence[str] | str, period: str, start: str, end: str, name: str, span: int = 4096
+) -> DataFrame:
+    """``points`` with the number of spells that run in their period, first and last one included.
+
+    Points join the changes as changes of 0, so that one sweep serves both.  The same as
+    counting expanded spells; a null key or period runs no spell.
+    """
+    keys = _keys(key)
+    marks = points.select(*keys, F.col(period).cast("long").alias("t")).dropna().distinct().withColumn("change", F.lit(0).cast("long"))
+    changes = _changes(spells, keys, start, end).unionByName(marks).groupBy(*keys, "t").agg(F.sum("change").alias("change"))
+    counted = _running(changes, keys, span).select(*keys, F.col("t").alias("__t"), F.col("n").alias(name))
+    out = points.withColumn("__t", F.col(period).cast("long")).join(counted, [*keys, "__t"], "left")
+    return out.select(*points.columns, F.coalesce(name, F.lit(0)).alias(name))

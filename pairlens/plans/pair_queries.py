@@ -273,3 +273,36 @@ def pair_levels(spark: SparkSession, sf: str) -> DataFrame:
     years = expand_spells(spells, "start", "end", "year", clamp=I.YEARS)
     levels = spark.createDataFrame([(0, "none", 0), (1, "brief", 1), (2, "short", 2), (3, "long", 3)], "code int, label string, rank int")
     return ordered_max(years, ["a_unit", "b_unit", "year"], "level", levels, "closeness", I.market_pairs(spark, sf))
+
+
+def supplier_cases(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of suppliers that share an order with two large lines, by the year of the order."""
+    big = I.order_lines(spark, sf).where("l_quantity >= 49").select("l_orderkey", F.col("l_suppkey").alias("unit"), I.year_of("o_orderdate").alias("year"))
+    a, b = big.withColumnRenamed("unit", "a_unit"), big.withColumnRenamed("unit", "b_unit")
+    return a.join(b, ["l_orderkey", "year"]).where("a_unit < b_unit").select(*P.PAIR, "year").distinct()
+
+
+@query(
+    "y1_case_control_pairs",
+    f"""WITH u AS (SELECT suppkey AS unit, year FROM ({I.SUPPLIER_YEARS_SQL})),
+        r AS (SELECT *, row_number() OVER (PARTITION BY year ORDER BY md5('90210:' || unit), unit) - 1 AS k FROM u),
+        n AS (SELECT year, count(*) AS n FROM u GROUP BY 1),
+        off AS (SELECT year, n * (n - 1) // 2 AS pairs, coalesce(sum(n * (n - 1) // 2) OVER (ORDER BY year ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM n),
+        big AS (SELECT l_orderkey, l_suppkey AS unit, CAST(year(o_orderdate) AS INTEGER) AS year FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_quantity >= 49),
+        c AS (SELECT DISTINCT a.unit AS a_unit, b.unit AS b_unit, a.year AS year FROM big a JOIN big b ON a.l_orderkey = b.l_orderkey AND a.unit < b.unit),
+        n1 AS (SELECT count(*) AS n1 FROM c), tot AS (SELECT CAST(sum(pairs) AS BIGINT) AS total FROM off),
+        d AS (SELECT id, {I.draw_sql("90210:pair", "id")} % total AS g FROM (SELECT unnest(range(0, 60 * n1 + 1000)) AS id FROM n1), tot),
+        p AS (SELECT id, year, CAST(g - start AS BIGINT) AS x FROM d JOIN off ON g >= start AND g < start + pairs),
+        q AS (SELECT id, year, x, j - CASE WHEN j * (j - 1) // 2 > x THEN 1 ELSE 0 END AS j
+              FROM (SELECT *, CAST(floor((sqrt(8.0::DOUBLE * x + 1) + 1) / 2) AS BIGINT) AS j FROM p)),
+        h AS (SELECT id, q.year, least(s.unit, t.unit) AS a_unit, greatest(s.unit, t.unit) AS b_unit
+              FROM q JOIN r s ON s.year = q.year AND s.k = x - j * (j - 1) // 2 JOIN r t ON t.year = q.year AND t.k = j),
+        kept AS (SELECT *, row_number() OVER (ORDER BY id) AS nth FROM h WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.a_unit = h.a_unit AND c.b_unit = h.b_unit AND c.year = h.year)),
+        cr AS (SELECT *, row_number() OVER (ORDER BY md5('90210:' || a_unit || ':' || b_unit || ':' || year), a_unit || ':' || b_unit || ':' || year) AS k FROM c),
+        cd AS (SELECT {I.draw_sql("90210:case", "id")} % n1 + 1 AS k FROM (SELECT unnest(range(0, n1)) AS id, n1 FROM n1))
+        SELECT a_unit, b_unit, year, 0 AS label, count(*) AS n_draws FROM kept, n1 WHERE nth <= 20 * n1 GROUP BY ALL
+        UNION ALL SELECT a_unit, b_unit, year, 1, count(*) FROM cd JOIN cr USING (k) GROUP BY ALL""",
+)
+def y1_case_control_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Cases and twenty controls each, of all pairs of suppliers that sold in the same year."""
+    return P.case_control_pairs(I.supplier_years(spark, sf), "suppkey", "year", supplier_cases(spark, sf), ratio=20)

@@ -451,3 +451,62 @@ def e8_time_since(spark: SparkSession, sf: str) -> DataFrame:
 def e9_lag_features(spark: SparkSession, sf: str) -> DataFrame:
     lagged = spells.lag_features(I.user_days(spark, sf), "user_id", "day", ["n", "value", "kill"])
     return lagged.select("user_id", "day", "n_lag", "value_lag", "kill_lag")
+
+
+# --- forms for large inputs ---------------------------------------------------------------------
+
+
+@query(
+    "e4_running_days",
+    """WITH s AS (SELECT l_suppkey AS suppkey, date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS a,
+                         date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+            d AS (SELECT suppkey, a AS day, CASE WHEN a <= b THEN 1 ELSE 0 END AS change FROM s UNION ALL
+                  SELECT suppkey, b + 1, CASE WHEN a <= b THEN -1 ELSE 0 END FROM s UNION ALL SELECT suppkey, b, 0 FROM s),
+            r AS (SELECT suppkey, day, sum(sum(change)) OVER (PARTITION BY suppkey ORDER BY day) AS n FROM d GROUP BY 1, 2)
+       SELECT s.suppkey, CAST(day AS BIGINT) AS day, CAST(any_value(n) AS BIGINT) AS n_running FROM s JOIN r ON r.suppkey = s.suppkey AND r.day = s.b
+       GROUP BY 1, 2""",
+)
+def e4_running_days(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines that a supplier has open on each day that one of them arrives; no spell is expanded into days."""
+    day = lambda c: F.unix_date(F.col(c).cast("date")).cast("long")
+    lines = I.table(spark, sf, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("suppkey"), day("l_shipdate").alias("end"))
+    orders = I.table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), day("o_orderdate").alias("start"))
+    open_lines = lines.join(orders, "l_orderkey").select("suppkey", "start", "end")
+    points = open_lines.select("suppkey", F.col("end").alias("day")).distinct()
+    return spells.count_at(points, open_lines, "suppkey", "day", "start", "end", "n_running", span=365)
+
+
+@query(
+    "e2_running_spans",
+    """WITH s AS (SELECT l_suppkey AS suppkey, date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS a,
+                         date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+       SELECT suppkey, CAST(sum(b - a + 1) AS BIGINT) AS spell_days, CAST(min(a) AS BIGINT) AS first, CAST(max(b) AS BIGINT) AS last
+       FROM s WHERE a <= b GROUP BY 1""",
+)
+def e2_running_spans(spark: SparkSession, sf: str) -> DataFrame:
+    """Stretches of equal numbers of open lines add up to the days of all lines."""
+    day = lambda c: F.unix_date(F.col(c).cast("date")).cast("long")
+    lines = I.table(spark, sf, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("suppkey"), day("l_shipdate").alias("end"))
+    orders = I.table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), day("o_orderdate").alias("start"))
+    spans = spells.running_spans(lines.join(orders, "l_orderkey"), "suppkey", "start", "end", span=365)
+    days = (F.col("last") - F.col("first") + 1) * F.col("n")
+    return spans.groupBy("suppkey").agg(F.sum(days).alias("spell_days"), F.min("first").alias("first"), F.max("last").alias("last"))
+
+
+@query(
+    "c1_conform_by_intervals",
+    """SELECT o_orderkey, CAST(CASE WHEN day < 8400 + o_custkey * 37 % 2000 THEN o_custkey
+              WHEN day <= 8400 + o_custkey * 37 % 2000 + 300 THEN NULL ELSE 1000000 + c_nationkey END AS BIGINT) AS custkey
+       FROM (SELECT o_orderkey, o_custkey, date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS day FROM orders) LEFT JOIN customer ON c_custkey = o_custkey""",
+)
+def c1_conform_by_intervals(spark: SparkSession, sf: str) -> DataFrame:
+    """Two intervals of every customer, with a gap of 300 days between them, joined to all orders by day."""
+    c = I.table(spark, sf, "customer").select(F.col("c_custkey").cast("long").alias("raw_code"), "c_nationkey")
+    turn = (F.col("raw_code") * 37 % 2000 + 8400).cast("long")
+    one = F.struct(F.lit(0).cast("long").alias("valid_from"), (turn - 1).alias("valid_to"), F.col("raw_code").alias("canonical_code"))
+    two = F.struct((turn + 301).alias("valid_from"), F.lit(10**6).cast("long").alias("valid_to"), (F.lit(1000000) + F.col("c_nationkey")).cast("long").alias("canonical_code"))
+    mapping = c.select("raw_code", F.inline(F.array(one, two)))
+    orders = I.table(spark, sf, "orders").select(
+        "o_orderkey", F.col("o_custkey").cast("long").alias("custkey"), F.unix_date(F.col("o_orderdate").cast("date")).alias("day")
+    )
+    return codes.conform_by_intervals(orders, "custkey", "day", mapping, drop_invalid=False).select("o_orderkey", "custkey")
