@@ -28,6 +28,11 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import exact_quantiles
+from ..session import materialize
+from .adaboost import fit_stumps, stump_scorer
+from .batch_logit import fit_logits, linear_probability, prepared
+from .densities import fit_kernel_bayes
+from .splines import hinge_columns, search_splines
 
 Scorer = Callable[[DataFrame], DataFrame]
 
@@ -226,6 +231,28 @@ def _fit_networks(train: DataFrame, params: Mapping, seed: int, count: int) -> S
     return _on_transformed(rotate, score)
 
 
+# --- splines with chosen knots, discrete boosting ------------------------------------------
+
+
+def _fit_adaptive_splines(train: DataFrame, params: Mapping, seed: int) -> Scorer:
+    """A logit on the hinges that a search by least squares chose."""
+    found = search_splines(train, feature_knots(train, int(params.get("candidates", 15))), int(params.get("terms", 21)))
+    if not found.hinges:
+        return _fit_null(train, params, seed)
+    rows = prepared(hinge_columns(train, found.hinges), weight="weight" if "weight" in train.columns else None)
+    fits = fit_logits(materialize(rows, "hinges", rebalance=True), penalties=[(0.0, 1e-6)], max_scans=40)
+
+    def score(df: DataFrame) -> DataFrame:
+        wide = hinge_columns(df, found.hinges, "__hinges")
+        return wide.withColumn("p", linear_probability("__hinges", fits.coef[0], fits.intercept[0])).drop("__hinges")
+
+    return score
+
+
+def _fit_discrete_boosting(train: DataFrame, params: Mapping, seed: int) -> Scorer:
+    return stump_scorer(fit_stumps(train, feature_knots(train, int(params.get("candidates", 31))), int(params.get("rounds", 50))))
+
+
 # --- registry ----------------------------------------------------------------------------
 
 # The elastic-net grid (6 mixing values by 4 penalties).
@@ -271,6 +298,9 @@ AVERAGED_NETS = Family(
     "averaged_nets", lambda t, p, s: _fit_networks(t, p, s, p.get("nets", 3)), tuple({"hidden": h} for h in (1, 3, 5, 7, 9))
 )
 PERCEPTRON = Family("perceptron", lambda t, p, s: _fit_networks(t, p, s, 1), tuple({"hidden": h} for h in (1, 3, 5, 7, 9)))
+KERNEL_BAYES = Family("kernel_bayes", fit_kernel_bayes, tuple({"adjust": a} for a in (1.0, 2.0)))
+ADAPTIVE_SPLINES = Family("adaptive_splines", _fit_adaptive_splines, tuple({"terms": t} for t in (5, 11, 21)))
+DISCRETE_BOOSTING = Family("discrete_boosting", _fit_discrete_boosting, tuple({"rounds": r} for r in (10, 50)))
 
 FAMILIES: dict[str, Family] = {
     f.name: f
@@ -287,6 +317,9 @@ FAMILIES: dict[str, Family] = {
         RADIAL_SVM,
         AVERAGED_NETS,
         PERCEPTRON,
+        KERNEL_BAYES,
+        ADAPTIVE_SPLINES,
+        DISCRETE_BOOSTING,
     )
 }
 

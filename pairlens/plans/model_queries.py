@@ -16,11 +16,14 @@ from ..operators import features as X
 from ..operators import models as M
 from ..operators import sampling as G
 from ..operators import validation as V
+from ..operators.adaboost import fit_stumps, stump_scorer, training_bound
+from ..operators.densities import kernel_grids
 from ..operators.ensemble import ablate, ensemble_weights
 from ..operators.imputation import em_impute
 from ..operators.pairs import PAIR, mirror_pairs
 from ..operators.scoring import blend, score_models
 from ..operators.spells import lag_features
+from ..operators.splines import search_splines
 from ..session import materialize
 from . import inputs as I
 from .catalog import query
@@ -248,6 +251,69 @@ _register_fit("k9", "boosted_trees")
 _register_fit("k10", "radial_svm")
 _register_fit("k11", "averaged_nets")
 _register_fit("k12", "perceptron")
+_register_fit("k5", "kernel_bayes")
+_register_fit("k6", "adaptive_splines")
+_register_fit("k9", "discrete_boosting")
+
+
+@query(
+    "k5_kernel_densities",
+    """WITH d AS (SELECT toxic, ln(n_chars + 1) AS v FROM labels JOIN documents USING (doc_id)),
+       s AS (SELECT toxic, count(*)::DOUBLE AS n, stddev_samp(v) AS sd, quantile_cont(v, 0.75) - quantile_cont(v, 0.25) AS iqr, min(v) AS lo, max(v) AS hi FROM d GROUP BY 1),
+       h AS (SELECT *, 0.9::DOUBLE * least(sd, iqr / 1.34::DOUBLE) * n ** (-0.2::DOUBLE) AS w FROM s),
+       g AS (SELECT *, lo - 3 * w AS low, (hi + 3 * w - (lo - 3 * w)) / 63 AS step FROM h),
+       p AS (SELECT toxic, (v - low) / step AS pos, least(floor((v - low) / step), 62) AS k FROM d JOIN g USING (toxic)),
+       b AS (SELECT toxic, k, sum(c) AS c FROM (SELECT toxic, k, 1 - (pos - k) AS c FROM p UNION ALL SELECT toxic, k + 1, pos - k FROM p) GROUP BY 1, 2)
+       SELECT toxic, i::INTEGER AS i, round(any_value(low + step * i), 6) AS x,
+              round(sum(c * exp(-(((i - k) * step / w) ** 2) / 2)) / any_value(n * w) / sqrt(2 * pi()), 6) AS density
+       FROM g JOIN b USING (toxic), (SELECT unnest(range(0, 64)) AS i) GROUP BY toxic, i""",
+)
+def k5_kernel_densities(spark: SparkSession, sf: str) -> DataFrame:
+    """Densities of the length of documents, for both classes, on 64 points each."""
+    rows = I.labelled(spark, sf).select("toxic", F.ln(F.col("n_chars") + 1).alias("value"))
+    grids = kernel_grids(rows, ["toxic"], points=64)
+    out = grids.select("toxic", "low", "step", F.posexplode("density").alias("i", "d"))
+    return out.select("toxic", "i", F.round(F.col("low") + F.col("step") * F.col("i"), 6).alias("x"), F.round("d", 6).alias("density"))
+
+
+@query(
+    "k6_spline_search",
+    """WITH k AS (SELECT quantile_cont(o_totalprice, [1.0 / 16, 2.0 / 16, 3.0 / 16, 4.0 / 16, 5.0 / 16, 6.0 / 16, 7.0 / 16, 8.0 / 16, 9.0 / 16, 10.0 / 16, 11.0 / 16,
+              12.0 / 16, 13.0 / 16, 14.0 / 16, 15.0 / 16]) AS ks FROM orders),
+            y AS (SELECT greatest(o_totalprice - ks[11], 0) - 2 * greatest(ks[4] - o_totalprice, 0) AS y FROM orders, k)
+       SELECT 2::BIGINT AS n_hinges, round(max(ks[4]), 2) AS low_knot, round(max(ks[11]), 2) AS high_knot, 1 AS explained, round(sum((y - (SELECT avg(y) FROM y)) ** 2) / 1e12, 3) AS total
+       FROM y, k""",
+)
+def k6_spline_search(spark: SparkSession, sf: str) -> DataFrame:
+    """An outcome with two kinks in the price of orders: the search finds both, and only them."""
+    orders = I.table(spark, sf, "orders").select(F.col("o_totalprice").cast("double").alias("price"))
+    probs = {f"k{i}": i / 16 for i in range(1, 16)}
+    knots = list(exact_quantiles(orders, "price", probs).select(*probs).first())
+    kinked = F.greatest(F.col("price") - knots[10], F.lit(0.0)) - 2 * F.greatest(F.lit(knots[3]) - F.col("price"), F.lit(0.0))
+    rows = orders.select(F.array("price").alias("features"), kinked.alias("label"))
+    found = search_splines(rows, {0: knots})
+    mean = rows.agg(F.avg("label")).first()[0]
+    total = F.sum(F.pow(F.col("label") - F.lit(mean), 2))
+    chosen = sorted(h.knot for h in found.hinges)
+    return rows.agg(
+        F.lit(len(found.hinges)).cast("long").alias("n_hinges"), F.round(F.lit(chosen[0]), 2).alias("low_knot"), F.round(F.lit(chosen[-1]), 2).alias("high_knot"),
+        (F.lit(found.residual) < total * 1e-6).cast("int").alias("explained"), F.round(total / 1e12, 3).alias("total"),
+    )
+
+
+@query(
+    "k9_boosting_bound",
+    "SELECT 1 AS falls, 1 AS holds, count(*)::BIGINT AS n FROM labels JOIN documents USING (doc_id)",
+)
+def k9_boosting_bound(spark: SparkSession, sf: str) -> DataFrame:
+    """The bound on the training error falls with every round, and the error stays below it."""
+    rows = frame(spark, sf)
+    stumps = fit_stumps(rows, M.feature_knots(rows, 31), 25)
+    bound = training_bound(stumps)
+    called = stump_scorer(stumps)(rows)
+    wrong = F.avg(((F.col("p") >= 0.5).cast("int") != F.col("label").cast("int")).cast("double"))
+    falls = all(b < a for a, b in zip([1.0, *bound], bound))
+    return called.agg(F.lit(int(falls)).alias("falls"), (wrong <= bound[-1] + 1e-9).cast("int").alias("holds"), F.count(F.lit(1)).alias("n"))
 
 
 @query(
