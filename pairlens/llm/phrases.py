@@ -19,6 +19,8 @@ from .text import LOWER, MASK, chunks, words
 SHARD_WORDS, RANGE_BYTES, WAITING = 1_000_000, 16 << 20, 2_000_000
 # Parts that make up this share of all words are looked up without being moved: at most 1 / share of each length exist.
 HOT_SHARE = 1 / 2048
+# Parts in which the best phrases of a language are found before they meet.
+TOP_PARTS = 16
 # What ends a piece of text, and what separates its words.
 ENDS, GAPS = b".,;:!?\x0a\x0b\x0c\x0d", b"\x20\x09"
 
@@ -249,7 +251,8 @@ def count_phrases(docs: DataFrame, lang: str, text: str, longest: int, least: in
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(4, int(size // RANGE_BYTES).bit_length())
     shards = rows.mapInArrow(_shards(longest, bits), "range int, data binary")
-    dealt = shards.repartition(1 << bits, "range").sortWithinPartitions("range")
+    # A range is a partition of its own, so that none waits for another in one task.
+    dealt = shards.repartitionById(1 << bits, F.col("range")).sortWithinPartitions("range")
     return materialize(dealt.mapInArrow(_unite(longest, least), _schema(longest)), "phrase-counts"), bits
 
 
@@ -272,7 +275,7 @@ def phrases_with_parts(docs: DataFrame, lang: str, text: str, longest: int, leas
     tables, found = counted.where("kind = 'counts'"), counted.where("kind = 'phrase'")
     found = found.mapInArrow(_ask(steps[0], hot), schema)
     for step, after in zip(steps, [*steps[1:], None]):
-        dealt = tables.unionAll(found).repartition(1 << bits, "range").sortWithinPartitions("range", "kind")
+        dealt = tables.unionAll(found).repartitionById(1 << bits, F.col("range")).sortWithinPartitions("range", "kind")
         found = dealt.mapInArrow(_answer(step, after, hot), schema)
     return found, counted
 
@@ -326,8 +329,10 @@ def collocations(
     scored = _covered(found, longest, inside).withColumn("cut", _best_cut(longest))
     order = [F.col("cut.score").desc(), F.col("a").desc()]
     if top is not None:
-        # Ties stay until the words are known.
-        scored = scored.withColumn("place", F.rank().over(W.partitionBy("lang").orderBy(*order))).where(F.col("place") <= top)
+        # Ties stay until the words are known.  Parts of a language give up what cannot be in its list first.
+        scored = scored.withColumn("part", F.pmod(F.xxhash64(*ws), F.lit(TOP_PARTS)))
+        for keys in (["lang", "part"], ["lang"]):
+            scored = scored.withColumn("place", F.rank().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("place") <= top)
     known = counted.where("kind = 'word'")
     for d, w in enumerate(ws):
         named = known.select("lang", F.col("w0").alias(w), F.col("name").alias(f"text{d}"))
