@@ -10,16 +10,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..session import materialize
 from .boosting import sigmoid
 from .sums import BLOCKS, blocks, bounded_sample, task_number, total
-from .text import ALNUM, BLANK, LOWER, SAME, chunks, words
+from .text import ALNUM, SAME, chunks, words
 
 # Tokens are hashed into this many slots, each with a vector of DIM numbers.
 SLOTS, DIM, NONZERO = 1 << 14, 32, 2
-PLAIN = 8
-REPEATS = (1, 2, 3, 4)
-SEPARATOR = ~ALNUM[LOWER]
+# Tokens apart at which a text's vectors are compared with each other: one to four words, as separators stand between them.
+APART = (2, 4, 6, 8)
+WIDTH = 2 * DIM + len(APART)
+WORD = ALNUM.copy()
+WORD[0x41:0x5B] = True
 
 
 def index_vectors() -> tuple[np.ndarray, np.ndarray]:
@@ -28,34 +29,47 @@ def index_vectors() -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(0, DIM, (SLOTS, NONZERO)), rng.choice(np.array([-1.0, 1.0]), (SLOTS, NONZERO))
 
 
-def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Slots of all tokens in text order, their texts' first tokens, and the plain counts of each text.
+def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Slots of all tokens in text order, and their texts' first tokens.
 
-    Tokens are the words (case folded) and what separates them (punctuation with its blanks), so
-    both wording and typography leave traces.
+    Tokens are the words as they are written and what separates them (punctuation with its
+    blanks), so wording, capitals and typography all have vectors.
     """
-    w, s = words(column, ALNUM, LOWER), words(column, SEPARATOR, SAME)
+    w, s = words(column, WORD, SAME), words(column, ~WORD, SAME)
     start = np.concatenate((w.start, s.start))
     order = np.argsort(start, kind="stable")
     slot = (np.concatenate((w.hash, s.hash ^ np.uint64(0x5E9A)))[order] & np.uint64(SLOTS - 1)).astype(np.int64)
-    return slot, w.first + s.first, plain_counts(w)
-
-
-def plain_counts(w) -> np.ndarray:
-    """Per text: length, word length, share of capitals, marks and digits, and words repeated a few words on."""
-    per = lambda flag: np.add.reduceat(np.append(flag, 0), np.minimum(w.offsets[:-1], len(flag))) * (np.diff(w.offsets) > 0)
-    data, n = w.data, np.diff(w.first)
-    bytes_ = np.maximum(np.diff(w.offsets), 1)
-    capital = per(((data >= 0x41) & (data <= 0x5A)).astype(np.int64)) / bytes_
-    blank = per((~BLANK[data]).astype(np.int64)) / bytes_
-    mark = per((SEPARATOR[data] & BLANK[data]).astype(np.int64)) / bytes_
-    repeats = []
-    for gap in REPEATS:
-        same = w.hash[gap:] == w.hash[:-gap]
-        running = np.zeros(len(w.hash) + 1, dtype=np.int64)
-        running[gap + 1 :] = np.cumsum(same)
-        repeats.append((running[w.first[1:]] - running[np.minimum(w.first[:-1] + gap, w.first[1:])]) / np.maximum(n, 1))
-    return np.stack([np.log1p(n), capital, blank, mark, *repeats], axis=1)
+    return slot, w.first + s.first
+
+
+def pooled(slot: np.ndarray, first: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """Per text: mean and deviation of its tokens' vectors, and how alike vectors ``APART`` tokens from each other are (mean cosine).
+
+    A text without tokens, or too short for a distance, has zeros.
+    """
+    n = np.diff(first)
+    doc = np.repeat(np.arange(len(n)), n)
+    out = np.zeros((len(n), WIDTH))
+    full = np.flatnonzero(n)
+    unit = (vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+    # A few texts at a time, so that their vectors stay in the cache.
+    for at in range(0, len(full), 256):
+        mine = full[at : at + 256]
+        low, high = int(first[mine[0]]), int(first[mine[-1] + 1])
+        here = vectors[slot[low:high]]
+        begin = first[mine] - low
+        out[mine, :DIM] = np.add.reduceat(here, begin, axis=0, dtype=np.float64)
+        out[mine, DIM : 2 * DIM] = np.add.reduceat(here * here, begin, axis=0, dtype=np.float64)
+        near = unit[slot[low:high]]
+        for j, gap in enumerate(APART):
+            if high - low > gap:
+                alike = np.einsum("ij,ij->i", near[:-gap], near[gap:]) * (doc[low : high - gap] == doc[low + gap : high])
+                out[mine, 2 * DIM + j] = np.add.reduceat(np.append(alike, np.zeros(gap)), begin)
+    size = np.maximum(n, 1)[:, None]
+    out[:, : 2 * DIM] /= size
+    out[:, DIM : 2 * DIM] = np.sqrt(np.maximum(out[:, DIM : 2 * DIM] - out[:, :DIM] ** 2, 0.0))
+    out[:, 2 * DIM :] /= np.maximum(size - np.array(APART), 1)
+    return out
 
 
 def _contexts(text: str):
@@ -66,7 +80,7 @@ def _contexts(text: str):
         sums = np.zeros(SLOTS * DIM)
         for batch in batches:
             for part in chunks(batch, text):
-                slot, first, _ = tokens(part.column(text))
+                slot, first = tokens(part.column(text))
                 doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
                 for gap in (1, 2):
                     near = doc[gap:] == doc[:-gap]
@@ -91,19 +105,9 @@ def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
 
 def _pool(shared, text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vectors = shared.value
         for batch in batches:
             for part in chunks(batch, text):
-                slot, first, plain = tokens(part.column(text))
-                n = np.diff(first)
-                pooled = np.zeros((len(n), DIM))
-                full = np.flatnonzero(n)
-                for at in range(0, len(full), 256):
-                    mine = full[at : at + 256]
-                    low = first[mine[0]]
-                    pooled[mine] = np.add.reduceat(vectors[slot[low : first[mine[-1] + 1]]], first[mine] - low, axis=0)
-                pooled /= np.maximum(n, 1)[:, None]
-                x = np.concatenate((pooled, plain), axis=1).astype(np.float32)
+                x = pooled(*tokens(part.column(text)), shared.value).astype(np.float32)
                 keep = [c for c in part.schema.names if c != text]
                 feats = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), feats], names=[*keep, "x"])
@@ -112,7 +116,7 @@ def _pool(shared, text: str):
 
 
 def pooled_features(docs: DataFrame, keep: Sequence[str], shared, text: str = "text") -> DataFrame:
-    """``keep`` columns with ``x``: the mean of the broadcast word vectors over every text, and its plain counts."""
+    """``keep`` columns with ``x``: what ``pooled`` makes of the broadcast word vectors, over every whole text."""
     rows = docs.select(*keep, F.col(text).alias("_text"))
     schema = T.StructType([*rows.schema.fields[:-1], T.StructField("x", T.ArrayType(T.FloatType()))])
     return rows.mapInArrow(_pool(shared, "_text"), schema)
@@ -136,9 +140,9 @@ class Network:
 
 
 def fit_network(x: np.ndarray, y: np.ndarray, hidden: int = 32, epochs: int = 60, batch: int = 256, rate: float = 3e-3, decay: float = 1e-4) -> Network:
-    """Adam on four fifths of the rows; the last fifth sets the temperature by log-loss."""
+    """Adam on four fifths of the rows; the last fifth sets the temperature by log-loss, whatever their number."""
     if len(y) == 0:
-        n = DIM + PLAIN
+        n = WIDTH
         return Network(np.zeros(n), np.ones(n), [np.zeros((n, hidden)), np.zeros(hidden), np.zeros(hidden), np.array(0.0)])
     rng = np.random.default_rng(5)
     held = np.arange(len(y)) % 5 == 4
@@ -165,10 +169,11 @@ def fit_network(x: np.ndarray, y: np.ndarray, hidden: int = 32, epochs: int = 60
                 first[i] = 0.9 * first[i] + 0.1 * g
                 second[i] = 0.999 * second[i] + 0.001 * g * g
                 net.weights[i] = net.weights[i] - rate * (first[i] / (1 - 0.9**step)) / (np.sqrt(second[i] / (1 - 0.999**step)) + 1e-8)
-    if held.sum() >= 50 and len(set(y[held].tolist())) == 2:
+    if held.any():
         logits = net.logits(x[held])
         grid = np.exp(np.linspace(np.log(0.25), np.log(8), 61))
-        loss = [np.mean(np.logaddexp(0, -(2 * y[held] - 1) * logits / t)) for t in grid]
+        # One row's worth of belief in a temperature of 1, so that few rows do not set an extreme one.
+        loss = [np.sum(np.logaddexp(0, -(2 * y[held] - 1) * logits / t)) + np.log(t) ** 2 / 2 for t in grid]
         net.temperature = float(grid[int(np.argmin(loss))])
     return net
 
@@ -178,14 +183,19 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
-def fit_quality(features: DataFrame, labels: DataFrame, doc_id: str = "doc_id", label: str = "quality", sample: int = 20_000) -> Network:
-    """Fit on about ``sample`` labelled rows at most, outside the held-out third, chosen by a hash of their id."""
-    known = labels.select(F.col(doc_id).alias("id"), F.col(label).alias("y")).where("id IS NOT NULL AND y IS NOT NULL")
+def fit_quality(docs: DataFrame, labels: DataFrame, shared, doc_id: str = "doc_id", text: str = "text", label: str = "quality", sample: int = 20_000) -> Network:
+    """Fit on about ``sample`` labelled rows at most, outside the held-out third, chosen by a hash of their id.
+
+    The labels are sampled first and their ids broadcast, so only the texts of the sample are pooled.
+    """
+    known = labels.select(F.col(doc_id).alias("id"), F.col(label).cast("double").alias("y")).where("id IS NOT NULL AND y IS NOT NULL")
     known = known.where(~held_out(F.col("id")))
-    rows = features.select(F.col(doc_id).alias("id"), "x").join(known, "id")
-    rows = sorted(bounded_sample(rows, sample, "id"), key=lambda r: (crc32(str(r["id"]).encode()), r["id"], r["y"]))
-    x = np.array([r["x"] for r in rows], dtype=np.float64).reshape(len(rows), DIM + PLAIN)
-    return fit_network(x, np.array([float(r["y"]) for r in rows]))
+    chosen = docs.sparkSession.createDataFrame(bounded_sample(known, sample, "id"), known.schema)
+    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("_text")).join(F.broadcast(chosen), "id")
+    found = pooled_features(rows, ["id", "y"], shared, "_text").collect()
+    rows = sorted(found, key=lambda r: (crc32(str(r["id"]).encode()), r["id"], r["y"], tuple(r["x"])))
+    x = np.array([r["x"] for r in rows], dtype=np.float64).reshape(len(rows), WIDTH)
+    return fit_network(x, np.array([r["y"] for r in rows]))
 
 
 def _score(net: Network):
@@ -201,27 +211,31 @@ def _score(net: Network):
 def score_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int = 20_000) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for every document.
 
-    Word vectors and pooled features come from all whole texts; only the network is fitted on a
+    Word vectors come from all whole texts, and so does what a text is scored by; only the network is fitted on a
     bounded sample of labelled rows.  The text is the only input of a score.  A null or empty text
     is scored by its zero vector.  Rows that repeat an id are each scored; ids labelled more than
     once count once per label; labels of unknown documents and null labels are ignored.  Without any
     labels every score is 0.5.
     """
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(word_vectors(docs))
-    features = materialize(pooled_features(docs, ["doc_id"], shared), "quality-features")
-    net = fit_quality(features, labels.withColumnRenamed(doc_id, "doc_id"), sample=sample)
-    schema = T.StructType([features.schema.fields[0], T.StructField("score", T.DoubleType())])
-    scored = features.mapInArrow(_score(net), schema)
+    scored = scored_rows(docs, labels.withColumnRenamed(doc_id, "doc_id"), ["doc_id"], sample)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, columns: Sequence[str], threshold: float = 0.5) -> DataFrame:
-    """The given columns of the documents whose score reaches ``threshold``; no row is moved to be scored."""
+def scored_rows(docs: DataFrame, labels: DataFrame, columns: Sequence[str], sample: int = 20_000) -> DataFrame:
+    """The given columns of every document with its ``score``; texts are pooled and scored where they stand."""
     shared = docs.sparkSession.sparkContext.broadcast(word_vectors(docs))
-    net = fit_quality(materialize(pooled_features(docs, ["doc_id"], shared), "quality-features"), labels)
+    net = fit_quality(docs, labels, shared, sample=sample)
     rows = docs.select(*columns, F.col("text").alias("_text"))
     schema = T.StructType([*rows.schema.fields[:-1], T.StructField("score", T.DoubleType())])
     pool, score = _pool(shared, "_text"), _score(net)
     # Both steps in one worker.
-    return rows.mapInArrow(lambda batches: score(pool(batches)), schema).where(F.col("score") >= threshold).drop("score")
+    return rows.mapInArrow(lambda batches: score(pool(batches)), schema)
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, columns: Sequence[str], threshold: float = 0.5) -> DataFrame:
+    """The given columns of the documents whose score reaches ``threshold``; no row is moved to be scored.
+
+    Nulls, empty texts, repeated rows and empty tables as in ``score_quality``.  ``columns`` must not hold ``score``.
+    """
+    return scored_rows(docs, labels, columns).where(F.col("score") >= threshold).drop("score")

@@ -1,9 +1,12 @@
 import random
+import re
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from pairlens.llm import quality as Q
 from pairlens.llm.quality import fit_network, keep_good, score_quality
 from pairlens.llm.queries import QUERIES
 
@@ -23,7 +26,48 @@ def test_held_out_documents_are_told_apart(spark):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in got)
     held = [(labels[r["doc_id"]], r["score"]) for r in got if r["held_out"] and r["doc_id"] in labels]
     y, s = np.array(held).T
-    assert auc(y, s) > 0.95
+    # The score has no inputs but the pooled vectors.
+    assert auc(y, s) > 0.98
+
+
+def test_vectors_pooling_and_score_against_brute_force(spark):
+    """Contexts, pooling and the forward pass token by token."""
+    pick = random.Random(4)
+    texts = [" ".join(pick.choice(["One", "two", "three!!", "x", "y;", "é"]) for _ in range(pick.randint(0, 14))) for _ in range(40)] + [None, "!!", "solo"]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    cut = lambda t: re.findall(r"[0-9A-Za-z\x80-\U0010ffff]+|[^0-9A-Za-z\x80-\U0010ffff]+", t or "")
+    slots = {}
+    for t in texts:
+        if t:
+            slots.update(zip(cut(t), Q.tokens(pa.array([t]))[0].tolist()))
+    assert len(slots) == len(set(slots.values()))  # these few words do not collide
+    place, sign = Q.index_vectors()
+    index = lambda s: np.bincount(place[s], sign[s], Q.DIM)
+    sums = {s: np.zeros(Q.DIM) for s in slots.values()}
+    for t in texts:
+        ids = [slots[x] for x in cut(t)]
+        for i, s in enumerate(ids):
+            for j in range(max(0, i - 2), min(len(ids), i + 3)):
+                if j != i:
+                    sums[s] += index(ids[j])
+    want = {s: v / max(np.linalg.norm(v), 1e-9) + index(s) / np.sqrt(Q.NONZERO) for s, v in sums.items()}
+    vectors = Q.word_vectors(frame)
+    assert all(np.allclose(vectors[s], v, atol=1e-5) for s, v in want.items())
+
+    net = Q.fit_network(np.random.default_rng(1).normal(size=(300, Q.WIDTH)), (np.arange(300) % 3 == 0).astype(float))
+    shared = spark.sparkContext.broadcast(vectors)
+    got = {r["doc_id"]: r["x"] for r in Q.pooled_features(frame, ["doc_id"], shared).collect()}
+    for i, t in enumerate(texts):
+        v = np.array([want[slots[x]] for x in cut(t)]).reshape(-1, Q.DIM)
+        x = np.zeros(Q.WIDTH)
+        if len(v):
+            x[: Q.DIM], x[Q.DIM : 2 * Q.DIM] = v.mean(axis=0), v.std(axis=0)
+            u = v / np.linalg.norm(v, axis=1, keepdims=True)
+            x[2 * Q.DIM :] = [np.mean([u[k] @ u[k + g] for k in range(len(u) - g)]) if len(u) > g else 0.0 for g in Q.APART]
+        assert np.allclose(got[i], x, atol=1e-4)
+        a, b, c, d = net.weights
+        logit = sum(np.tanh(sum((x[k] - net.mean[k]) / net.scale[k] * a[k, h] for k in range(Q.WIDTH)) + b[h]) * c[h] for h in range(len(b))) + d
+        assert net.probability(x[None])[0] == pytest.approx(1 / (1 + np.exp(-logit / net.temperature)), abs=1e-6)
 
 
 def test_odd_rows_and_labels(spark, odd, odd_rows, none):
