@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pickle
+import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -9,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from ..session import materialize
 from .text import ALNUM, LOWER, Words, chunks, words
 
 # Words of the items that one automaton holds; more items make more automata, run one after the other.
@@ -185,7 +188,7 @@ def _scan(shared, text: str):
     """Add the hits of one automaton to the rows' ``hits``, ``found`` and ``longest``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton: Automaton = shared.value
+        automaton: Automaton = pickle.loads(zlib.decompress(shared.value))
         for batch in batches:
             for part in chunks(batch, text):
                 w = words(part.column(text), ALNUM, LOWER)
@@ -207,19 +210,30 @@ def _scan(shared, text: str):
     return run
 
 
-def item_shards(items: DataFrame, item_id: str, text: str, shard_words: int) -> list[list[tuple[int | None, list[bytes]]]]:
-    """The items' words, dealt into shards of about ``shard_words`` words.
+def automata(items: DataFrame, item_id: str, text: str, window: int, shard_words: int) -> DataFrame:
+    """``shard, data``: the items dealt into shards of about ``shard_words`` words, each built into an automaton by a task of its own.
 
-    Each shard is collected by itself, so what the driver holds at once is bounded.
+    Ids keep their type if they are whole numbers, other ones become texts.
     """
     folded = F.translate(F.col(text), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    rows = items.select(F.col(item_id).cast("long").alias("item"), F.regexp_extract_all(folded, F.lit(WORD), 0).alias("w"))
+    rows = items.select(F.col(item_id).cast(item_type(items, item_id)).alias("item"), F.regexp_extract_all(folded, F.lit(WORD), 0).alias("w"))
     rows = rows.where(F.size("w") > 0)
     total = rows.agg(F.sum(F.size("w"))).first()[0] or 0
     shards = max(1, -(-total // shard_words))
-    for i in range(shards):
-        mine = rows.where(F.pmod(F.xxhash64("item", "w"), F.lit(shards)) == i).collect()
-        yield [(r["item"], [w.encode() for w in r["w"]]) for r in mine]
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("item", "w"), F.lit(shards)).cast("int"))
+
+    def build(key: tuple[pa.Scalar], table: pa.Table) -> pa.Table:
+        held = [(i, [w.encode() for w in ws]) for i, ws in zip(table.column("item").to_pylist(), table.column("w").to_pylist())]
+        # In one order whatever way the rows came.
+        held.sort(key=lambda x: (x[0] is None, x[0] if x[0] is not None else 0, x[1]))
+        data = zlib.compress(pickle.dumps(Automaton(held, window)), 1)
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "data": pa.array([data], pa.binary())})
+
+    return dealt.groupBy("shard").applyInArrow(build, "shard int, data binary")
+
+
+def item_type(items: DataFrame, item_id: str) -> str:
+    return "long" if items.schema[item_id].dataType.typeName() in ("byte", "short", "integer", "long") else "string"
 
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -245,23 +259,33 @@ def find_contamination(
     ``hits`` are the merged word ranges that lie in an occurrence of an item's window, ``found``
     the ids of these items, ``longest`` the longest match in words.  Texts stream through the
     automaton; a vectorised look at word pairs skips what no item holds.  The items are
-    dealt into automata of bounded size, each broadcast and run in turn over all documents, so no
-    item and no document is left out and nothing is shuffled.
+    dealt into automata of bounded size, which tasks build and store; each is broadcast and run in
+    turn over all documents, so no item and no document is left out, no document is shuffled and
+    a task holds one automaton.  A very long text is one piece of work for a task.
 
     Words are runs of ASCII letters (A-Z folded), digits and non-ASCII characters.  Null or empty
     texts have no words and no hits; items without words match nothing; an item with a null id
-    counts as a hit but is not listed.  Repeated items count once, repeated documents are each
+    counts as a hit but is not listed; other than whole-number ids are listed as texts.  An empty
+    table of documents gives an empty one, an empty table of items no hits.  Repeated items count once, repeated documents are each
     reported.  No other column is read.
     """
     context = docs.sparkSession.sparkContext
+    kind = item_type(items, item_id)
     out = docs.select(
         *keep, F.col(text).alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast(SPANS).alias("hits"),
-        F.array().cast("array<long>").alias("found"), F.lit(0).alias("longest"),
+        F.array().cast(f"array<{kind}>").alias("found"), F.lit(0).alias("longest"),
     )
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in out.schema.fields])
-    for shard in item_shards(items, item_id, item_text, shard_words):
-        shared = context.broadcast(Automaton(shard, window))
-        out = out.mapInArrow(_scan(shared, "text"), schema)
+    built = materialize(automata(items, item_id, item_text, window, shard_words), "automata")
+    numbers = sorted(r["shard"] for r in built.select("shard").collect())
+    # Without items there is an automaton all the same, which counts the words.
+    for i, shard in enumerate(numbers or [None]):
+        # One automaton, of bounded size, passes through the driver at a time, as the bytes that a task made.
+        data = built.where(F.col("shard") == shard).first()["data"] if numbers else zlib.compress(pickle.dumps(Automaton([], window)))
+        if i:
+            # What the shards before found is written, so that a task never holds two automata.
+            out = materialize(out, "hits")
+        out = out.mapInArrow(_scan(context.broadcast(data), "text"), schema)
     return out
 
 
@@ -291,8 +315,12 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, limits: L
 
     A hit span longer than ``limits.longest`` words is cut, whole short items among them; a document whose hit words are more
     than ``limits.coverage`` of its words is left out.  Documents without hits are unchanged.
-    ``columns`` must not hold ``n_words``, ``hits``, ``found`` or ``longest``.
+    Null and empty texts stay as they are.  ``columns`` that are named ``n_words``, ``hits``, ``found``
+    or ``longest`` are refused, as the search uses these names.
     """
+    taken = {"n_words", "hits", "found", "longest"} & set(columns)
+    if taken:
+        raise ValueError(f"columns {sorted(taken)} have names that the search uses")
     found = find_contamination(docs, items, [c for c in columns if c != "text"], window)
     share = F.aggregate("hits", F.lit(0).cast("long"), lambda n, s: n + (s["end"] - s["start"])) / F.greatest("n_words", F.lit(1))
     found = found.where(share <= limits.coverage).drop("n_words", "found", "longest")

@@ -1,9 +1,13 @@
+import pickle
 import random
 import re
+import zlib
 
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings, strategies as st
 
+from pairlens.llm import decontam
 from pairlens.llm.decontam import Automaton, Limits, decontaminate, find_contamination, union
 from pairlens.llm.text import ALNUM, LOWER, words
 
@@ -105,3 +109,31 @@ def test_a_whole_short_item_is_cut_from_a_long_document(spark):
     items = spark.createDataFrame([(1, short), (2, "yes"), (3, "of whom")], "item_id long, text string")
     got = {r["doc_id"]: r["text"] for r in decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()}
     assert got == {1: "filler text " * 40 + "? " + "more words " * 40, 2: rows[1][1], 3: rows[2][1]}
+
+
+def test_fifty_shards_equal_one_and_ids_may_be_texts(spark):
+    pick = random.Random(11)
+    items = [(f"item{i:03d}", " ".join(f"w{pick.randrange(400)}" for _ in range(pick.choice([3, 12, 30])))) for i in range(60)]
+    docs = [(i, " ".join([f"v{pick.randrange(90)}" for _ in range(20)] + items[i][1].split() + [f"v{pick.randrange(90)}" for _ in range(5)])) for i in range(0, 60, 4)]
+    frame, table = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string")
+    size = sum(len(t.split()) for _, t in items)
+    want = [tuple(r) for r in find_contamination(frame, table, shard_words=size).orderBy("doc_id").collect()]
+    assert [r[4] for r in want] == [[items[i][0]] for i, _ in docs]
+    assert decontam.automata(table, "item_id", "text", 10, size // 8).count() >= 7
+    assert [tuple(r) for r in find_contamination(frame, table, shard_words=size // 8).orderBy("doc_id").collect()] == want
+
+
+def test_many_shards_hold_one_automaton_each(spark):
+    items = spark.createDataFrame([(i, f"a{i} b{i} c{i} d{i}") for i in range(200)], "item_id int, text string")
+    built = decontam.automata(items, "item_id", "text", 10, 16).collect()
+    sizes = [len(pickle.loads(zlib.decompress(r["data"])).vocabulary) for r in built]
+    assert len(built) >= 40 and sum(sizes) == 800 and max(sizes) <= 60
+
+
+def test_names_that_the_search_uses_are_refused(spark):
+    frame = spark.createDataFrame([(1, "x", 2)], "doc_id int, text string, hits int")
+    with pytest.raises(ValueError, match="hits"):
+        decontam.decontaminate(frame, spark.createDataFrame([], "item_id int, text string"), columns=["doc_id", "text", "hits"])
+    # Without items nothing is found, and words are counted.
+    got = find_contamination(frame.drop("hits"), spark.createDataFrame([], "item_id int, text string")).first()
+    assert (got["n_words"], got["hits"], got["found"]) == (1, [], [])
