@@ -19,6 +19,10 @@ FAN = 16
 TILES = "dim int, rows int, ids binary, values binary"
 
 
+#: Bytes of vectors that one task meets the queries with.
+SLOT_BYTES = 64 << 20
+
+
 def _tiler(size: int, scale: float):
     """Pack rows into tiles of at most ``size`` vectors of one dimension, each sorted by id."""
 
@@ -152,8 +156,11 @@ def top_k(
     asked = rows.where("asks").groupBy("id").agg(F.min("vector").alias("vector"))
     queries = materialize(asked.mapInArrow(_tiler(QUERY_ROWS, scale), TILES), "query-tiles")
 
-    # As many slots of shards as the cluster runs tasks a few times over: a query tile is sent once to each.
-    slots = max(1, min(shards.count(), 4 * vectors.sparkSession.sparkContext.defaultParallelism))
+    # As many slots of shards as the cluster runs tasks a few times over, and more where one would hold too
+    # many bytes for a task: a query tile is sent once to each.
+    tiles, size = shards.agg(F.count(F.lit(1)), F.sum(F.octet_length("values"))).first()
+    slots = max(4 * vectors.sparkSession.sparkContext.defaultParallelism, -(-(size or 0) // SLOT_BYTES))
+    slots = max(1, min(tiles, slots))
     placed = shards.withColumn("slot", F.pmod(F.xxhash64("ids"), F.lit(slots)))
     sent = queries.select(
         F.col("dim"), F.col("ids").alias("q_ids"), F.col("values").alias("q_values"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long"))).alias("slot")
