@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import materialize
+from .skew import join_counted
 from .text import BLANK, GRAM, GRAM_2, SAME, Words, chunks, inverse, mix, powers, run_hashes, words
 
 # Four rounds make symbols of about 3 words that are decided by about 22, well within a window of 50.
@@ -236,15 +237,17 @@ def repeated_passages(docs: DataFrame, length: int = 50) -> tuple[DataFrame, Dat
 
     named = rows.select(tkey, "text").mapInArrow(_anchor_rows(length), "anchor long, tkey long")
     named = materialize(named, "anchors")
-    shared = named.groupBy("anchor").agg(F.min("tkey").alias("a"), F.max("tkey").alias("b")).where("a <> b").select("anchor")
-    lists = named.join(shared, "anchor").groupBy("tkey").agg(F.collect_set("anchor").alias("shared"))
+    shared = named.groupBy("anchor").agg(F.min("tkey").alias("a"), F.max("tkey").alias("b"), F.count(F.lit(1)).alias("n"))
+    shared = materialize(shared.where("a <> b").select("anchor", "n"), "shared-anchors")
+    lists = join_counted(named, shared, ["anchor"]).groupBy("tkey").agg(F.collect_set("anchor").alias("shared"))
     wanted = materialize(firsts.withColumn("tkey", tkey).join(lists, "tkey").select("key", "first_id", "shared"), "wanted")
 
     body = rows.join(wanted, (rows["key"] == wanted["key"]) & (rows["doc_id"] == wanted["first_id"]))
     body = materialize(body.select(rows["key"], "first_id", "text", "shared"), "bodies")
     found = materialize(body.select("first_id", "text", "shared").mapInArrow(_window_rows(length), "h1 long, h2 int, doc_id long"), "windows")
-    start = found.groupBy("h1", "h2").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("h1", "h2", "a")
-    later = found.join(start, ["h1", "h2"]).where("doc_id > a").groupBy(F.col("doc_id").alias("first_id")).agg(F.collect_set("h1").alias("repeats"))
+    start = found.groupBy("h1", "h2").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count(F.lit(1)).alias("n"))
+    start = materialize(start.where("a < b").select("h1", "h2", "a", "n"), "first-windows")
+    later = join_counted(found, start, ["h1", "h2"]).where("doc_id > a").groupBy(F.col("doc_id").alias("first_id")).agg(F.collect_set("h1").alias("repeats"))
     return firsts, body.select("key", "first_id", "text").join(later, "first_id")
 
 

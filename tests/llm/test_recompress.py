@@ -3,8 +3,10 @@ import random
 import numpy as np
 import pyarrow as pa
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from pairlens.llm.recompress import anchors, dedup_substrings, parse, windows
+from pairlens.llm.skew import join_counted
 from pairlens.llm.text import BLANK, SAME, words
 
 
@@ -88,3 +90,10 @@ def test_odd_rows(spark, odd, odd_rows, none):
     got = sorted((str(r["doc_id"]), r["n_words"], r["n_removed"], r["kept"]) for r in dedup_substrings(odd).collect())
     assert got == brute([(r[0], r[1]) for r in odd_rows], 50)
     assert dedup_substrings(none).count() == 0
+
+
+def test_a_hot_key_joins_where_its_rows_are(spark):
+    rows = spark.range(9000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"), F.col("id").alias("v"))
+    keyed = rows.groupBy("k").count().withColumnRenamed("count", "n").where("k % 2 = 0").withColumn("w", F.col("k") * 2)
+    got = sorted(tuple(r) for r in join_counted(rows, keyed, ["k"]).select("k", "v", "w").collect())
+    assert got == sorted(tuple(r) for r in rows.join(keyed, "k").select("k", "v", "w").collect()) and len(got) == 6000
