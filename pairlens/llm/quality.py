@@ -16,9 +16,9 @@ from .text import ALNUM, SAME, chunks, words
 
 # Tokens are hashed into this many slots, each with a vector of DIM numbers.
 SLOTS, DIM, NONZERO = 1 << 14, 32, 2
-# Tokens apart at which a text's vectors are compared with each other: one to four words, as separators stand between them.
-APART = (2, 4, 6, 8)
-WIDTH = 2 * DIM + len(APART)
+# Tokens apart at which a text's vectors are compared with each other: one and two words, as separators stand between them.
+APART = (2, 4)
+WIDTH = DIM + len(APART)
 WORD = ALNUM.copy()
 WORD[0x41:0x5B] = True
 
@@ -43,32 +43,27 @@ def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pooled(slot: np.ndarray, first: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Per text: mean and deviation of its tokens' vectors, and how alike vectors ``APART`` tokens from each other are (mean cosine).
+    """Per text: the mean of its tokens' vectors, and how alike vectors ``APART`` tokens from each other are (mean cosine).
 
-    A text without tokens, or too short for a distance, has zeros.
+    ``vectors`` have length 1.  A text without tokens, or too short for a distance, has zeros.
     """
     n = np.diff(first)
     doc = np.repeat(np.arange(len(n)), n)
     out = np.zeros((len(n), WIDTH))
     full = np.flatnonzero(n)
-    unit = (vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)).astype(np.float32)
     # A few texts at a time, so that their vectors stay in the cache.
-    for at in range(0, len(full), 256):
-        mine = full[at : at + 256]
+    for at in range(0, len(full), 64):
+        mine = full[at : at + 64]
         low, high = int(first[mine[0]]), int(first[mine[-1] + 1])
         here = vectors[slot[low:high]]
         begin = first[mine] - low
-        out[mine, :DIM] = np.add.reduceat(here, begin, axis=0, dtype=np.float64)
-        out[mine, DIM : 2 * DIM] = np.add.reduceat(here * here, begin, axis=0, dtype=np.float64)
-        near = unit[slot[low:high]]
+        out[mine, :DIM] = np.add.reduceat(here, begin, axis=0)
         for j, gap in enumerate(APART):
             if high - low > gap:
-                alike = np.einsum("ij,ij->i", near[:-gap], near[gap:]) * (doc[low : high - gap] == doc[low + gap : high])
-                out[mine, 2 * DIM + j] = np.add.reduceat(np.append(alike, np.zeros(gap)), begin)
-    size = np.maximum(n, 1)[:, None]
-    out[:, : 2 * DIM] /= size
-    out[:, DIM : 2 * DIM] = np.sqrt(np.maximum(out[:, DIM : 2 * DIM] - out[:, :DIM] ** 2, 0.0))
-    out[:, 2 * DIM :] /= np.maximum(size - np.array(APART), 1)
+                alike = np.einsum("ij,ij->i", here[:-gap], here[gap:]) * (doc[low : high - gap] == doc[low + gap : high])
+                out[mine, DIM + j] = np.add.reduceat(np.append(alike, np.zeros(gap)), begin)
+    out[:, :DIM] /= np.maximum(n, 1)[:, None]
+    out[:, DIM:] /= np.maximum(n[:, None] - np.array(APART), 1)
     return out
 
 
@@ -94,13 +89,14 @@ def _contexts(text: str):
 
 
 def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """One vector per slot from the neighbours of its tokens in all documents, plus the slot's own index vector."""
+    """One vector of length 1 per slot, from the neighbours of its tokens in all documents plus the slot's own index vector."""
     sums = total(docs.select(F.col(text).alias("text")).mapInArrow(_contexts("text"), BLOCKS), SLOTS * DIM).reshape(SLOTS, DIM)
     norm = np.linalg.norm(sums, axis=1, keepdims=True)
     own = np.zeros((SLOTS, DIM), dtype=np.float32)
     place, sign = index_vectors()
     np.add.at(own, (np.arange(SLOTS)[:, None], place), sign / np.sqrt(NONZERO))
-    return (sums / np.maximum(norm, 1e-9) + own).astype(np.float32)
+    both = sums / np.maximum(norm, 1e-9) + own
+    return (both / np.maximum(np.linalg.norm(both, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
 
 def _pool(shared, text: str):

@@ -50,7 +50,8 @@ def test_vectors_pooling_and_score_against_brute_force(spark):
             for j in range(max(0, i - 2), min(len(ids), i + 3)):
                 if j != i:
                     sums[s] += index(ids[j])
-    want = {s: v / max(np.linalg.norm(v), 1e-9) + index(s) / np.sqrt(Q.NONZERO) for s, v in sums.items()}
+    unit = lambda v: v / max(np.linalg.norm(v), 1e-9)
+    want = {s: unit(unit(v) + index(s) / np.sqrt(Q.NONZERO)) for s, v in sums.items()}
     vectors = Q.word_vectors(frame)
     assert all(np.allclose(vectors[s], v, atol=1e-5) for s, v in want.items())
 
@@ -61,9 +62,8 @@ def test_vectors_pooling_and_score_against_brute_force(spark):
         v = np.array([want[slots[x]] for x in cut(t)]).reshape(-1, Q.DIM)
         x = np.zeros(Q.WIDTH)
         if len(v):
-            x[: Q.DIM], x[Q.DIM : 2 * Q.DIM] = v.mean(axis=0), v.std(axis=0)
-            u = v / np.linalg.norm(v, axis=1, keepdims=True)
-            x[2 * Q.DIM :] = [np.mean([u[k] @ u[k + g] for k in range(len(u) - g)]) if len(u) > g else 0.0 for g in Q.APART]
+            x[: Q.DIM] = v.mean(axis=0)
+            x[Q.DIM :] = [np.mean([v[k] @ v[k + g] for k in range(len(v) - g)]) if len(v) > g else 0.0 for g in Q.APART]
         assert np.allclose(got[i], x, atol=1e-4)
         a, b, c, d = net.weights
         logit = sum(np.tanh(sum((x[k] - net.mean[k]) / net.scale[k] * a[k, h] for k in range(Q.WIDTH)) + b[h]) * c[h] for h in range(len(b))) + d
