@@ -15,20 +15,24 @@ from pairlens.session import local_session  # noqa: E402
 # The reference states times for three stages: panel build, panel imputation, pair expansion.
 HEADLINES = (
     "c1_conform_codes",
+    "c1_conform_by_intervals",
     "c2_group_filter",
     "d7_keep_first",
     "e2_expand_spells",
     "e4_spell_count",
+    "e4_running_days",
     "e6_resolve_primary",
     "e7_ordered_max",
     "e8_time_since",
     "y1_make_pairs",
+    "y1_case_control_pairs",
     "y3_event_pairs",
     "y10_mirror_pairs",
     "pair_panel",
     "i1_normal_distance",
     "i2_scale_search_orders",
     "i5_em_impute",
+    "i5_unit_trends",
     "directed_replicates",
     "risk_measure",
     "k4_elastic_net_grid",

@@ -53,7 +53,7 @@ def risk_measure(
     units: DataFrame,
     families: Sequence[str] = ("null", "logit", "forest"),
     ratio: float = 100,
-    folds: int = 3,
+    folds: int = 10,
     seed: int = 90210,
     period: str = "year",
 ) -> tuple[DataFrame, DataFrame, dict[str, float]]:
@@ -70,7 +70,7 @@ def risk_measure(
     sample = materialize(G.assign_folds(sample, folds, seed, "label", "row_id"), "down-sample", rebalance=True)
 
     # Every family is tried at its first setting; tuning is cross_validate over its grid.
-    parts = [V.cross_validate(sample, f, [M.FAMILIES[f].grid[0]]).predictions for f in families]
+    parts = [V.cross_validate(sample, f, [M.FAMILIES[f].grid[0]], parallelism=8).predictions for f in families]
     held = materialize(reduce(DataFrame.unionByName, parts), "out-of-fold", rebalance=True)
     weights = ensemble_weights(held, list(families))
 

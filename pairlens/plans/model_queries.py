@@ -456,10 +456,10 @@ PATH_MODELS = ("null", "logit", "naive_bayes", "forest")
 
 def out_of_fold(spark: SparkSession, sf: str, families: tuple[str, ...] = PATH_MODELS) -> DataFrame:
     """Out-of-fold predictions of several families on the down-sampled training part."""
-    rows = frame(spark, sf, folds=3)
+    rows = frame(spark, sf, folds=10)
     out = None
     for f in families:
-        preds = V.cross_validate(rows, f, [M.FAMILIES[f].grid[0]], parallelism=4).predictions
+        preds = V.cross_validate(rows, f, [M.FAMILIES[f].grid[0]], parallelism=8).predictions
         out = preds if out is None else out.unionByName(preds)
     return materialize(out, "out-of-fold", rebalance=True)
 
