@@ -23,6 +23,7 @@ from .scoring import auc, log_loss, log_loss_term, row_weight
 
 # Scans of the rows that logits of bootstraps and of folds may take.
 MAX_SCANS, CV_SCANS = 20, 40
+TUNED_TOGETHER = 4
 
 
 @dataclass(frozen=True)
@@ -122,17 +123,23 @@ def _logit_folds(data: DataFrame, fam: Family, settings: Sequence[Mapping], fold
 def tuning_stability(
     df: DataFrame, replicate: Sequence[str], families: Sequence[str], grids: Mapping[str, Sequence[Mapping]] | None = None, **kw
 ) -> DataFrame:
-    """Best setting per imputed replicate and family, with its log-loss."""
-    out = []
+    """Best setting per imputed replicate and family, with its log-loss.
+
+    Replicates and families are tuned side by side, ``TUNED_TOGETHER`` of them at a time.
+    """
     keys = [tuple(r) for r in df.select(*replicate).distinct().orderBy(*replicate).collect()]
-    for key in keys:
+
+    def tune(task: tuple[tuple, str]) -> tuple:
+        key, family = task
         one = df
         for name, value in zip(replicate, key):
             one = one.where(F.col(name) == value)
-        for f in families:
-            cv = cross_validate(one.drop(*replicate), f, (grids or {}).get(f), **kw)
-            best = min(r["log_loss"] for r in cv.results.collect())
-            out.append((*key, f, json.dumps(dict(cv.best), sort_keys=True), float(best)))
+        cv = cross_validate(one.drop(*replicate), family, (grids or {}).get(family), **kw)
+        best = min(r["log_loss"] for r in cv.results.collect())
+        return (*key, family, json.dumps(dict(cv.best), sort_keys=True), float(best))
+
+    with ThreadPoolExecutor(max_workers=TUNED_TOGETHER) as pool:
+        out = list(pool.map(tune, [(key, f) for key in keys for f in families]))
     names = ", ".join(f"{n} int" for n in replicate)
     return df.sparkSession.createDataFrame(out, f"{names}, model string, setting string, log_loss double")
 
