@@ -1,4 +1,11 @@
-"""Masked pseudo-likelihood: a window network predicts every word from both sides."""
+"""Masked pseudo-likelihood: a window network predicts every word from both sides.
+
+The network's output is a tree over a real vocabulary: the ``WORDS`` most frequent words and one
+place for all others, told apart by 64-bit hashes.  The hidden layer of the two words on each side
+chooses a branch, a twig of that branch and a word of that twig, each by a softmax of its own, so
+every word depends on its context at about the price of three small softmaxes.  Words with like
+neighbours lie on the same branch.
+"""
 
 from __future__ import annotations
 
@@ -9,41 +16,91 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from ..session import materialize
 from .sums import BLOCKS, blocks, task_number, total
 from .text import BLANK, LOWER, Words, chunks, mix, words
 
-# Words are hashed into SLOTS; the most frequent OWN slots are classes of their own, the others share SHARED.
-SLOTS, OWN, SHARED = 1 << 16, 48, 16
-CLASSES = OWN + SHARED
-# Inputs: the KNOWN most frequent slots each have a vector, the others share as many; the last is "beyond the text".
-KNOWN, DIM, HIDDEN = 1024, 8, 32
+# The tree: branches, twigs on a branch, words on a twig.  One place is that of unknown words.
+BRANCHES, TWIGS, LEAVES = 64, 32, 32
+NODES = BRANCHES * TWIGS
+PLACES = NODES * LEAVES
+WORDS = PLACES - 1
+# Inputs: the KNOWN most frequent words each have a vector, the others share that of their twig; the last is "beyond the text".
+KNOWN, DIM, HIDDEN = 2048, 8, 32
 AROUND = (-2, -1, 1, 2)
-INPUTS = 2 * KNOWN + 1
-ROWS = 1 << 15
+INPUTS = KNOWN + NODES + 1
+# Hidden units that the two lower softmaxes read, and the length of the vectors that neighbours are told by.
+LOWER_UNITS, NEIGHBOUR = 12, 12
+ROWS = 1 << 13
+# Distinct words a task holds before it passes their counts on, and steps of the counts' logarithm.
+HELD, STEPS = 1 << 20, 64
+EMPTY = -30.0
 
 
 @dataclass
 class Vocabulary:
-    """What corpus counts say of a slot: its class, its share of the class, and its input vector's number."""
+    """Known words as sorted hashes, their places in the tree, and what the corpus counts say of each place.
+
+    ``place`` and ``given`` (the input vector's number) have one entry more than ``hash``: that of unknown
+    words.  ``log_spelling`` is an unknown word's log probability among them: they count as equally likely,
+    and all that were never seen count as one.
+    """
 
-    kind: np.ndarray
-    log_share: np.ndarray
+    hash: np.ndarray
+    count: np.ndarray
+    place: np.ndarray
     given: np.ndarray
+    log_spelling: float
 
     @staticmethod
-    def of(counts: np.ndarray) -> Vocabulary:
-        order = np.lexsort((np.arange(SLOTS), -counts))
-        slot = np.arange(SLOTS)
-        kind = OWN + (mix(slot.astype(np.uint64)) % np.uint64(SHARED)).astype(np.int64)
-        kind[order[:OWN]] = np.arange(OWN)
-        smooth = counts + 1.0  # words that were never counted can still be scored
-        share = np.log(smooth) - np.log(np.bincount(kind, smooth, CLASSES))[kind]
-        given = KNOWN + (mix(slot.astype(np.uint64) + np.uint64(1)) % np.uint64(KNOWN)).astype(np.int64)
-        given[order[:KNOWN]] = np.arange(KNOWN)
-        return Vocabulary(kind, share, given)
-
-
-SHAPES = ((INPUTS, DIM), (len(AROUND) * DIM, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,))
+    def of(hashes: np.ndarray, counts: np.ndarray, unknown: tuple[int, int], near: np.ndarray) -> Vocabulary:
+        """``counts`` of the sorted ``hashes``, distinct and all occurrences of other words, sums of neighbours' vectors."""
+        count = np.append(counts, unknown[1]).astype(np.float64)
+        # A smoothed mean, so that what few neighbours say of a rare word weighs little.
+        mean = near / (count[:, None] + 8.0)
+        twig = _twigs(mean, count)
+        order = np.lexsort((-count, twig))
+        begin = np.searchsorted(twig[order], np.arange(NODES))
+        place = np.empty(len(count), dtype=np.int64)
+        place[order] = twig[order] * LEAVES + np.arange(len(count)) - begin[twig[order]]
+        given = KNOWN + twig
+        often = np.lexsort((np.arange(len(count)), -count))[:KNOWN]
+        given[often] = np.arange(len(often))
+        return Vocabulary(hashes, count, place, given, -float(np.log(unknown[0] + 1.0)))
+
+    def ids(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of each word; that of unknown ones is ``len(hash)``."""
+        if not len(self.hash):
+            return np.zeros(len(hashes), dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.hash, hashes), len(self.hash) - 1)
+        return np.where(self.hash[at] == hashes, at, len(self.hash))
+
+
+def _twigs(mean: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The twig of each word: groups are halved at the median of their widest direction until ``NODES`` are left."""
+    twig, weight = np.zeros(len(mean), dtype=np.int64), np.sqrt(count + 1.0)
+    groups = [np.arange(len(mean))]
+    for _ in range(NODES.bit_length() - 1):
+        halves = []
+        for group in groups:
+            x = mean[group]
+            if len(group) > 2:
+                x = x - np.average(x, axis=0, weights=weight[group])
+                wide = np.linalg.eigh((x * weight[group, None]).T @ x)[1][:, -1]
+                group = group[np.argsort(x @ (wide * np.sign(wide[np.argmax(np.abs(wide))])), kind="stable")]
+            half = (len(group) + 1) // 2
+            halves += [group[:half], group[half:]]
+        groups = halves
+    for i, group in enumerate(groups):
+        twig[group] = i
+    return twig
+
+
+# Inputs, hidden layer, branches, then weights and constants of the twigs of each branch and of the words of each twig.
+SHAPES = (
+    (INPUTS, DIM), (len(AROUND) * DIM, HIDDEN), (HIDDEN,), (HIDDEN, BRANCHES), (BRANCHES,),
+    (BRANCHES, LOWER_UNITS, TWIGS), (BRANCHES, TWIGS), (NODES, LOWER_UNITS, LEAVES), (NODES, LEAVES),
+)
 SIZES = [int(np.prod(s)) for s in SHAPES]
 
 
@@ -51,17 +108,24 @@ def unpack(flat: np.ndarray) -> list[np.ndarray]:
     return [p.reshape(s) for p, s in zip(np.split(flat, np.cumsum(SIZES)[:-1]), SHAPES)]
 
 
-def start_weights() -> np.ndarray:
+def start_weights(vocabulary: Vocabulary) -> np.ndarray:
+    """Weights by which every word has its share of the corpus, whatever stands around it."""
     rng = np.random.default_rng(11)
-    parts = [rng.normal(0, 0.3, SHAPES[0]), rng.normal(0, 1 / np.sqrt(SHAPES[1][0]), SHAPES[1]), np.zeros(HIDDEN), rng.normal(0, 1 / np.sqrt(HIDDEN), SHAPES[3]), np.zeros(CLASSES)]
+    share = np.zeros(PLACES)
+    share[vocabulary.place] = vocabulary.count + 1.0
+    constants = []
+    for shape in ((BRANCHES, TWIGS * LEAVES), (NODES, LEAVES), (PLACES, 1)):
+        mass = share.reshape(shape).sum(axis=1)
+        constants.append(np.where(mass > 0, np.log(np.maximum(mass, 1.0)), EMPTY))
+    # A softmax takes what its own group holds; places and nodes without a word keep a probability of nearly 0.
+    by_branch, by_twig, by_word = constants[0], constants[1].reshape(BRANCHES, TWIGS), constants[2].reshape(NODES, LEAVES)
+    centred = [c - np.maximum(c.max(axis=-1, keepdims=True), EMPTY) for c in (by_branch, by_twig, by_word)]
+    parts = [rng.normal(0, 0.3, SHAPES[0]), rng.normal(0, 1 / np.sqrt(SHAPES[1][0]), SHAPES[1]), np.zeros(HIDDEN)]
+    parts += [np.zeros(SHAPES[3]), centred[0], np.zeros(SHAPES[5]), centred[1], np.zeros(SHAPES[7]), centred[2]]
     return np.concatenate([p.ravel() for p in parts]).astype(np.float32)
 
 
-def slots(w: Words) -> np.ndarray:
-    return (w.hash & np.uint64(SLOTS - 1)).astype(np.int64)
-
-
-def windows(slot: np.ndarray, first: np.ndarray, vocabulary: Vocabulary, at: np.ndarray) -> np.ndarray:
+def windows(ids: np.ndarray, first: np.ndarray, vocabulary: Vocabulary, at: np.ndarray) -> np.ndarray:
     """Input numbers around each position of ``at``; positions beyond its text have the last number."""
     doc = np.searchsorted(first, at, side="right") - 1
     low, high = first[doc], first[doc + 1]
@@ -69,40 +133,117 @@ def windows(slot: np.ndarray, first: np.ndarray, vocabulary: Vocabulary, at: np.
     for j, step in enumerate(AROUND):
         near = at + step
         inside = (near >= low) & (near < high)
-        out[:, j] = np.where(inside, vocabulary.given[slot[np.where(inside, near, at)]], INPUTS - 1)
+        out[:, j] = np.where(inside, vocabulary.given[ids[np.where(inside, near, at)]], INPUTS - 1)
     return out
 
 
-def class_log_probability(weights: list[np.ndarray], given: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Log probabilities of all classes, with the hidden layer and the inputs they come from."""
-    embed, a, b, c, d = weights
-    x = embed[given].reshape(len(given), -1)
-    h = np.tanh(x @ a + b)
-    z = h @ c + d
+def _log_softmax(z: np.ndarray) -> np.ndarray:
     z -= z.max(axis=1, keepdims=True)
     z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
-    return z, h, x
+    return z
+
+
+def path_log_probability(weights: list[np.ndarray], given: np.ndarray, place: np.ndarray) -> tuple:
+    """Log probabilities of all choices at the three steps to ``place``, with the hidden layer and its inputs."""
+    embed, a, b, c, d, twigs, e, leaves, f = weights
+    x = embed[given].reshape(len(given), -1)
+    h = np.tanh(x @ a + b)
+    low = h[:, None, :LOWER_UNITS]
+    branch, twig = place // (TWIGS * LEAVES), place // LEAVES
+    steps = (
+        _log_softmax(h @ c + d),
+        _log_softmax((low @ twigs[branch])[:, 0] + e[branch]),
+        _log_softmax((low @ leaves[twig])[:, 0] + f[twig]),
+    )
+    return steps, h, x
+
+
+def choices(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What is chosen at each of the three steps to a place."""
+    return place // (TWIGS * LEAVES), place // LEAVES % TWIGS, place % LEAVES
 
 
 def _counts(text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(SLOTS, dtype=np.int64)
+        known, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        table = lambda: pa.RecordBatch.from_arrays([pa.array(known.view(np.int64)), pa.array(counts)], names=["word", "n"])
         for batch in batches:
             for part in chunks(batch, text):
-                counts += np.bincount(slots(words(part.column(text), BLANK, LOWER)), minlength=SLOTS)
-        seen = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(counts[seen])], names=["slot", "n"])
+                found, n = np.unique(words(part.column(text), BLANK, LOWER).hash, return_counts=True)
+                known, back = np.unique(np.concatenate((known, found)), return_inverse=True)
+                counts = np.bincount(back, np.concatenate((counts, n)), len(known)).astype(np.int64)
+                if len(known) > HELD:
+                    yield table()
+                    known, counts = known[:0], counts[:0]
+        yield table()
 
     return run
 
 
-def corpus_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """Words per slot over all documents; each task adds up its own before the shuffle."""
-    counted = docs.select(F.col(text).alias("text")).mapInArrow(_counts("text"), "slot int, n long")
-    out = np.zeros(SLOTS)
-    for r in counted.groupBy("slot").agg(F.sum("n").alias("n")).collect():  # at most SLOTS rows
-        out[r["slot"]] = r["n"]
-    return out
+def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``word`` (hash) and ``n`` of every word of all documents; each task adds up its own before the shuffle."""
+    counted = docs.select(F.col(text).alias("text")).mapInArrow(_counts("text"), "word long, n long")
+    return counted.groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def frequent_words(counts: DataFrame, size: int = WORDS) -> tuple[np.ndarray, np.ndarray, tuple[int, int]]:
+    """Sorted hashes and counts of known words, and how many others there are, distinct ones and occurrences.
+
+    Known are the words of the highest counts; those counts are grouped by their logarithm, and a
+    group that does not fit into ``size`` stays out as a whole, so ties are not cut.
+    """
+    step = F.floor(F.log2("n") * STEPS)
+    rows = counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("n"))
+    table = sorted(((r["step"], r["words"], r["n"]) for r in rows.collect()), reverse=True)  # at most 64 * STEPS rows
+    least, room, unknown = 0, size, (0, 0)
+    for i, (at, n_words, _) in enumerate(table):
+        if n_words > room:
+            least, unknown = at + 1, (sum(r[1] for r in table[i:]), sum(r[2] for r in table[i:]))
+            break
+        room -= n_words
+    known = counts.where(step >= least).toArrow()  # at most ``size`` rows
+    hashes, n = (known.column(c).to_numpy() for c in ("word", "n"))
+    hashes = hashes.astype(np.int64).view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], n[order], unknown
+
+
+def signs(hashes: np.ndarray) -> np.ndarray:
+    """A vector of 1 and -1 for each word and one for unknown words."""
+    bits = mix(np.append(hashes, np.uint64(0)) + np.uint64(0x9E3779B97F4A7C15))
+    return np.where(bits[:, None] >> np.arange(NEIGHBOUR, dtype=np.uint64) & np.uint64(1), 1.0, -1.0).astype(np.float32)
+
+
+def _neighbours(shared, text: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, vectors = shared.value
+        out = np.zeros((len(vectors), NEIGHBOUR))
+        for batch in batches:
+            for part in chunks(batch, text):
+                w = words(part.column(text), BLANK, LOWER)
+                ids, doc, near = vocabulary.ids(w.hash), w.doc, np.zeros((len(w.hash), NEIGHBOUR), dtype=np.float32)
+                for step in (1, 2):
+                    same = (doc[step:] == doc[:-step])[:, None]
+                    near[step:] += vectors[ids[:-step]] * same
+                    near[:-step] += vectors[ids[step:]] * same
+                for j in range(NEIGHBOUR):
+                    out[:, j] += np.bincount(ids, near[:, j], len(vectors))
+        yield blocks(out, task_number())
+
+    return run
+
+
+def learn_vocabulary(docs: DataFrame, text: str = "text") -> Vocabulary:
+    """Counts of all words of the corpus, the known ones, and a tree of them by their neighbours in all documents."""
+    counts = materialize(word_counts(docs, text), "word-counts")
+    hashes, n, unknown = frequent_words(counts)
+    vectors = signs(hashes)
+    # The neighbours that are everywhere tell words apart best when each counts by its rarity.
+    vectors *= np.minimum(1.0, np.sqrt(0.001 * max(n.sum() + unknown[1], 1) / (np.append(n, unknown[1]) + 1.0)))[:, None].astype(np.float32)
+    empty = Vocabulary(hashes, n, n, n, 0.0)
+    shared = docs.sparkSession.sparkContext.broadcast((empty, vectors))
+    near = total(docs.select(F.col(text).alias("text")).mapInArrow(_neighbours(shared, "text"), BLOCKS), vectors.size)
+    return Vocabulary.of(hashes, n, unknown, near.reshape(vectors.shape).astype(np.float64))
 
 
 def positions(w: Words, every: int, turn: int) -> np.ndarray:
@@ -117,46 +258,72 @@ def _train(shared, text: str, every: int, turn: int, batch_size: int, rate: floa
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, flat = shared.value
         flat = flat.copy()
-        weights, seen, memory = unpack(flat), 0, [np.full(s, 1e-4, dtype=np.float32) for s in SHAPES]
+        weights, seen, memory = unpack(flat), 0, start_memory()
         for batch in batches:
             for part in chunks(batch, text):
                 w = words(part.column(text), BLANK, LOWER)
-                slot = slots(w)
+                ids = vocabulary.ids(w.hash)
                 at = positions(w, every, turn)
-                at = np.random.default_rng(len(slot)).permutation(at)
+                at = np.random.default_rng(len(ids)).permutation(at)
                 for i in range(0, len(at), batch_size):
                     rows = at[i : i + batch_size]
-                    given, want = windows(slot, w.first, vocabulary, rows), vocabulary.kind[slot[rows]]
-                    _step(weights, memory, given, want, rate)
+                    _step(weights, memory, windows(ids, w.first, vocabulary, rows), vocabulary.place[ids[rows]], rate)
                 seen += len(at)
         yield blocks(np.append(flat * max(seen, 1e-6), max(seen, 1e-6)), task_number())
 
     return run
 
 
-def _step(weights: list[np.ndarray], memory: list[np.ndarray], given: np.ndarray, want: np.ndarray, rate: float) -> None:
-    """One Adagrad step on the cross-entropy of the classes; the weights change in place."""
-    logp, h, x = class_log_probability(weights, given)
-    error = np.exp(logp)
-    error[np.arange(len(want)), want] -= 1.0
-    error /= len(want)
-    back = (error @ weights[3].T) * (1 - h * h)
+def start_memory() -> list[np.ndarray]:
+    """Sums of squared gradients: one per weight at the top, one per choice in the two lower steps."""
+    top = [np.full(s, 1e-4, dtype=np.float32) for s in SHAPES[:5]]
+    return [*top, np.ones(SHAPES[6], dtype=np.float32), np.ones(SHAPES[8], dtype=np.float32)]
+
+
+def _step(weights: list[np.ndarray], memory: list[np.ndarray], given: np.ndarray, place: np.ndarray, rate: float) -> None:
+    """One Adagrad step on the cross-entropy of the three choices; the weights change in place."""
+    steps, h, x = path_log_probability(weights, given, place)
+    errors = []
+    for logp, chosen in zip(steps, choices(place)):
+        error = np.exp(logp)
+        error[np.arange(len(place)), chosen] -= 1.0
+        errors.append(error)
+    back = errors[0] @ weights[3].T
+    for (w, d), m, node, error in zip(((5, 6), (7, 8)), memory[5:], (place // (TWIGS * LEAVES), place // LEAVES), errors[1:]):
+        back[:, :LOWER_UNITS] += (weights[w][node] @ error[:, :, None])[:, :, 0]
+        _lower_step(weights[w], weights[d], m, node, h[:, :LOWER_UNITS], error, rate)
+    back *= (1 - h * h) / len(place)
     inputs = (back @ weights[1].T).reshape(-1, DIM)
     embed = np.stack([np.bincount(given.ravel(), inputs[:, j], INPUTS) for j in range(DIM)], axis=1)
-    grads = [embed, x.T @ back, back.sum(axis=0), h.T @ error, error.sum(axis=0)]
-    for w, m, g in zip(weights, memory, grads):
+    top = errors[0] / len(place)
+    for w, m, g in zip(weights, memory, (embed, x.T @ back, back.sum(axis=0), h.T @ top, top.sum(axis=0))):
         m += g * g
         w -= rate * g / np.sqrt(m)
 
 
+def _lower_step(w: np.ndarray, d: np.ndarray, memory: np.ndarray, node: np.ndarray, h: np.ndarray, error: np.ndarray, rate: float) -> None:
+    """The step of the nodes that the batch passes through, each by the sum over its own positions."""
+    order = np.argsort(node, kind="stable")
+    met, begin = np.unique(node[order], return_index=True)
+    h, error = h[order], error[order]
+    ends = np.append(begin[1:], len(order))
+    for k, lo, hi in zip(met.tolist(), begin.tolist(), ends.tolist()):
+        g, own = h[lo:hi].T @ error[lo:hi], error[lo:hi].sum(axis=0)
+        m = memory[k]
+        m += own * own
+        step = rate / np.sqrt(m)
+        w[k] -= g * step
+        d[k] -= own * step
+
+
 @dataclass
 class Model:
     vocabulary: Vocabulary
     weights: np.ndarray
 
 
-def fit(docs: DataFrame, text: str = "text", rounds: int = 2, every: int | None = None, batch_size: int = 512, rate: float = 0.05) -> Model:
-    """Train on all documents: counts of all words, then ``rounds`` of local training and averaging.
+def fit(docs: DataFrame, text: str = "text", rounds: int = 2, every: int | None = None, batch_size: int = 2048, rate: float = 0.05) -> Model:
+    """Train on all documents: words and their neighbours, then ``rounds`` of local training and averaging.
 
     In each round every task makes gradient steps over one position in ``every`` of all its
     texts, other ones in each round, and by default ``every`` is ``rounds``, so that each position
@@ -165,8 +332,8 @@ def fit(docs: DataFrame, text: str = "text", rounds: int = 2, every: int | None
     """
     context = docs.sparkSession.sparkContext
     rows = docs.select(F.col(text).alias("text"))
-    vocabulary = Vocabulary.of(corpus_counts(docs, text))
-    every, flat = every or rounds, start_weights()
+    vocabulary = learn_vocabulary(docs, text)
+    every, flat = every or rounds, start_weights(vocabulary)
     for turn in range(rounds):
         shared = context.broadcast((vocabulary, flat))
         sums = total(rows.mapInArrow(_train(shared, "text", every, turn, batch_size, rate), BLOCKS), len(flat) + 1)
@@ -177,12 +344,18 @@ def fit(docs: DataFrame, text: str = "text", rounds: int = 2, every: int | None
 
 def token_log_probability(model: Model, w: Words) -> np.ndarray:
     """log p of every word given the two words on each side."""
-    slot, weights = slots(w), unpack(model.weights)
-    out = np.empty(len(slot))
-    for i in range(0, len(slot), ROWS):
-        at = np.arange(i, min(i + ROWS, len(slot)))
-        logp, _, _ = class_log_probability(weights, windows(slot, w.first, model.vocabulary, at))
-        out[at] = logp[np.arange(len(at)), model.vocabulary.kind[slot[at]]] + model.vocabulary.log_share[slot[at]]
+    v, weights = model.vocabulary, unpack(model.weights)
+    ids = v.ids(w.hash)
+    out = np.where(ids == len(v.hash), v.log_spelling, 0.0)
+    for i in range(0, len(ids), ROWS):
+        at = np.arange(i, min(i + ROWS, len(ids)))
+        place = v.place[ids[at]]
+        # Positions in the order of their places read each node's weights once.
+        order = np.argsort(place, kind="stable")
+        at, place = at[order], place[order]
+        steps, _, _ = path_log_probability(weights, windows(ids, w.first, v, at), place)
+        for logp, chosen in zip(steps, choices(place)):
+            out[at] += logp[np.arange(len(at)), chosen]
     return out
 
 
@@ -204,10 +377,11 @@ def score_documents(docs: DataFrame, keep: Sequence[str] = ("doc_id",), text: st
     """``keep`` columns with ``n_words, log_likelihood, mean_log_likelihood`` of every document.
 
     The log-likelihood is the sum over all words of log p(word | two words on each side): the
-    network's probability of the word's class times the word's share of its class in the corpus.
-    Words are runs without ASCII white space, A-Z folded.  A null or empty text has no words, a
-    sum of 0 and a null mean.  Repeated rows are each scored; no other column is read.  An empty
-    corpus trains nothing.
+    product of the network's three choices, and for a word outside the vocabulary the probability
+    of an unknown word there times that of being this one.  Words are runs without ASCII white
+    space, A-Z folded.  A null or empty text has no words, a sum of 0 and a null mean.  A very long
+    text is scored whole, in pieces.  Repeated rows are each scored; no other column is read.  An
+    empty corpus trains nothing.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model or fit(docs, text))
     rows = docs.select(*keep, F.col(text).alias("_text"))
