@@ -20,7 +20,7 @@ from ..session import materialize
 from .sums import BLOCKS, blocks, task_number, total
 from .text import BLANK, LOWER, Words, chunks, mix, words
 
-# The tree: branches, twigs on a branch, words on a twig.  One place is that of unknown words.
+# The tree: branches, twigs on a branch, words on a twig, as many as twigs.  One place is that of unknown words.
 BRANCHES, TWIGS, LEAVES = 64, 32, 32
 NODES = BRANCHES * TWIGS
 PLACES = NODES * LEAVES
@@ -35,6 +35,11 @@ ROWS = 1 << 13
 # Distinct words a task holds before it passes their counts on, and steps of the counts' logarithm.
 HELD, STEPS = 1 << 20, 64
 EMPTY = -30.0
+# Bits of a hash that words are looked up by.
+LEADING = 20
+# Numbers up to here have exponentials that add up well, and how many positions of a node are worked on together.
+LARGE = 60.0
+TOGETHER = np.append([1, 2, 4, 16], 2 ** np.arange(5, 32))
 
 
 @dataclass
@@ -51,6 +56,8 @@ class Vocabulary:
     place: np.ndarray
     given: np.ndarray
     log_spelling: float
+    leading: np.ndarray | None = None
+    most: int = 0
 
     @staticmethod
     def of(hashes: np.ndarray, counts: np.ndarray, unknown: tuple[int, int], near: np.ndarray) -> Vocabulary:
@@ -72,8 +79,17 @@ class Vocabulary:
         """The number of each word; that of unknown ones is ``len(hash)``."""
         if not len(self.hash):
             return np.zeros(len(hashes), dtype=np.int64)
-        at = np.minimum(np.searchsorted(self.hash, hashes), len(self.hash) - 1)
-        return np.where(self.hash[at] == hashes, at, len(self.hash))
+        if self.leading is None:
+            # Where the known words with the same leading bits begin; mostly there is one at most.
+            self.leading = np.searchsorted(self.hash, np.arange(1 << LEADING, dtype=np.uint64) << np.uint64(64 - LEADING)).astype(np.int32)
+            self.most = int(np.diff(np.append(self.leading, len(self.hash))).max())
+        first = self.leading.take((hashes >> np.uint64(64 - LEADING)).view(np.int64))
+        last, found = len(self.hash) - 1, np.full(len(hashes), len(self.hash), dtype=np.int64)
+        for step in range(self.most):
+            at = np.minimum(first + step, last)
+            hit = self.hash.take(at) == hashes
+            found[hit] = at[hit]
+        return found
 
 
 def _twigs(mean: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -96,10 +112,11 @@ def _twigs(mean: np.ndarray, count: np.ndarray) -> np.ndarray:
     return twig
 
 
-# Inputs, hidden layer, branches, then weights and constants of the twigs of each branch and of the words of each twig.
+# Inputs, hidden layer, branches, then one matrix for the twigs of each branch and one for the words of each twig,
+# whose last row are constants.
 SHAPES = (
     (INPUTS, DIM), (len(AROUND) * DIM, HIDDEN), (HIDDEN,), (HIDDEN, BRANCHES), (BRANCHES,),
-    (BRANCHES, LOWER_UNITS, TWIGS), (BRANCHES, TWIGS), (NODES, LOWER_UNITS, LEAVES), (NODES, LEAVES),
+    (BRANCHES + NODES, LOWER_UNITS + 1, LEAVES),
 )
 SIZES = [int(np.prod(s)) for s in SHAPES]
 
@@ -121,41 +138,84 @@ def start_weights(vocabulary: Vocabulary) -> np.ndarray:
     by_branch, by_twig, by_word = constants[0], constants[1].reshape(BRANCHES, TWIGS), constants[2].reshape(NODES, LEAVES)
     centred = [c - np.maximum(c.max(axis=-1, keepdims=True), EMPTY) for c in (by_branch, by_twig, by_word)]
     parts = [rng.normal(0, 0.3, SHAPES[0]), rng.normal(0, 1 / np.sqrt(SHAPES[1][0]), SHAPES[1]), np.zeros(HIDDEN)]
-    parts += [np.zeros(SHAPES[3]), centred[0], np.zeros(SHAPES[5]), centred[1], np.zeros(SHAPES[7]), centred[2]]
+    lower = np.zeros(SHAPES[5])
+    lower[:, -1] = np.concatenate(centred[1:])
+    parts += [np.zeros(SHAPES[3]), centred[0], lower]
     return np.concatenate([p.ravel() for p in parts]).astype(np.float32)
 
 
-def windows(ids: np.ndarray, first: np.ndarray, vocabulary: Vocabulary, at: np.ndarray) -> np.ndarray:
-    """Input numbers around each position of ``at``; positions beyond its text have the last number."""
-    doc = np.searchsorted(first, at, side="right") - 1
-    low, high = first[doc], first[doc + 1]
-    out = np.empty((len(at), len(AROUND)), dtype=np.int64)
-    for j, step in enumerate(AROUND):
-        near = at + step
-        inside = (near >= low) & (near < high)
-        out[:, j] = np.where(inside, vocabulary.given[ids[np.where(inside, near, at)]], INPUTS - 1)
-    return out
+def line_up(given: np.ndarray, doc: np.ndarray, beyond: int = INPUTS - 1) -> tuple[np.ndarray, np.ndarray]:
+    """All texts in one line with two places ``beyond`` the text around each, and where each position stands in it."""
+    where = np.arange(len(given)) + 2 * (doc + 1)
+    line = np.full(len(given) + 2 * (int(doc[-1]) + 2 if len(doc) else 2), beyond, dtype=np.int64)
+    line[where] = given
+    return line, where
+
+
+def windows(line: np.ndarray, where: np.ndarray) -> np.ndarray:
+    """Input numbers around each place of the line; positions beyond its text have the last number."""
+    return line.take(where[:, None] + np.array(AROUND))
+
+
+def _shifted_exp(z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """exp(z - shift), in place, that shift and the sum of each row; rows need shifts of their own only where numbers are large."""
+    shift = np.zeros(1, dtype=z.dtype)
+    if z.size and (z.max() > LARGE or z.min() < -LARGE):
+        shift = z.max(axis=1)
+        z -= shift[:, None]
+    np.exp(z, out=z)
+    return z, shift, z @ np.ones(z.shape[1], dtype=z.dtype)
+
+
+def _visits(node: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Nodes (sorted, one for each entry) and the entries of each, filled up with one that is not there.
+
+    Nodes with 1, 2, 3 to 4, 5 to 8 and so on entries come together, so that a batch costs a few
+    products of stacks of matrices.
+    """
+    begin = np.flatnonzero(np.append(True, node[1:] != node[:-1])[: len(node)])
+    n = np.diff(np.append(begin, len(node)))
+    wide = np.searchsorted(TOGETHER, n)
+    for size in np.flatnonzero(np.bincount(wide)).tolist():
+        mine = np.flatnonzero(wide == size)
+        step, first = np.arange(TOGETHER[size]), begin[mine]
+        yield node[first], np.where(step < n[mine, None], first[:, None] + step, len(node))
+
 
+def _lower(place: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The two lower steps to each place (sorted), one after the other: nodes, what is chosen there, and hidden units with a 1.
 
-def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(axis=1, keepdims=True)
-    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
-    return z
+    The last row is that of the entry that is not there: zeros, so that it moves nothing.
+    """
+    _, twig, leaf = choices(place)
+    units = np.zeros((2 * len(h) + 1, LOWER_UNITS + 1), dtype=h.dtype)
+    for half in (units[: len(h)], units[len(h) : -1]):
+        half[:, :-1], half[:, -1] = h[:, :LOWER_UNITS], 1.0
+    return np.append(place // (TWIGS * LEAVES), BRANCHES + place // LEAVES), np.concatenate((twig, leaf, [0])), units
+
+
+def _hidden(weights: list[np.ndarray], given: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The inputs and the hidden layer."""
+    x = weights[0].take(given, axis=0).reshape(len(given), -1)
+    return x, np.tanh(x @ weights[1] + weights[2])
+
+
+def path_log_probability(weights: list[np.ndarray], given: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The log probability of each place (sorted): the sum over the three choices on the way to it."""
 
+    def log_share(z: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+        picked = z[np.arange(len(z)), chosen]
+        _, shift, total_ = _shifted_exp(z)
+        return picked - shift - np.log(total_)
 
-def path_log_probability(weights: list[np.ndarray], given: np.ndarray, place: np.ndarray) -> tuple:
-    """Log probabilities of all choices at the three steps to ``place``, with the hidden layer and its inputs."""
-    embed, a, b, c, d, twigs, e, leaves, f = weights
-    x = embed[given].reshape(len(given), -1)
-    h = np.tanh(x @ a + b)
-    low = h[:, None, :LOWER_UNITS]
-    branch, twig = place // (TWIGS * LEAVES), place // LEAVES
-    steps = (
-        _log_softmax(h @ c + d),
-        _log_softmax((low @ twigs[branch])[:, 0] + e[branch]),
-        _log_softmax((low @ leaves[twig])[:, 0] + f[twig]),
-    )
-    return steps, h, x
+    _, h = _hidden(weights, given)
+    node, chosen, units = _lower(place, h)
+    lower = np.empty(len(units))
+    for met, at in _visits(node):
+        z = units.take(at, axis=0) @ weights[5].take(met, axis=0)
+        lower[at] = log_share(z.reshape(at.size, -1), chosen.take(at.ravel())).reshape(at.shape)
+    top = log_share(h @ weights[3] + weights[4], choices(place)[0])
+    return top + lower[: len(place)] + lower[len(place) : -1]
 
 
 def choices(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -218,14 +278,15 @@ def _neighbours(shared, text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, vectors = shared.value
         out = np.zeros((len(vectors), NEIGHBOUR))
+        # The vector of no word stands between two texts.
+        padded = np.append(vectors, np.zeros((1, NEIGHBOUR), dtype=np.float32), axis=0)
         for batch in batches:
             for part in chunks(batch, text):
                 w = words(part.column(text), BLANK, LOWER)
-                ids, doc, near = vocabulary.ids(w.hash), w.doc, np.zeros((len(w.hash), NEIGHBOUR), dtype=np.float32)
-                for step in (1, 2):
-                    same = (doc[step:] == doc[:-step])[:, None]
-                    near[step:] += vectors[ids[:-step]] * same
-                    near[:-step] += vectors[ids[step:]] * same
+                ids = vocabulary.ids(w.hash)
+                line, where = line_up(ids, w.doc, len(vectors))
+                v = padded[line]
+                near = (v[1:-3] + v[3:-1] + v[:-4] + v[4:])[where - 2]
                 for j in range(NEIGHBOUR):
                     out[:, j] += np.bincount(ids, near[:, j], len(vectors))
         yield blocks(out, task_number())
@@ -265,9 +326,10 @@ def _train(shared, text: str, every: int, turn: int, batch_size: int, rate: floa
                 ids = vocabulary.ids(w.hash)
                 at = positions(w, every, turn)
                 at = np.random.default_rng(len(ids)).permutation(at)
+                line, where = line_up(vocabulary.given[ids], w.doc)
                 for i in range(0, len(at), batch_size):
                     rows = at[i : i + batch_size]
-                    _step(weights, memory, windows(ids, w.first, vocabulary, rows), vocabulary.place[ids[rows]], rate)
+                    _step(weights, memory, windows(line, where[rows]), vocabulary.place[ids[rows]], rate)
                 seen += len(at)
         yield blocks(np.append(flat * max(seen, 1e-6), max(seen, 1e-6)), task_number())
 
@@ -277,43 +339,56 @@ def _train(shared, text: str, every: int, turn: int, batch_size: int, rate: floa
 def start_memory() -> list[np.ndarray]:
     """Sums of squared gradients: one per weight at the top, one per choice in the two lower steps."""
     top = [np.full(s, 1e-4, dtype=np.float32) for s in SHAPES[:5]]
-    return [*top, np.ones(SHAPES[6], dtype=np.float32), np.ones(SHAPES[8], dtype=np.float32)]
+    return [*top, np.ones(SHAPES[5][::2], dtype=np.float32)]
+
+
+def _errors(z: np.ndarray, chosen: np.ndarray) -> None:
+    """What the softmax of each row says of the choice, less the choice; in place."""
+    z /= _shifted_exp(z)[2][:, None]
+    z[np.arange(len(z)), chosen] -= 1.0
 
 
 def _step(weights: list[np.ndarray], memory: list[np.ndarray], given: np.ndarray, place: np.ndarray, rate: float) -> None:
     """One Adagrad step on the cross-entropy of the three choices; the weights change in place."""
-    steps, h, x = path_log_probability(weights, given, place)
-    errors = []
-    for logp, chosen in zip(steps, choices(place)):
-        error = np.exp(logp)
-        error[np.arange(len(place)), chosen] -= 1.0
-        errors.append(error)
-    back = errors[0] @ weights[3].T
-    for (w, d), m, node, error in zip(((5, 6), (7, 8)), memory[5:], (place // (TWIGS * LEAVES), place // LEAVES), errors[1:]):
-        back[:, :LOWER_UNITS] += (weights[w][node] @ error[:, :, None])[:, :, 0]
-        _lower_step(weights[w], weights[d], m, node, h[:, :LOWER_UNITS], error, rate)
+    order = np.argsort(place, kind="stable")
+    given, place = given.take(order, axis=0), place.take(order)
+    x, h = _hidden(weights, given)
+    top = h @ weights[3] + weights[4]
+    _errors(top, choices(place)[0])
+    back = top @ weights[3].T
+    lower = _lower_step(weights[5], memory[5], *_lower(place, h), rate)
+    back[:, :LOWER_UNITS] += lower[: len(h), :-1] + lower[len(h) : -1, :-1]
     back *= (1 - h * h) / len(place)
     inputs = (back @ weights[1].T).reshape(-1, DIM)
-    embed = np.stack([np.bincount(given.ravel(), inputs[:, j], INPUTS) for j in range(DIM)], axis=1)
-    top = errors[0] / len(place)
+    embed = np.stack([np.bincount(given.ravel(), inputs[:, j], INPUTS) for j in range(DIM)], axis=1).astype(np.float32)
+    top /= len(place)
     for w, m, g in zip(weights, memory, (embed, x.T @ back, back.sum(axis=0), h.T @ top, top.sum(axis=0))):
         m += g * g
         w -= rate * g / np.sqrt(m)
 
 
-def _lower_step(w: np.ndarray, d: np.ndarray, memory: np.ndarray, node: np.ndarray, h: np.ndarray, error: np.ndarray, rate: float) -> None:
-    """The step of the nodes that the batch passes through, each by the sum over its own positions."""
-    order = np.argsort(node, kind="stable")
-    met, begin = np.unique(node[order], return_index=True)
-    h, error = h[order], error[order]
-    ends = np.append(begin[1:], len(order))
-    for k, lo, hi in zip(met.tolist(), begin.tolist(), ends.tolist()):
-        g, own = h[lo:hi].T @ error[lo:hi], error[lo:hi].sum(axis=0)
-        m = memory[k]
-        m += own * own
-        step = rate / np.sqrt(m)
-        w[k] -= g * step
-        d[k] -= own * step
+def _errors(z: np.ndarray, chosen: np.ndarray) -> None:
+    """What the softmax of each row gives the choices, less the one made; in place."""
+    z /= _shifted_exp(z)[2][:, None]
+    z[np.arange(len(z)), chosen] -= 1.0
+
+
+def _lower_step(w: np.ndarray, memory: np.ndarray, node: np.ndarray, chosen: np.ndarray, units: np.ndarray, rate: float) -> np.ndarray:
+    """The step of the nodes that the batch passes through, each by the sum over its own positions; gives what their errors say of ``units``."""
+    back = np.empty_like(units)
+    for met, at in _visits(node):
+        old, h = w.take(met, axis=0), units.take(at, axis=0)
+        error = h @ old
+        _errors(error.reshape(at.size, -1), chosen.take(at.ravel()))
+        back[at] = error @ old.transpose(0, 2, 1)
+        g = np.einsum("ncu,ncl->nul", h, error) if at.shape[1] == 1 else h.transpose(0, 2, 1) @ error
+        m = memory.take(met, axis=0)
+        m += g[:, -1] * g[:, -1]
+        memory[met] = m
+        g *= (rate / np.sqrt(m))[:, None, :]
+        old -= g
+        w[met] = old
+    return back
 
 
 @dataclass
@@ -347,15 +422,12 @@ def token_log_probability(model: Model, w: Words) -> np.ndarray:
     v, weights = model.vocabulary, unpack(model.weights)
     ids = v.ids(w.hash)
     out = np.where(ids == len(v.hash), v.log_spelling, 0.0)
+    place, (line, where) = v.place[ids], line_up(v.given[ids], w.doc)
+    # Positions in the order of their places read each node's weights once.
+    order = np.argsort(place, kind="stable")
     for i in range(0, len(ids), ROWS):
-        at = np.arange(i, min(i + ROWS, len(ids)))
-        place = v.place[ids[at]]
-        # Positions in the order of their places read each node's weights once.
-        order = np.argsort(place, kind="stable")
-        at, place = at[order], place[order]
-        steps, _, _ = path_log_probability(weights, windows(ids, w.first, v, at), place)
-        for logp, chosen in zip(steps, choices(place)):
-            out[at] += logp[np.arange(len(at)), chosen]
+        at = order[i : i + ROWS]
+        out[at] += path_log_probability(weights, windows(line, where[at]), place[at])
     return out
 
 
