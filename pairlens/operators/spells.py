@@ -84,6 +84,25 @@ def spell_flag(panel: DataFrame, periods: DataFrame, key: Sequence[str] | str, n
     return panel.join(marks, keys, "left").withColumn(name, F.coalesce("__hit", F.lit(0))).drop("__hit")
 
 
+def spell_open(panel: DataFrame, spells: DataFrame, unit: str, period: str, start: str, end: str, name: str) -> DataFrame:
+    """0/1: does a spell of the unit run in the period, first and last one included.
+
+    The same as flagging the expanded spells, but nothing is expanded.  Of the spells that begin
+    in one period only the latest end counts, and a period is open if an earlier start reaches it.
+    Spells are dealt by unit and start before they are reduced, so that a task holds the groups of
+    its own keys only, not those of all units.  Rows of the panel may repeat.
+    """
+    s, e = F.col(start).cast("long"), F.col(end).cast("long")
+    known = spells.select(F.col(unit).alias("__u"), s.alias("__t"), e.alias("__e")).where("__u IS NOT NULL AND __t <= __e")
+    reach = known.repartition("__u", "__t").groupBy("__u", "__t").agg(F.max("__e").alias("__e"))
+    asked = panel.withColumns({"__u": F.col(unit), "__t": F.col(period).cast("long"), "__asked": F.lit(True)})
+    # A unit has one row per period that a spell begins in, beside the panel's own; a period's own starts count too.
+    so_far = W.partitionBy("__u").orderBy("__t").rangeBetween(W.unboundedPreceding, W.currentRow)
+    both = asked.unionByName(reach, allowMissingColumns=True).withColumn("__until", F.max("__e").over(so_far))
+    is_open = F.coalesce(F.col("__until") >= F.col("__t"), F.lit(False)).cast("int")
+    return both.where("__asked").select(*panel.columns, is_open.alias(name))
+
+
 def spell_count(
     panel: DataFrame,
     spells: DataFrame,

@@ -346,7 +346,7 @@ def e3_spell_flag(spark: SparkSession, sf: str) -> DataFrame:
     ranges = lines.select(
         F.col("l_suppkey").alias("suppkey"), I.month_index("o_orderdate").alias("start"), I.month_index("l_shipdate").alias("end")
     )
-    return spells.spell_flag(panel, spells.expand_spells(ranges, "start", "end", "month"), ["suppkey", "month"], "open")
+    return spells.spell_open(panel, ranges, "suppkey", "month", "start", "end", "open")
 
 
 @query(

@@ -122,3 +122,21 @@ def test_unit_windows_share_one_exchange(rows):
     out = spells.lag_features(spells.time_since(df, "u", "t", "k"), "u", "t", ["x", "k"])
     assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
     assert out.filter(F.lit(True)).count() == 1
+
+
+def test_open_periods_equal_flags_of_expanded_spells(spark):
+    given = [(1, 3, 5), (1, 3, 3), (1, 9, 9), (2, 7, 4), (2, None, 8), (None, 1, 9), (3, 0, 99), (3, 0, 99), (1, 20, None), (4, 1, 2)]
+    rows = spark.createDataFrame(given, "u int, a int, b int")
+    units = spark.createDataFrame([(1,), (2,), (3,), (4,), (4,), (5,), (None,)], "unit int")
+    panel = units.withColumn("t", F.explode(F.expr("concat(sequence(0, 12), array(NULL))")))
+    want = spells.spell_flag(panel, spells.expand_spells(rows.select(F.col("u").alias("unit"), "a", "b"), "a", "b", "t"), ["unit", "t"], "open")
+    got = spells.spell_open(panel, rows.withColumnRenamed("u", "unit"), "unit", "t", "a", "b", "open")
+    key = lambda r: tuple(-1 if v is None else v for v in r)
+    assert sorted(got.collect(), key=key) == sorted(want.collect(), key=key)
+
+
+def test_open_periods_are_found_without_expansion(spark):
+    """A spell of a billion periods, and no join of the panel with periods."""
+    rows = spark.createDataFrame([(1, 0, 10**9)], "unit int, a int, b int")
+    got = spells.spell_open(spark.createDataFrame([(1, 5), (1, -1), (2, 5)], "unit int, t int"), rows, "unit", "t", "a", "b", "open")
+    assert sorted(tuple(r) for r in got.collect()) == [(1, -1, 0), (1, 5, 1), (2, 5, 0)]
