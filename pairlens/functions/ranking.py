@@ -37,14 +37,15 @@ def _range_splits(df: DataFrame, value: str, by: Sequence[str], bucket_values: i
         splits = df.agg(F.percentile_approx(F.col(value).cast("double"), probs, 10 * buckets)).first()[0]
         return [{"splits": sorted(set(splits))}] if splits else []
     sizes = df.groupBy(*by).agg(F.approx_count_distinct(value).alias("n"))
-    large = sizes.where(F.col("n") > bucket_values)
+    # Broadcast, else the join below would bring all rows of a group together in one task.
+    large = bounded(sizes.where(F.col("n") > bucket_values))
     top, groups = large.agg(F.max("n"), F.count(F.lit(1))).first()
     if top is None:
         return []
     # The split table stays below MAX_SPLITS numbers whatever the number of large groups.
     buckets = max(2, min(MAX_BUCKETS, int(top // bucket_values) + 1, MAX_SPLITS // groups))
     probs = [i / buckets for i in range(1, buckets)]
-    keyed = df.join(large.select(*by), list(by), "left_semi") if by else df
+    keyed = df.join(large.select(*by), list(by), "left_semi")
     splits = keyed.groupBy(*by).agg(
         F.percentile_approx(F.col(value).cast("double"), probs, 10 * buckets).alias("splits")
     )

@@ -88,3 +88,28 @@ def test_hash_rank_and_cutoff_agree(rows):
         assert hot == sorted(hot, key=lambda i: (keyed[i], i))
         cut = {r["c"]: r["cut_id"] for r in hash_cutoff(df, "id", ["c"], 3, 0.6, digits=digits).collect()}
         assert cut == {"hot": by_class["hot"][270], "cold": by_class["cold"][30]}
+
+
+def test_splits_of_a_large_group_do_not_bring_its_rows_together(spark, monkeypatch):
+    """Where a group's values are cut, the rows meet the list of large groups by a broadcast at any setting."""
+    from pairlens.functions.ranking import ranked_counts
+
+    kind = type(spark.range(1))
+    plans, join = [], kind.join
+
+    def watched(left, right, on=None, how=None):
+        out = join(left, right, on, how)
+        if how == "left_semi":
+            plans.append(out._jdf.queryExecution().sparkPlan().toString())
+        return out
+
+    monkeypatch.setattr(kind, "join", watched)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.createDataFrame([("a", float(i % 50)) for i in range(300)] + [("b", 1.0)], "g string, x double")
+        got = {(r["g"], r["x"]): (r["cnt"], r["cum"]) for r in ranked_counts(df, "x", ["g"], bucket_values=10).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == {("a", float(i)): (6, 6 * i + 6) for i in range(50)} | {("b", 1.0): (1, 1)}
+    assert plans and all("BroadcastHashJoin" in p for p in plans)
