@@ -52,8 +52,32 @@ def prepared(df: DataFrame, weights: str | None = None, weight: str | None = Non
     return df.select(*columns, *(c.alias(n) for n, c in more.items()))
 
 
+def packed_counts(counts: np.ndarray) -> pa.Array:
+    """One binary value a row (rows x samples), each count in as many bytes as the largest needs."""
+    small = counts.astype(np.min_scalar_type(counts.max(initial=0)))
+    return pa.array([r.tobytes() for r in small], pa.binary())
+
+
+def unpacked_counts(column: pa.Array, samples: int) -> np.ndarray:
+    """The counts of ``packed_counts``; rows may have been packed apart, in numbers of other widths."""
+    column = column.cast(pa.binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    data, width = np.frombuffer(column.buffers()[2], np.uint8), np.diff(offsets) // samples
+    out = np.empty((len(column), samples))
+    for size in np.unique(width).tolist():
+        mine = np.flatnonzero(width == size)
+        if len(mine) == len(column):
+            flat = data[offsets[0] : offsets[-1]]
+        else:
+            flat = np.concatenate([data[offsets[i] : offsets[i + 1]] for i in mine])
+        out[mine] = flat.view(f"u{size}").reshape(len(mine), samples)
+    return out
+
+
 def _weight_matrix(batch: pa.RecordBatch, samples: int) -> np.ndarray:
     w = batch.column("w").to_numpy(zero_copy_only=False)
+    if "drawn" in batch.schema.names:
+        return unpacked_counts(batch.column("drawn"), samples) * w[:, None]
     if "samples" not in batch.schema.names:
         return np.repeat(w[:, None], samples, axis=1)
     lists = batch.column("samples")
@@ -97,10 +121,12 @@ def _scan(rows: DataFrame, beta: np.ndarray, samples: int, of: np.ndarray, cente
             used = w.any(axis=1)
             x, y, w = x[used], y[used], w[used]
             s = x @ beta.T
-            p = 1.0 / (1.0 + np.exp(-np.clip(s, -500, 500)))
-            out[0] += (w * np.logaddexp(0.0, np.where(y == 1, -s, s))).sum(axis=0)
+            e = np.exp(-np.abs(s))
+            p = np.where(s >= 0, 1.0, e) / (1.0 + e)
+            # log(1 + exp(s)) - y * s, by the smaller exponential.
+            out[0] += np.einsum("rf,rf->f", w, np.maximum(s, 0.0) - y * s + np.log1p(e))
             out[1 : 1 + k] += x.T @ (w * (p - y))
-            out[1 + k :] += (x[:, low] * x[:, high]).T @ (w * p * (1.0 - p))
+            out[1 + k :] += (x[:, low] * x[:, high]).T @ (w * (e / (1.0 + e) ** 2))
 
     out = task_sums(rows, size * fits, add).reshape(size, fits)
     curve = np.zeros((fits, k, k))

@@ -4,12 +4,17 @@ known class: complete cases come first."""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import bounded, exact_quantiles, hash_cutoff, hash_rank, md5_key, seeded_draw
 
+# Rows of a class whose draws are counted together, and draws a row from which on counts are drawn instead.
+DRAW_BLOCK, MANY_DRAWS = 4096, 16
+
 
 def stratified_split(
     df: DataFrame, target: str, share: float, seed: int | str, row_id: str, name: str = "in_split"
@@ -89,6 +94,30 @@ def draw_counts(
     return ranked.join(counted, [target, "__rank"]).select(row_id, "n_draws")
 
 
+def block_draws(draws: np.ndarray, size: int, block: int, seed: int | str) -> np.ndarray:
+    """How often each row of a block is drawn (fits x rows), where fit f draws ``draws[f]`` of ``size`` rows with replacement.
+
+    The blocks of ``DRAW_BLOCK`` rows are halved until this one is left.  At each halving a binomial
+    draw says how many draws of each fit fall into the lower half; its seed is the place of the halving
+    alone, so all blocks agree on it, each is found by itself, and together they hold every draw once.
+    """
+    low, high, n = 0, -(-size // DRAW_BLOCK), np.asarray(draws, dtype=np.int64)
+    rows = lambda a, b: min(b * DRAW_BLOCK, size) - a * DRAW_BLOCK
+    rng = lambda: np.random.default_rng(int.from_bytes(hashlib.md5(f"{seed}:{low}:{high}".encode()).digest(), "big"))
+    while high - low > 1:
+        mid = (low + high) // 2
+        below = rng().binomial(n, rows(low, mid) / rows(low, high))
+        if block < mid:
+            n, high = below, mid
+        else:
+            n, low = n - below, mid
+    mine, random = rows(low, high), rng()
+    even, out = np.full(mine, 1.0 / mine), np.empty((len(n), mine), dtype=np.int64)
+    for f, k in enumerate(n):
+        out[f] = random.multinomial(k, even) if k > MANY_DRAWS * mine else np.bincount(random.integers(0, mine, k, dtype=np.int32), minlength=mine)
+    return out
+
+
 def resample(
     df: DataFrame,
     target: str,

@@ -9,15 +9,17 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions import hash_rank, seeded_draw
+from ..functions import hash_rank
 from ..session import materialize
-from .batch_logit import fit_logits, fold_samples, held_out_loss, linear_probability, prepared, score_fits
+from .batch_logit import fit_logits, fold_samples, held_out_loss, linear_probability, packed_counts, prepared, score_fits
 from .models import FAMILIES, Family, Scorer
-from .sampling import class_sizes
+from .sampling import DRAW_BLOCK, block_draws, class_sizes
 from .scoring import auc, log_loss, log_loss_term, row_weight
 
 
@@ -183,10 +185,10 @@ def downsample_curve(
 ) -> DataFrame:
     """Log-loss and AUC on held-out rows for logits fitted on bootstraps of several class ratios.
 
-    The training rows are ranked once.  A bootstrap is a count per drawn rank, and a row carries
-    the counts of all fits that drew it.  All fits take their Newton steps together, one scan of
-    the drawn rows each, ``MAX_SCANS`` at most (a bootstrap whose classes separate stops there);
-    two scans of the held-out rows score them all.
+    The training rows are ranked once, and the draws of a block of ranks are counted where its rows
+    are: no draw is moved, and a row carries one number per fit.  All fits take their Newton steps
+    together, one scan of the drawn rows each, ``MAX_SCANS`` at most (a bootstrap whose classes
+    separate stops there); two scans of the held-out rows score them all.
     """
     spark = train.sparkSession
     sizes = class_sizes(train, "label")
@@ -195,17 +197,19 @@ def downsample_curve(
         raise ValueError("both classes are needed")
     wanted = [float(r) for r in ratios] + ([n0 / n1] if natural else [])
     ranked = hash_rank(train.select("row_id", "label", "features"), "row_id", ["label"], seed, "__rank")
-    draws = None
-    for i, ratio in enumerate(wanted):
-        for value, n, size in ((1.0, n1, n1), (0.0, int(n1 * ratio), n0)):
-            rep, nth = F.floor(F.col("id") / F.lit(max(n, 1))), F.col("id") % F.lit(max(n, 1))
-            index = seeded_draw(f"{seed}:{ratio}", (rep + 1).cast("int"), F.lit(str(value)), nth) % F.lit(size) + 1
-            part = spark.range(n * reps).select(F.lit(value).alias("label"), index.alias("__rank"), (F.lit(i * reps) + rep).cast("int").alias("sample"))
-            draws = part if draws is None else draws.unionByName(part)
-    counted = draws.groupBy("label", "__rank", "sample").agg(F.count(F.lit(1)).cast("double").alias("count"))
-    # A row is drawn by each fit at most once after counting, so its list is as long as there are fits.
-    drawn = counted.groupBy("label", "__rank").agg(F.collect_list(F.struct("sample", "count")).alias("draws"))
-    rows = materialize(prepared(ranked.join(drawn, ["label", "__rank"]), "draws"), "bootstraps", rebalance=True)
+    place = F.col("__rank") - 1
+    blocks = prepared(ranked.where("label IN (0, 1)"), block=F.floor(place / DRAW_BLOCK), place=place % DRAW_BLOCK)
+    n = {1.0: np.full(len(wanted) * reps, n1), 0.0: np.repeat([int(n1 * r) for r in wanted], reps)}
+
+    def count(table: pa.Table) -> pa.Table:
+        label, block = (table.column(c)[0].as_py() for c in ("label", "block"))
+        drawn = block_draws(n[label], sizes[label], block, f"{seed}:{label}").T[table.column("place").to_numpy()]
+        used = drawn.any(axis=1)
+        return table.select(["label", "x", "w"]).filter(pa.array(used)).append_column("drawn", packed_counts(drawn[used]))
+
+    counted = blocks.groupBy("label", "block").applyInArrow(count, blocks.select("label", "x", "w", F.lit(b"").alias("drawn")).schema)
+    # As many files as tasks run at once, since a scan costs by the row and not by the byte.
+    rows = materialize(counted.repartition(2 * spark.sparkContext.defaultParallelism), "bootstraps")
     fits = fit_logits(rows, len(wanted) * reps, max_scans=MAX_SCANS)
     scored = score_fits(materialize(prepared(evaluation), "held-out", rebalance=True), fits)
     table = [(wanted[i // reps], i % reps + 1, loss, area) for i, (loss, area) in enumerate(scored)]

@@ -1,10 +1,13 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from pairlens.operators import batch_logit as B
+from pairlens.operators import sampling as G
+from pairlens.operators import validation as V
 from pairlens.operators.scoring import auc, log_loss
 
 
@@ -98,3 +101,39 @@ def test_ties_count_half(spark):
     got = [a for _, a in B.score_fits(B.prepared(frame), fits)]
     scored = B.scored_by(B.prepared(frame), [1.0], 0.0)
     assert got[0] == auc(scored, "label", "p").first()[0] == 4 / 6 and got[1] == pytest.approx(1 - 4 / 6)
+
+
+def test_block_draws_hold_every_draw_once():
+    draws = np.array([0, 1, 9_999, 30_000, 2_000_000])
+    size = 2 * G.DRAW_BLOCK + 900
+    parts = [G.block_draws(draws, size, b, "7:1.0") for b in (2, 0, 1)]
+    counts = np.concatenate([parts[1], parts[2], parts[0]], axis=1)
+    assert counts.shape == (5, size) and (counts.sum(axis=1) == draws).all()
+    assert (G.block_draws(draws, size, 1, "7:1.0") == parts[2]).all() and (G.block_draws(draws, size, 1, "8:1.0") != parts[2]).any()
+    # Every row is drawn as often as any other, up to chance.
+    for f in (3, 4):
+        even = draws[f] / size
+        assert abs(counts[f].var() / even - 1) < 0.1
+        assert abs(parts[0][f].mean() / even - 1) < 6 / np.sqrt(900 * even)
+
+
+def test_packed_counts_equal_lists(spark, data):
+    frame, x, y, draws = data
+    small, large = B.packed_counts(draws), B.packed_counts(draws * 300)
+    mixed = pa.concat_arrays([small, large])
+    assert (B.unpacked_counts(mixed, 6) == np.concatenate((draws, draws * 300))).all()
+    assert (B.unpacked_counts(mixed.slice(1199, 2), 6) == [draws[-1], draws[0] * 300]).all()
+
+
+def test_the_curve_makes_no_row_for_a_draw(spark, data, monkeypatch):
+    frame = data[0].select("row_id", "label", "features")
+    written = []
+    monkeypatch.setattr(V, "materialize", lambda df, label, rebalance=False: written.append((label, df)) or df.cache())
+    curve = V.downsample_curve(frame, frame, ratios=(1, 3), reps=2).collect()
+    assert len(curve) == 6 and all(0 < r["log_loss"] < 5 and 0.5 < r["auc"] <= 1 for r in curve)
+    rows = dict(written)["bootstraps"]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "Range" not in plan and rows.count() <= frame.count()
+    counts = np.stack([np.frombuffer(r["drawn"], np.uint8) for r in rows.collect()])
+    positives = int(data[2].sum())
+    assert counts.sum(axis=0).tolist()[:4] == [2 * positives] * 2 + [4 * positives] * 2
