@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import flag
 
@@ -58,6 +60,33 @@ def dummy_encode(df: DataFrame, cat: str, levels: Sequence[str], drop: bool = Tr
     return out.drop(cat) if drop else out
 
 
+BYTES = np.arange(256)
+BLANKS, DIGITS, CAPITALS = np.isin(BYTES, list(b" \t\n\x0b\f\r")), np.isin(BYTES, list(b"0123456789")), (BYTES >= ord("A")) & (BYTES <= ord("Z"))
+
+
+def count_characters(texts: pa.Array) -> pa.Array:
+    """``blanks`` (runs of ASCII white space), ``breaks`` (newlines), ``digits`` and ``capitals`` (A-Z) of every text; null texts: null.
+
+    Bytes are looked at, which is exact as UTF-8 uses none of these within other characters.
+    """
+    texts = texts.cast(pa.large_string())
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    ends = ends - ends[0]
+    blank = BLANKS[data]
+    runs = blank.copy()
+    runs[1:] &= ~blank[:-1]
+    first = ends[:-1][ends[:-1] < ends[1:]]
+    runs[first] = blank[first]
+    null = texts.is_null().to_numpy(zero_copy_only=False)
+    marked = {"blanks": runs, "breaks": data == ord("\n"), "digits": DIGITS[data], "capitals": CAPITALS[data]}
+    counts = [pa.array(np.diff(np.searchsorted(np.flatnonzero(m), ends)), pa.int64(), mask=null) for m in marked.values()]
+    return pa.StructArray.from_arrays(counts, names=list(marked))
+
+
+character_counts = F.arrow_udf(count_characters, T.StructType([T.StructField(c, T.LongType()) for c in ("blanks", "breaks", "digits", "capitals")]))
+
+
 def model_frame(df: DataFrame, row_id: str, label: Column, features: Sequence[str], weight: str | None = None) -> DataFrame:
     """``row_id, label, features[, weight]`` as the fits expect them."""
     cols = [F.col(row_id).alias("row_id"), label.cast("double").alias("label")]

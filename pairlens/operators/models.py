@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from itertools import product
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
     GBTClassifier,
@@ -23,11 +23,12 @@ from pyspark.ml.classification import (
     NaiveBayes,
     RandomForestClassifier,
 )
-from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler, VectorSlicer
+from pyspark.ml.feature import PCA, StandardScaler, VectorSlicer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import exact_quantiles
+from ..functions.arrays import matrix
 from ..session import materialize
 from .adaboost import fit_stumps, stump_scorer
 from .batch_logit import fit_logits, linear_probability, prepared
@@ -157,44 +158,46 @@ def _fit_splines(train: DataFrame, params: Mapping, seed: int) -> Scorer:
 # --- radial support vector machine ------------------------------------------------------
 
 
-def fourier_features(size: int, n: int, gamma: float, seed: int) -> Callable[[DataFrame], DataFrame]:
-    """Random cosine features whose inner product approximates exp(-gamma |x - y|^2)."""
+def fourier_cosines(size: int, n: int, gamma: float, seed: int) -> Callable[[np.ndarray], np.ndarray]:
+    """Random cosines of the rows of a matrix; their inner products approximate exp(-gamma |x - y|^2)."""
     rng = np.random.default_rng(seed)
     w = rng.normal(scale=np.sqrt(2 * gamma), size=(size, n))
     b = rng.uniform(0, 2 * np.pi, size=n)
+    return lambda x: np.sqrt(2 / n) * np.cos(x @ w + b)
 
-    @F.pandas_udf("array<double>")
-    def project(x: pd.Series) -> pd.Series:
-        z = np.sqrt(2 / n) * np.cos(np.stack(x.to_numpy()) @ w + b) if len(x) else np.empty((0, n))
-        return pd.Series(list(z))
 
+def fourier_features(size: int, n: int, gamma: float, seed: int) -> Callable[[DataFrame], DataFrame]:
+    """Random cosine features whose inner product approximates exp(-gamma |x - y|^2)."""
+    cosines = fourier_cosines(size, n, gamma, seed)
+
+    def project(x: pa.Array) -> pa.Array:
+        z = cosines(matrix(x)) if len(x) else np.empty((0, n))
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, z.size + 1, n), pa.int32()), pa.array(z.ravel()))
+
+    project = F.arrow_udf(project, T.ArrayType(T.DoubleType()))
     return lambda df: df.withColumn("features", array_to_vector(project(vector_to_array("features"))))
 
 
 def _fit_svm(train: DataFrame, params: Mapping, seed: int) -> Scorer:
     scale = preprocess(train, pca_variance=None)
     size = train.select(F.size(vector_to_array("features"))).first()[0]
-    lift = fourier_features(size, params.get("n_features", 100), params.get("gamma", 1.0 / size), seed)
+    space = (size, params.get("n_features", 100), params.get("gamma", 1.0 / size), seed)
     base = F.col("weight") if "weight" in train.columns else F.lit(1.0)
     counts = {r[0]: r[1] for r in train.groupBy("label").agg(F.sum(base)).collect()}  # two classes
     heavy = params.get("positive_weight", counts.get(0.0, 1.0) / (counts.get(1.0) or 1.0))
-    lifted = lift(scale(train)).withColumn("__w", base * F.when(F.col("label") == 1, F.lit(float(heavy))).otherwise(1.0))
-    svm = LinearSVC(weightCol="__w", regParam=params.get("reg", 0.01), maxIter=50).fit(lifted)
+    weighted = train.withColumn("__w", base * F.when(F.col("label") == 1, F.lit(float(heavy))).otherwise(1.0))
+    svm = LinearSVC(weightCol="__w", regParam=params.get("reg", 0.01), maxIter=50).fit(fourier_features(*space)(scale(weighted)))
+    cosines, normal, offset = fourier_cosines(*space), svm.coefficients.toArray(), svm.intercept
 
-    def margin(df: DataFrame) -> DataFrame:
-        out = svm.transform(df).withColumn("__m", vector_to_array("rawPrediction")[1])
-        return VectorAssembler(inputCols=["__m"], outputCol="__margin").transform(out).drop(
-            "rawPrediction", "prediction"
-        )
+    def margin(x: pa.Array) -> pa.Array:
+        return pa.array(cosines(matrix(x)) @ normal + offset if len(x) else np.empty(0))
 
+    # The cosines of a row are used where they are made; only its margin leaves the task.
+    margin = F.arrow_udf(margin, T.DoubleType())
     platt = LogisticRegression(featuresCol="__margin", maxIter=50)
-    calibrated = _weighted(platt, train).fit(margin(lifted))
-    return _on_transformed(
-        lambda df: margin(lift(scale(df))),
-        lambda df: calibrated.transform(df).withColumn("p", _probability()).drop(
-            "rawPrediction", "probability", "prediction", "__margin", "__m"
-        ),
-    )
+    calibrated = _weighted(platt, train).fit(scale(train).withColumn("__margin", array_to_vector(F.array(margin(vector_to_array("features"))))))
+    slope, start = float(calibrated.coefficients[0]), float(calibrated.intercept)
+    return _on_transformed(scale, lambda df: df.withColumn("p", linear_probability(F.array(margin(vector_to_array("features"))), [slope], start)))
 
 
 # --- neural networks ---------------------------------------------------------------------

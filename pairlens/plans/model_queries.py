@@ -36,19 +36,19 @@ FEATURES = ("len", "words", "lines", "digits", "upper", "lang_de", "lang_es", "l
 
 def document_features(spark: SparkSession, sf: str) -> DataFrame:
     """``doc_id, toxic`` and features of the whole text of every document; ``toxic`` is NULL where it is unknown."""
-    docs = I.table(spark, sf, "documents").select("doc_id", "text", "lang", "n_chars")
-    rows = docs.join(I.table(spark, sf, "labels").select("doc_id", "toxic"), "doc_id", "left")
+    docs = I.table(spark, sf, "documents").withColumn("found", X.character_counts("text"))
     size = F.greatest(F.length("text"), F.lit(1))
-    rows = rows.select(
+    # Texts become numbers before rows are joined, so that they are not shuffled.
+    docs = docs.select(
         "doc_id",
-        "toxic",
         "lang",
         F.ln(F.col("n_chars") + 1).alias("len"),
-        (F.regexp_count("text", F.lit(r"\s+")) / size).alias("words"),
-        F.ln(F.regexp_count("text", F.lit("\n")) + 1).alias("lines"),
-        (F.regexp_count("text", F.lit("[0-9]")) / size).alias("digits"),
-        (F.regexp_count("text", F.lit("[A-Z]")) / size).alias("upper"),
+        (F.col("found.blanks") / size).alias("words"),
+        F.ln(F.col("found.breaks") + 1).alias("lines"),
+        (F.col("found.digits") / size).alias("digits"),
+        (F.col("found.capitals") / size).alias("upper"),
     )
+    rows = docs.join(I.table(spark, sf, "labels").select("doc_id", "toxic"), "doc_id", "left")
     return X.dummy_encode(rows, "lang", LANGS)
 
 

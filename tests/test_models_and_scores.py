@@ -242,3 +242,30 @@ def test_ensemble_weights_beat_a_fine_grid(spark):
     assert mine <= grid + 1e-7 and all(mine <= loss(e) + 1e-9 for e in np.eye(3))
     less = ablate(preds, ["a", "b", "c"], ["a"]).first()
     assert less["dropped"] == "a" and less["log_loss"] >= mine - 1e-9
+
+
+def test_radial_svm_scores_equal_the_chain_of_models(frame):
+    from pyspark.ml.classification import LinearSVC, LogisticRegression
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    scaled = M.preprocess(frame, pca_variance=None)(frame)
+    lifted = M.fourier_features(3, 100, 1 / 3, 5)(scaled)
+    heavy = frame.where("label = 0").count() / frame.where("label = 1").count()
+    svm = LinearSVC(weightCol="w", regParam=0.1, maxIter=50).fit(lifted.withColumn("w", F.when(F.col("label") == 1, heavy).otherwise(1.0)))
+    margin = svm.transform(lifted).select("row_id", "label", F.slice(vector_to_array("rawPrediction"), 2, 1).alias("m"))
+    margin = margin.withColumn("features", array_to_vector("m"))
+    want = LogisticRegression(maxIter=50).fit(margin).transform(margin).select("row_id", vector_to_array("probability")[1].alias("p"))
+    scored = M.FAMILIES["radial_svm"].fit(frame, {"reg": 0.1}, 5)(frame)
+    want, got = as_dict(want, "row_id", "p"), as_dict(scored, "row_id", "p")
+    assert got.keys() == want.keys() and all(math.isclose(got[i], want[i], abs_tol=1e-4) for i in want)
+    # The 100 cosines of a row do not leave the task that makes them.
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert "margin(" in plan and "project(" not in plan
+
+
+def test_character_counts_equal_patterns(spark):
+    texts = ["", None, "  a\tB\n\n1 ", "\x0b\x0c\r\x1c\x85 Äé 9", "A\n", "\nA", "x", " "]
+    patterns = {"blanks": r"\s+", "breaks": "\n", "digits": "[0-9]", "capitals": "[A-Z]"}
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1).withColumn("found", X.character_counts("text"))
+    got = rows.select(*(F.col(f"found.{c}").eqNullSafe(F.regexp_count("text", F.lit(p))) for c, p in patterns.items())).collect()
+    assert len(got) == len(texts) and all(all(r) for r in got)
