@@ -37,9 +37,9 @@ HELD, STEPS = 1 << 20, 64
 EMPTY = -30.0
 # Bits of a hash that words are looked up by.
 LEADING = 20
-# Numbers up to here have exponentials that add up well, and how many positions of a node are worked on together.
+# Numbers up to here have exponentials that add up well, and the numbers of positions that a node's are filled up to.
 LARGE = 60.0
-TOGETHER = np.append([1, 2, 4, 16], 2 ** np.arange(5, 32))
+TOGETHER = np.append([1, 2, 3, 4], np.outer(2 ** np.arange(1, 30), [3, 4]).ravel())
 
 
 @dataclass
@@ -81,14 +81,19 @@ class Vocabulary:
             return np.zeros(len(hashes), dtype=np.int64)
         if self.leading is None:
             # Where the known words with the same leading bits begin; mostly there is one at most.
-            self.leading = np.searchsorted(self.hash, np.arange(1 << LEADING, dtype=np.uint64) << np.uint64(64 - LEADING)).astype(np.int32)
-            self.most = int(np.diff(np.append(self.leading, len(self.hash))).max())
-        first = self.leading.take((hashes >> np.uint64(64 - LEADING)).view(np.int64))
-        last, found = len(self.hash) - 1, np.full(len(hashes), len(self.hash), dtype=np.int64)
-        for step in range(self.most):
-            at = np.minimum(first + step, last)
-            hit = self.hash.take(at) == hashes
-            found[hit] = at[hit]
+            n = np.bincount((self.hash >> np.uint64(64 - LEADING)).view(np.int64), minlength=1 << LEADING)
+            self.leading, self.most = (np.cumsum(n) - n).astype(np.int32), int(n.max())
+        at, unknown = self.leading.take((hashes >> np.uint64(64 - LEADING)).view(np.int64)), len(self.hash)
+        np.minimum(at, unknown - 1, out=at)
+        hit = self.hash.take(at) == hashes
+        found = np.where(hit, at, unknown).astype(np.int64)
+        # Few words are not the first known one with their leading bits.
+        rest, at = np.flatnonzero(~hit), at[~hit]
+        for _ in range(1, self.most):
+            at = np.minimum(at + 1, unknown - 1)
+            hit = self.hash.take(at) == hashes.take(rest)
+            found[rest[hit]] = at[hit]
+            rest, at = rest[~hit], at[~hit]
         return found
 
 
@@ -167,55 +172,115 @@ def _shifted_exp(z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return z, shift, z @ np.ones(z.shape[1], dtype=z.dtype)
 
 
-def _visits(node: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Nodes (sorted, one for each entry) and the entries of each, filled up with one that is not there.
+def _shares(z: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """The log of what the softmax of each row gives to the choice, whose number in ``z`` is ``chosen``; spoils ``z``."""
+    picked = z.ravel().take(chosen)
+    _, shift, total_ = _shifted_exp(z)
+    return picked - (shift + np.log(total_)).take(chosen // z.shape[1])
 
-    Nodes with 1, 2, 3 to 4, 5 to 8 and so on entries come together, so that a batch costs a few
-    products of stacks of matrices.
-    """
-    begin = np.flatnonzero(np.append(True, node[1:] != node[:-1])[: len(node)])
-    n = np.diff(np.append(begin, len(node)))
-    wide = np.searchsorted(TOGETHER, n)
-    for size in np.flatnonzero(np.bincount(wide)).tolist():
-        mine = np.flatnonzero(wide == size)
-        step, first = np.arange(TOGETHER[size]), begin[mine]
-        yield node[first], np.where(step < n[mine, None], first[:, None] + step, len(node))
+
+def _lower(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two lower steps to each of the sorted places, one after the other: nodes (sorted), and what is chosen there."""
+    _, twig, leaf = choices(place)
+    return np.append(place // (TWIGS * LEAVES), BRANCHES + place // LEAVES), np.append(twig, leaf)
+
+
+def _changes(node: np.ndarray) -> np.ndarray:
+    """Where another node begins."""
+    return np.flatnonzero(np.append(True, node[1:] != node[:-1])[: len(node)])
 
 
-def _lower(place: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The two lower steps to each place (sorted), one after the other: nodes, what is chosen there, and hidden units with a 1.
+def _units(h: np.ndarray) -> np.ndarray:
+    """The hidden units that the two lower softmaxes read, with a 1."""
+    out = np.ones((len(h), LOWER_UNITS + 1), dtype=h.dtype)
+    out[:, :-1] = h[:, :LOWER_UNITS]
+    return out
+
 
-    The last row is that of the entry that is not there: zeros, so that it moves nothing.
+@dataclass
+class Stacks:
+    """The two lower steps to each of the sorted places, with those at one node next to each other.
+
+    ``node`` has the nodes that are met, those with few positions first.  Nodes with 1, 2, 3, 4, 5 to 6,
+    7 to 8 and so on positions are filled up to the same number of rows by rows of zeros, which move
+    nothing, so a group of them is a stack of matrices and a batch costs a few products of stacks:
+    ``groups`` has the nodes and the rows of each.  ``row`` is where a position's two steps stand,
+    ``units`` the hidden units with a 1 in each row, and ``chosen`` the number of each step's choice.
     """
-    _, twig, leaf = choices(place)
-    units = np.zeros((2 * len(h) + 1, LOWER_UNITS + 1), dtype=h.dtype)
-    for half in (units[: len(h)], units[len(h) : -1]):
-        half[:, :-1], half[:, -1] = h[:, :LOWER_UNITS], 1.0
-    return np.append(place // (TWIGS * LEAVES), BRANCHES + place // LEAVES), np.concatenate((twig, leaf, [0])), units
+
+    node: np.ndarray
+    groups: list[tuple[slice, slice]]
+    row: np.ndarray
+    units: np.ndarray
+    chosen: np.ndarray
+
+    @staticmethod
+    def of(place: np.ndarray, h: np.ndarray) -> Stacks:
+        node, chosen = _lower(place)
+        begin = _changes(node)
+        n = np.diff(np.append(begin, len(node)))
+        wide = np.searchsorted(TOGETHER, n)
+        few = np.argsort(wide.astype(np.uint8), kind="stable")
+        size, groups, i, a = TOGETHER[wide[few]], [], 0, 0
+        for k, many in enumerate(np.bincount(wide).tolist()):
+            if many:
+                j, b = i + many, a + many * int(TOGETHER[k])
+                groups.append((slice(i, j), slice(a, b)))
+                i, a = j, b
+        first = np.empty_like(begin)
+        first[few] = np.cumsum(size) - size
+        row = np.repeat(first - begin, n) + np.arange(len(node))
+        # The last entry is that of the rows of zeros.
+        source = np.full(a, len(h))
+        source[row] = np.tile(np.arange(len(h)), 2)
+        units = np.append(_units(h), np.zeros((1, LOWER_UNITS + 1), dtype=h.dtype), axis=0).take(source, axis=0)
+        return Stacks(node[begin[few]], groups, row, units, row * LEAVES + chosen)
+
+    def each(self, *rows: np.ndarray) -> Iterator[tuple]:
+        """For each group the numbers of its nodes, and its part of the arrays of rows as stacks of matrices."""
+        for nodes, part in self.groups:
+            yield nodes, *(r[part].reshape(nodes.stop - nodes.start, -1, r.shape[1]) for r in rows)
+
+    def logits(self, w: np.ndarray) -> np.ndarray:
+        """The numbers of each row's softmax, by the matrices of the nodes."""
+        z = np.empty((len(self.units), LEAVES), dtype=w.dtype)
+        for nodes, h, out in self.each(self.units, z):
+            np.matmul(h, w[nodes], out=out)
+        return z
 
 
 def _hidden(weights: list[np.ndarray], given: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The inputs and the hidden layer."""
     x = weights[0].take(given, axis=0).reshape(len(given), -1)
-    return x, np.tanh(x @ weights[1] + weights[2])
+    h = x @ weights[1]
+    h += weights[2]
+    return x, np.tanh(h, out=h)
+
+
+def _top(weights: list[np.ndarray], h: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of the branches' softmax, and which of them are the choices."""
+    z = h @ weights[3]
+    z += weights[4]
+    return z, np.arange(len(place)) * BRANCHES + choices(place)[0]
 
 
 def path_log_probability(weights: list[np.ndarray], given: np.ndarray, place: np.ndarray) -> np.ndarray:
     """The log probability of each place (sorted): the sum over the three choices on the way to it."""
+    _, h = _hidden(weights, given)
+    node, chosen = _lower(place)
+    units, n = _units(h), len(h)
+    z = np.empty((2 * n, LEAVES), dtype=h.dtype)
+    # Sorted positions have many in a row at the same node.
+    begin = _changes(node).tolist()
+    for i, j, met in zip(begin, [*begin[1:], 2 * n], node[begin].tolist()):
+        np.matmul(units[i % n : i % n + j - i], weights[5][met], out=z[i:j])
+    lower = _shares(z, np.arange(2 * n) * LEAVES + chosen)
+    return _shares(*_top(weights, h, place)) + lower[:n] + lower[n:]
 
-    def log_share(z: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-        picked = z[np.arange(len(z)), chosen]
-        _, shift, total_ = _shifted_exp(z)
-        return picked - shift - np.log(total_)
 
-    _, h = _hidden(weights, given)
-    node, chosen, units = _lower(place, h)
-    lower = np.empty(len(units))
-    for met, at in _visits(node):
-        z = units.take(at, axis=0) @ weights[5].take(met, axis=0)
-        lower[at] = log_share(z.reshape(at.size, -1), chosen.take(at.ravel())).reshape(at.shape)
-    top = log_share(h @ weights[3] + weights[4], choices(place)[0])
-    return top + lower[: len(place)] + lower[len(place) : -1]
+def in_order(place: np.ndarray) -> np.ndarray:
+    """The numbers of the positions by their places; numbers this short are sorted by digits."""
+    return np.argsort(place.astype(np.min_scalar_type(PLACES - 1)), kind="stable")
 
 
 def choices(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -277,19 +342,18 @@ def signs(hashes: np.ndarray) -> np.ndarray:
 def _neighbours(shared, text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, vectors = shared.value
-        out = np.zeros((len(vectors), NEIGHBOUR))
+        out = np.zeros((NEIGHBOUR, len(vectors)))
         # The vector of no word stands between two texts.
-        padded = np.append(vectors, np.zeros((1, NEIGHBOUR), dtype=np.float32), axis=0)
+        padded = np.ascontiguousarray(np.append(vectors, np.zeros((1, NEIGHBOUR), dtype=np.float32), axis=0).T)
         for batch in batches:
             for part in chunks(batch, text):
                 w = words(part.column(text), BLANK, LOWER)
                 ids = vocabulary.ids(w.hash)
                 line, where = line_up(ids, w.doc, len(vectors))
-                v = padded[line]
-                near = (v[1:-3] + v[3:-1] + v[:-4] + v[4:])[where - 2]
                 for j in range(NEIGHBOUR):
-                    out[:, j] += np.bincount(ids, near[:, j], len(vectors))
-        yield blocks(out, task_number())
+                    v = padded[j].take(line)
+                    out[j] += np.bincount(ids, (v[1:-3] + v[3:-1] + v[:-4] + v[4:]).take(where - 2), len(vectors))
+        yield blocks(out.T, task_number())
 
     return run
 
@@ -343,52 +407,57 @@ def start_memory() -> list[np.ndarray]:
 
 
 def _errors(z: np.ndarray, chosen: np.ndarray) -> None:
-    """What the softmax of each row says of the choice, less the choice; in place."""
-    z /= _shifted_exp(z)[2][:, None]
-    z[np.arange(len(z)), chosen] -= 1.0
+    """What the softmax of each row gives the choices, less those made, whose numbers in ``z`` are ``chosen``; in place."""
+    z *= (1.0 / _shifted_exp(z)[2])[:, None]
+    z.reshape(-1)[chosen] -= 1.0
 
 
 def _step(weights: list[np.ndarray], memory: list[np.ndarray], given: np.ndarray, place: np.ndarray, rate: float) -> None:
     """One Adagrad step on the cross-entropy of the three choices; the weights change in place."""
-    order = np.argsort(place, kind="stable")
+    order = in_order(place)
     given, place = given.take(order, axis=0), place.take(order)
     x, h = _hidden(weights, given)
-    top = h @ weights[3] + weights[4]
-    _errors(top, choices(place)[0])
+    top, chosen = _top(weights, h, place)
+    _errors(top, chosen)
     back = top @ weights[3].T
-    lower = _lower_step(weights[5], memory[5], *_lower(place, h), rate)
-    back[:, :LOWER_UNITS] += lower[: len(h), :-1] + lower[len(h) : -1, :-1]
-    back *= (1 - h * h) / len(place)
-    inputs = (back @ weights[1].T).reshape(-1, DIM)
-    embed = np.stack([np.bincount(given.ravel(), inputs[:, j], INPUTS) for j in range(DIM)], axis=1).astype(np.float32)
-    top /= len(place)
-    for w, m, g in zip(weights, memory, (embed, x.T @ back, back.sum(axis=0), h.T @ top, top.sum(axis=0))):
+    back[:, :LOWER_UNITS] += _lower_step(weights[5], memory[5], Stacks.of(place, h), rate)
+    one, share = np.ones(len(place), dtype=h.dtype), h.dtype.type(1 / len(place))
+    ahead, bias = h.T @ top, one @ top
+    h *= h
+    np.subtract(1.0, h, out=h)
+    h *= share
+    back *= h
+    # One row for each word around and dimension, as long as the batch.
+    at = given.T[:, None] + np.arange(DIM)[:, None] * INPUTS
+    embed = np.bincount(at.ravel(), (weights[1] @ back.T).ravel(), INPUTS * DIM).reshape(DIM, INPUTS).T.astype(np.float32, order="C")
+    for w, m, g in zip(weights, memory, (embed, x.T @ back, one @ back, ahead * share, bias * share)):
         m += g * g
-        w -= rate * g / np.sqrt(m)
-
-
-def _errors(z: np.ndarray, chosen: np.ndarray) -> None:
-    """What the softmax of each row gives the choices, less the one made; in place."""
-    z /= _shifted_exp(z)[2][:, None]
-    z[np.arange(len(z)), chosen] -= 1.0
-
-
-def _lower_step(w: np.ndarray, memory: np.ndarray, node: np.ndarray, chosen: np.ndarray, units: np.ndarray, rate: float) -> np.ndarray:
-    """The step of the nodes that the batch passes through, each by the sum over its own positions; gives what their errors say of ``units``."""
-    back = np.empty_like(units)
-    for met, at in _visits(node):
-        old, h = w.take(met, axis=0), units.take(at, axis=0)
-        error = h @ old
-        _errors(error.reshape(at.size, -1), chosen.take(at.ravel()))
-        back[at] = error @ old.transpose(0, 2, 1)
-        g = np.einsum("ncu,ncl->nul", h, error) if at.shape[1] == 1 else h.transpose(0, 2, 1) @ error
-        m = memory.take(met, axis=0)
-        m += g[:, -1] * g[:, -1]
-        memory[met] = m
-        g *= (rate / np.sqrt(m))[:, None, :]
-        old -= g
-        w[met] = old
-    return back
+        g *= rate
+        g /= np.sqrt(m)
+        w -= g
+
+
+def _lower_step(w: np.ndarray, memory: np.ndarray, stacks: Stacks, rate: float) -> np.ndarray:
+    """The step of the nodes that the batch passes through, each by the sum over its own positions; gives what their errors say of the hidden units."""
+    old = w.take(stacks.node, axis=0)
+    error = stacks.logits(old)
+    _errors(error, stacks.chosen)
+    back, g = np.empty((len(error), LOWER_UNITS), dtype=w.dtype), np.empty_like(old)
+    for nodes, h, e, out in stacks.each(stacks.units, error, back):
+        np.matmul(e, old[nodes, :-1].transpose(0, 2, 1), out=out)
+        if h.shape[1] == 1:
+            np.multiply(h.transpose(0, 2, 1), e, out=g[nodes])
+        else:
+            np.matmul(h.transpose(0, 2, 1), e, out=g[nodes])
+    m = memory.take(stacks.node, axis=0)
+    m += g[:, -1] * g[:, -1]
+    memory[stacks.node] = m
+    g *= (rate / np.sqrt(m))[:, None, :]
+    old -= g
+    w[stacks.node] = old
+    both = back.take(stacks.row, axis=0)
+    n = len(both) // 2
+    return both[:n] + both[n:]
 
 
 @dataclass
@@ -424,7 +493,7 @@ def token_log_probability(model: Model, w: Words) -> np.ndarray:
     out = np.where(ids == len(v.hash), v.log_spelling, 0.0)
     place, (line, where) = v.place[ids], line_up(v.given[ids], w.doc)
     # Positions in the order of their places read each node's weights once.
-    order = np.argsort(place, kind="stable")
+    order = in_order(place)
     for i in range(0, len(ids), ROWS):
         at = order[i : i + ROWS]
         out[at] += path_log_probability(weights, windows(line, where[at]), place[at])

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, functions as F
 BLOCKS = "block int, part int, data binary"
 # Floats in a block, and groups of tasks that are summed before the last step.
 BLOCK, PARTS = 16_384, 16
+# Blocks that a summing task is meant to hold: starting a task costs more than adding a block of some tasks.
+HELD = 4
 
 
 def blocks(array: np.ndarray, part: int) -> pa.RecordBatch:
@@ -42,8 +44,9 @@ def total(rows: DataFrame, size: int) -> np.ndarray:
     Each summing task holds its blocks only, never a group of rows.  The driver gets one array.
     """
     n = max(1, -(-size // BLOCK))
-    partial = rows.repartition(n * 2, "block", "part").mapInArrow(_add(lambda p: p), BLOCKS)
-    whole = partial.repartition(n, "block").mapInArrow(_add(lambda p: 0), BLOCKS)
+    tasks = -(-n // HELD)
+    partial = rows.repartition(tasks * 2, "block", "part").mapInArrow(_add(lambda p: p), BLOCKS)
+    whole = partial.repartition(tasks, "block").mapInArrow(_add(lambda p: 0), BLOCKS)
     out = np.zeros(n * BLOCK, dtype=np.float32)
     for r in whole.collect():
         values = np.frombuffer(r["data"], np.float32)

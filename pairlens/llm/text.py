@@ -17,6 +17,8 @@ import pyarrow as pa
 # Bytes worked on at once; longer texts are cut into pieces between two words.  Small pieces stay
 # in the processor's cache, and leave a worker that is kept for other stages small.
 PIECE = 1 << 18
+# Bytes in which the end of a word that a cut would part is looked for at once.
+AHEAD = 1 << 10
 CHUNK = 1 << 20
 BASE, BASE_2, GRAM, GRAM_2 = 0x9E3779B97F4A7C55, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
 MASK = (1 << 64) - 1
@@ -122,22 +124,27 @@ def words(column: pa.Array, word: np.ndarray = BLANK, fold: np.ndarray = SAME) -
     starts, ends, hashes = [], [], []
     at, n = 0, len(data)
     cuts = np.unique(offsets)
+    folded, belongs = fold.tobytes(), word[fold].tobytes()
     while at < n:
         upto = min(at + PIECE, n)
         while upto < n and word[fold[data[upto]]] and word[fold[data[upto - 1]]]:
-            more = np.flatnonzero(~word[fold[data[upto : upto + PIECE]]])
-            upto = upto + int(more[0]) if len(more) else min(upto + PIECE, n)
-        piece = fold[data[at:upto]]
-        inside = word[piece]
+            more = np.flatnonzero(~word[fold[data[upto : upto + AHEAD]]])
+            upto = upto + int(more[0]) if len(more) else min(upto + AHEAD, n)
+        raw = data[at:upto].tobytes()
+        piece, inside = np.frombuffer(raw.translate(folded), np.uint8), np.frombuffer(raw.translate(belongs), np.bool_)
         edge = np.zeros(len(piece) + 1, dtype=bool)
         edge[cuts[np.searchsorted(cuts, at) : np.searchsorted(cuts, upto, side="right")] - at] = True
         before = np.concatenate(([False], inside[:-1]))
         after = np.concatenate((inside[1:], [False]))
         begin = np.flatnonzero(inside & (~before | edge[:-1]))
         stop = np.flatnonzero(inside & (~after | edge[1:])) + 1
-        total = np.zeros(len(piece) + 1, dtype=np.uint64)
-        np.cumsum((piece.astype(np.uint64) + np.uint64(1)) * powers(BASE, len(piece)), out=total[1:])
-        value = (total[stop] - total[begin]) * powers(inverse(BASE), len(piece) + 1)[begin]
+        total = np.empty(len(piece) + 1, dtype=np.uint64)
+        total[0] = 0
+        value = piece.astype(np.uint64)
+        value += np.uint64(1)
+        value *= powers(BASE, len(piece))
+        np.cumsum(value, out=total[1:])
+        value = (total.take(stop) - total.take(begin)) * powers(inverse(BASE), len(piece) + 1).take(begin)
         hashes.append(mix(value + (stop - begin).astype(np.uint64) * np.uint64(BASE_2)))
         starts.append(begin + at)
         ends.append(stop + at)

@@ -65,3 +65,32 @@ def test_known_words_are_found_among_equal_leading_bits():
     v = lm.Vocabulary(hashes, hashes, hashes, hashes, 0.0)
     asked = np.append(hashes, np.array([0, 8, 1 << 51], dtype=np.uint64))
     assert v.ids(asked).tolist() == [0, 1, 2, 3, 4, 5, 6, 6, 6]
+
+
+def test_a_step_fills_up_few_rows(model, monkeypatch):
+    """Nodes with five positions each, on the branches and on the twigs."""
+    weights, rows = model[0], []
+    place = np.repeat(np.arange(lm.BRANCHES) * lm.TWIGS * lm.LEAVES, 5)
+    shifted = lm._shifted_exp
+    monkeypatch.setattr(lm, "_shifted_exp", lambda z: rows.append(len(z)) or shifted(z))
+    lm._step(weights, lm.start_memory(), np.zeros((len(place), len(lm.AROUND)), dtype=np.int64), place, 0.05)
+    assert sum(rows) <= (1 + 2 * 4 / 3) * len(place)
+
+
+def test_sums_over_neighbours_equal_those_word_by_word():
+    class shared:
+        pass
+
+    texts = ["a b c a", None, "d", "b new a b"]
+    hashes = np.sort(words(pa.array(["a b c d"]), BLANK, LOWER).hash)
+    vectors = lm.signs(hashes)
+    shared.value = (lm.Vocabulary(hashes, hashes, hashes, hashes, 0.0), vectors)
+    (got,) = lm._neighbours(shared, "text")(iter([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])]))
+    want = np.zeros(vectors.shape)
+    for text in texts:
+        at = np.minimum(np.searchsorted(hashes, own := words(pa.array([text], pa.string()), BLANK, LOWER).hash), len(hashes) - 1)
+        ids = np.where(hashes[at] == own, at, len(hashes))
+        for i, word in enumerate(ids):
+            want[word] += sum(vectors[ids[i + s]] for s in lm.AROUND if 0 <= i + s < len(ids))
+    sums = np.concatenate([np.frombuffer(b, np.float32) for b in got.column("data").to_pylist()])
+    assert np.allclose(sums[: want.size].reshape(want.shape), want)

@@ -51,3 +51,12 @@ def test_long_texts_take_memory_in_proportion_to_their_words():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 260e6
+
+
+def test_a_word_longer_than_a_piece_and_the_look_ahead_stays_whole(monkeypatch):
+    texts = pa.array(["ab " + "x" * (3 * t.AHEAD + 7) + " cd", "y" * (2 * t.AHEAD), "z"])
+    want = t.words(texts, t.BLANK)
+    monkeypatch.setattr(t, "PIECE", 16)
+    got = t.words(texts, t.BLANK)
+    assert (got.end - got.start).tolist() == [2, 3 * t.AHEAD + 7, 2, 2 * t.AHEAD, 1]
+    assert got.hash.tolist() == want.hash.tolist()
